@@ -124,16 +124,8 @@ def last_year_to_date(as_of: dt.date) -> Period:
     return Period(dt.date(as_of.year - 1, 1, 1), same_day_last_year(as_of))
 
 
-def week_at_offset(as_of: dt.date, days: int) -> Period:
-    """Next Monday and next Sunday of ``as_of`` (either may be today), both moved by ``days``.
-
-    On any day but a Monday or Sunday the range needs a negative Monday offset to be
-    non-empty, so Monday and Sunday move separately in ``week_between_offsets``.
-    """
-    return week_between_offsets(as_of, days, days)
-
-
 def week_between_offsets(as_of: dt.date, monday_days: int, sunday_days: int) -> Period:
+    """Next Monday and next Sunday of ``as_of`` (either may be today), moved by days each."""
     monday = as_of + dt.timedelta(days=(7 - as_of.weekday()) % 7)
     sunday = as_of + dt.timedelta(days=(6 - as_of.weekday()) % 7)
     return Period(
