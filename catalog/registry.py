@@ -14,10 +14,10 @@ Runner = Callable[[SparkSession, str], DataFrame]
 _MODULES = (
     "selection",
     "totals",
-    # "calendars",
-    # "ratios",
-    # "charts",
-    # "search",
+    "calendars",
+    "ratios",
+    "charts",
+    "search",
     # "ingest",
     # "quality",
     # "streams",

@@ -74,21 +74,36 @@ def dense_array(
     return F.transform(places, at)
 
 
-def dense_rows(
+def dense_series(
     totals: DataFrame,
     keys: Sequence[str],
     place: str,
     value: str,
     size: int,
     users: DataFrame | None = None,
+    known_until: int | None = None,
 ) -> DataFrame:
-    """One row per group and place, 0 where nothing was recorded.
+    """One array ``data`` per group, 0 where nothing was recorded.
 
+    A group holds at most ``size`` rows, so gathering it is safe for the busiest user.
     ``users`` adds the groups that recorded nothing at all in the range.
     """
     series = totals.groupBy(*keys).agg(place_map(place, value).alias("_values"))
     if users is not None:
         series = users.join(series, list(keys), "left")
     values = F.coalesce(F.col("_values"), F.create_map().cast("map<int,bigint>"))
-    dense = dense_array(values, size, F.lit(0).cast("long"))
-    return series.select(*keys, F.posexplode(dense).alias(place, value))
+    data = dense_array(values, size, F.lit(0).cast("long"), known_until)
+    return series.select(*keys, data.alias("data"))
+
+
+def dense_rows(
+    totals: DataFrame,
+    keys: Sequence[str],
+    place: str,
+    value: str,
+    size: int,
+    users: DataFrame | None = None,
+) -> DataFrame:
+    """``dense_series`` as one row per group and place."""
+    series = dense_series(totals, keys, place, value, size, users)
+    return series.select(*keys, F.posexplode("data").alias(place, value))
