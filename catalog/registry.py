@@ -18,8 +18,8 @@ _MODULES = (
     "ratios",
     "charts",
     "search",
-    # "ingest",
-    # "quality",
+    "ingest",
+    "quality",
     # "streams",
 )
 _RUNNERS: dict[str, Runner] = {}

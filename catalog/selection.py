@@ -12,10 +12,10 @@ from catalog.sqltext import iso
 from catalog.views import (
     ORDERS_AS_OF,
     RO,
-    guid_of,
     guid_sql,
     order_records,
 )
+from chronofold.functions.keys import stable_guid, stable_id
 from chronofold.operators import totals
 from chronofold.plans import period as periods
 from chronofold.plans import selection
@@ -26,11 +26,6 @@ _ROW = ("record_id", "user_id", "date", "elapsed_s")
 _ROW_SQL = f"record_id, user_id, {iso('date')} as date, elapsed_s"
 
 
-def key_of(*parts):
-    """Whole-number key of a dimension row, the same on every run."""
-    return F.conv(F.substring(guid_of(*parts), 1, 15), 16, 10).cast("long")
-
-
 def key_sql(*parts: str) -> str:
     return f"cast('0x' || substr({guid_sql(*parts)}, 1, 15) as bigint)"
 
@@ -39,16 +34,16 @@ def star_schema(records: DataFrame) -> WorkLog:
     """Split named records into facts and dimensions."""
     task, subtask, tag = F.col("task_name"), F.col("subtask"), F.col("tag")
     facts = records.withColumns(
-        {"task_id": key_of(task, subtask), "tag_id": F.when(tag.isNotNull(), key_of(tag))}
+        {"task_id": stable_id(task, subtask), "tag_id": F.when(tag.isNotNull(), stable_id(tag))}
     ).drop("task_name", "subtask", "tag")
     tasks = records.select("task_name", "subtask").distinct()
     tags = records.select("tag").filter(tag.isNotNull()).distinct()
     return WorkLog(
         records=facts,
         tasks=tasks.select(
-            key_of(task, subtask).alias("task_id"), "task_name", "subtask", guid_of(task, subtask).alias("guid")
+            stable_id(task, subtask).alias("task_id"), "task_name", "subtask", stable_guid(task, subtask).alias("guid")
         ),
-        tags=tags.select(key_of(tag).alias("tag_id"), "tag", guid_of(tag).alias("guid")),
+        tags=tags.select(stable_id(tag).alias("tag_id"), "tag", stable_guid(tag).alias("guid")),
     )
 
 

@@ -114,12 +114,6 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def guid_of(*parts: Column) -> Column:
-    """A 26-character key that is the same for the same business key on every run."""
-    text = F.concat_ws("|", *[F.coalesce(part.cast("string"), F.lit("")) for part in parts])
-    return F.upper(F.substring(F.md5(text), 1, 26))
-
-
 def guid_sql(*parts: str) -> str:
     text = ", ".join(f"coalesce(cast({part} as varchar), '')" for part in parts)
     return f"upper(substr(md5(concat_ws('|', {text})), 1, 26))"

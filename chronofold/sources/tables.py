@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from chronofold.functions.calendar import MONTH_FORMAT
 from chronofold.sources import schema
+from chronofold.sources.session import scratch_dir
 
 _STORED_RECORDS = T.StructType([*schema.RECORDS.fields, T.StructField("month", T.StringType())])
 
@@ -56,6 +57,31 @@ def write_records(
     writer.parquet(f"{root}/records")
 
 
+def upsert_records(
+    spark: SparkSession, root: str, changed: DataFrame, files_per_month: int = 1
+) -> list[str]:
+    """Write full rows over the stored ones with the same ``record_id``, or add them.
+
+    Only the months that lose or gain a row are rewritten. Their new content is staged in the
+    scratch folder before it replaces the old one, so a job that dies half-way can be run
+    again. Returns the months, a list as long as the calendar at most.
+    """
+    stage = scratch_dir(spark, "upsert")
+    changed = changed.select(*[field.name for field in schema.RECORDS.fields])
+    changed.withColumn("month", F.date_format("date", MONTH_FORMAT)).write.parquet(f"{stage}/changed")
+    changed = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/changed")
+    stored = spark.read.schema(_STORED_RECORDS).parquet(f"{root}/records")
+    ids = changed.select("record_id")
+    losing = stored.select("record_id", "month").join(ids, "record_id", "left_semi")
+    touched = losing.select("month").unionByName(changed.select("month")).distinct()
+    months = sorted(row.month for row in touched.collect())
+    kept = stored.filter(F.col("month").isin(months)).join(ids, "record_id", "left_anti")
+    kept.unionByName(changed).write.parquet(f"{stage}/months")
+    staged = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/months")
+    write_records(staged.drop("month"), root, files_per_month, only_touched=True)
+    return months
+
+
 def write_dimension(frame: DataFrame, root: str, name: str) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/{name}")
 
