@@ -20,7 +20,7 @@ _MODULES = (
     "search",
     "ingest",
     "quality",
-    # "streams",
+    "streams",
 )
 _RUNNERS: dict[str, Runner] = {}
 _TWINS: dict[str, str] = {}

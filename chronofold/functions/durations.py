@@ -31,7 +31,15 @@ def second_of_day(moment: Column) -> Column:
 
 def elapsed_seconds(begin: Column, end: Column) -> Column:
     """Seconds between two clock times; an end at or before the begin is on the next day."""
-    diff = second_of_day(end) - second_of_day(begin)
+    return _past_midnight(second_of_day(end) - second_of_day(begin))
+
+
+def elapsed_instants(begin: Column, end: Column) -> Column:
+    """``elapsed_seconds`` for instants at most a day apart, independent of the time zone."""
+    return _past_midnight(F.unix_seconds(end) - F.unix_seconds(begin))
+
+
+def _past_midnight(diff: Column) -> Column:
     return F.when(diff > 0, diff).otherwise(diff + DAY_SECONDS)
 
 

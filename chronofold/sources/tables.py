@@ -28,9 +28,13 @@ class WorkLog:
     tags: DataFrame
 
 
+def read_records(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_STORED_RECORDS).parquet(f"{root}/records")
+
+
 def read_worklog(spark: SparkSession, root: str) -> WorkLog:
     return WorkLog(
-        records=spark.read.schema(_STORED_RECORDS).parquet(f"{root}/records"),
+        records=read_records(spark, root),
         tasks=spark.read.schema(schema.TASKS).parquet(f"{root}/tasks"),
         tags=spark.read.schema(schema.TAGS).parquet(f"{root}/tags"),
     )
@@ -70,7 +74,7 @@ def upsert_records(
     changed = changed.select(*[field.name for field in schema.RECORDS.fields])
     changed.withColumn("month", F.date_format("date", MONTH_FORMAT)).write.parquet(f"{stage}/changed")
     changed = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/changed")
-    stored = spark.read.schema(_STORED_RECORDS).parquet(f"{root}/records")
+    stored = read_records(spark, root)
     ids = changed.select("record_id")
     losing = stored.select("record_id", "month").join(ids, "record_id", "left_semi")
     touched = losing.select("month").unionByName(changed.select("month")).distinct()
