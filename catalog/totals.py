@@ -277,12 +277,12 @@ _FMT_SQL = f"""with {RO}, t as (select user_id, {total()} as s from ro group by
 
 @query("fmt_duration", _FMT_SQL)
 def fmt_duration(spark, sf_dir):
-    from chronofold.functions.durations import duration_parts, duration_text
+    from chronofold.functions.durations import duration_text, split_text
 
     seconds = F.col("total_time")
     return totals.total_time(order_records(spark, sf_dir)).select(
         "user_id",
         duration_text(seconds).alias("hours"),
         duration_text(seconds, "day").alias("days"),
-        duration_parts(seconds, "day").alias("parts"),
+        split_text(duration_text(seconds, "day")).alias("parts"),
     )

@@ -43,33 +43,42 @@ def _past_midnight(diff: Column) -> Column:
     return F.when(diff > 0, diff).otherwise(diff + DAY_SECONDS)
 
 
-def duration_parts(seconds: Column, max_unit: str = "hour") -> Column:
-    """``[HH, MM, SS]``, or ``[DD, HH, MM, SS]`` from one day on when ``max_unit`` is day."""
+def _clock(total: Column) -> Column:
+    return F.format_string(
+        "%02d:%02d:%02d", whole_div(total, 3600), whole_div(total % 3600, 60), total % 60
+    )
+
+
+def _days_and_clock(total: Column) -> Column:
+    return F.format_string(
+        "%02d:%02d:%02d:%02d",
+        whole_div(total, DAY_SECONDS),
+        whole_div(total % DAY_SECONDS, 3600),
+        whole_div(total % 3600, 60),
+        total % 60,
+    )
+
+
+def duration_text(seconds: Column, max_unit: str = "hour") -> Column:
+    """``HH:MM:SS``, or ``DD:HH:MM:SS`` from one day on when ``max_unit`` is day."""
     if max_unit not in ("hour", "day"):
         raise ValueError(f"max_unit must be hour or day, not {max_unit!r}")
     total = F.floor(seconds).cast("long")
-
-    def two_digits(value: Column) -> Column:
-        return F.format_string("%02d", value)
-
-    tail = [two_digits(whole_div(total % 3600, 60)), two_digits(total % 60)]
-    clock = F.array(two_digits(whole_div(total, 3600)), *tail)
     if max_unit == "day":
-        days = F.array(
-            two_digits(whole_div(total, DAY_SECONDS)),
-            two_digits(whole_div(total % DAY_SECONDS, 3600)),
-            *tail,
+        return F.when(total >= DAY_SECONDS, _days_and_clock(total)).when(
+            total.isNotNull(), _clock(total)
         )
-        clock = F.when(total >= DAY_SECONDS, days).otherwise(clock)
-    return F.when(seconds.isNotNull(), clock)
+    return F.when(total.isNotNull(), _clock(total))
 
 
-def scaled_duration_parts(seconds: Column) -> Column:
-    """Parts in days only when strictly more than one day, in hours otherwise."""
-    return F.when(seconds > DAY_SECONDS, duration_parts(seconds, "day")).otherwise(
-        duration_parts(seconds, "hour")
+def scaled_duration_text(seconds: Column) -> Column:
+    """With days only when strictly more than one day."""
+    total = F.floor(seconds).cast("long")
+    return F.when(seconds > DAY_SECONDS, _days_and_clock(total)).when(
+        total.isNotNull(), _clock(total)
     )
 
 
-def duration_text(seconds: Column, max_unit: str = "hour") -> Column:
-    return F.array_join(duration_parts(seconds, max_unit), ":")
+def split_text(duration: Column) -> Column:
+    """The parts of a duration text."""
+    return F.split(duration, ":")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions import calendar as cal
-from chronofold.functions.durations import scaled_duration_parts
+from chronofold.functions.durations import scaled_duration_text, split_text
 from chronofold.plans.period import Period
 from chronofold.plans.series import USER, ordered, sums, with_share
 from chronofold.sources.tables import in_period
@@ -35,7 +35,7 @@ def task_ratio_formatted(
         *keys,
         F.col("task_name").alias("task"),
         F.col("total_time").alias("time"),
-        scaled_duration_parts(F.col("total_time")).alias("formatted"),
+        split_text(scaled_duration_text(F.col("total_time"))).alias("formatted"),
         "ratio",
     )
 

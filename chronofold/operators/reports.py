@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import calendar as cal
 from chronofold.functions.durations import (
-    duration_parts,
     duration_text,
-    scaled_duration_parts,
+    scaled_duration_text,
+    split_text,
 )
 from chronofold.operators import charts, totals
 from chronofold.operators.ratios import subtask_ratio, task_ratio, task_ratio_formatted
@@ -54,12 +54,20 @@ def summaries(
     Records collapse to one row per user and day first. All spans and means are then
     conditional aggregates over those days, so no record is read or shuffled twice.
     """
-    year = Period.year(as_of)
-    day = F.col("date")
-    wanted = in_period(records, _hull([*spans.values(), year]))
-    days = wanted.groupBy(*keys, "date").agg(
+    wanted = in_period(records, _hull([*spans.values(), Period.year(as_of)]))
+    return _days(wanted, keys).groupBy(*keys).agg(*_summary_columns(spans, as_of))
+
+
+def _days(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return records.groupBy(*keys, "date").agg(
         F.count(F.lit(1)).alias("_count"), F.sum("elapsed_s").alias("_total")
     )
+
+
+def _summary_columns(spans: Mapping[str, Period], as_of: dt.date) -> list[Column]:
+    """Aggregates over ``_days``."""
+    year = Period.year(as_of)
+    day = F.col("date")
     aggregates = []
     for name, span in spans.items():
         for value, column in (("count", "_count"), ("time", "_total")):
@@ -75,19 +83,19 @@ def summaries(
     for name, count in groups.items():
         mean = F.try_divide(of_year, count.cast("double"))
         aggregates.append(F.coalesce(mean, F.lit(0.0)).alias(f"mean_{name}"))
-    return days.groupBy(*keys).agg(*aggregates)
+    return aggregates
 
 
 def _resume(name: str) -> Column:
     """Count, time and mean of one span; a year has no mean."""
     fields = [
         F.col(f"{name}_count").alias("count"),
-        duration_parts(F.col(f"{name}_time"), _MAX_UNIT[name]).alias("time"),
+        split_text(duration_text(F.col(f"{name}_time"), _MAX_UNIT[name])).alias("time"),
     ]
     if name == "day":
-        fields.append(duration_parts(F.col("mean_day")).alias("mean"))
+        fields.append(split_text(duration_text(F.col("mean_day"))).alias("mean"))
     elif name != "year":
-        fields.append(scaled_duration_parts(F.col(f"mean_{name}")).alias("mean"))
+        fields.append(split_text(scaled_duration_text(F.col(f"mean_{name}"))).alias("mean"))
     return F.struct(*fields)
 
 
@@ -271,7 +279,7 @@ def custom_report(
         if kind == "timer-info":
             report[kind] = records.groupBy(*keys).agg(
                 F.count(F.lit(1)).alias("count"),
-                duration_parts(F.coalesce(F.sum("elapsed_s"), F.lit(0).cast("long")), "day").alias("time"),
+                split_text(duration_text(F.coalesce(F.sum("elapsed_s"), F.lit(0).cast("long")), "day")).alias("time"),
             )
         elif kind == "task-ratio":
             report[kind] = task_ratio_formatted(records, None, keys)
@@ -306,7 +314,12 @@ def text_summary(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER)
         "week": periods.this_week(as_of),
         "year": periods.this_year(as_of),
     }
-    lines = summaries(records, spans, as_of, keys)
+    day, total = F.col("date"), F.col("_total")
+    lines = _days(records, keys).groupBy(*keys).agg(
+        *_summary_columns(spans, as_of),
+        F.max(total).alias("_longest_s"),
+        F.max_by(day, totals.longest_first(total, day)).alias("_longest_day"),
+    )
 
     def line(title: str, name: str) -> Column:
         status = totals.status_line(
@@ -334,10 +347,13 @@ def text_summary(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER)
         F.collect_list(F.struct((-F.col("ratio")).alias("rank"), F.col("task_name"), text.alias("text")))
     )
     tasks = with_runs.groupBy(*keys).agg(F.transform(ranked, lambda row: row["text"]).alias("tasks"))
-    longest = totals.longest_day(records, keys)
-    maximum = F.concat(F.col("time"), F.lit(" ("), F.date_format("date", cal.DAY_FORMAT), F.lit(")"))
-    longest = longest.select(*keys, maximum.alias("maximum"))
-    joined = longest.join(lines, list(keys), "left").join(tasks, list(keys), "left")
+    maximum = F.concat(
+        duration_text(F.col("_longest_s")),
+        F.lit(" ("),
+        F.date_format("_longest_day", cal.DAY_FORMAT),
+        F.lit(")"),
+    )
+    joined = lines.join(tasks, list(keys), "left")
     return joined.select(
         *keys,
         line("This day", "day").alias("today"),
@@ -345,7 +361,7 @@ def text_summary(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER)
         F.coalesce(
             F.when(F.col("mean_day") > 0, duration_text(F.col("mean_day"))), F.lit("No data yet.")
         ).alias("average_day"),
-        F.coalesce("maximum", F.lit("No data yet.")).alias("maximum"),
+        F.coalesce(maximum, F.lit("No data yet.")).alias("maximum"),
         line("This week", "week").alias("week"),
         line("This year", "year").alias("year"),
     )

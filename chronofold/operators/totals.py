@@ -61,12 +61,19 @@ def time_per_task(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER
     return totals.orderBy(*keys, F.desc("total_time"), "task_name")
 
 
+def longest_first(total: Column, date: Column) -> Column:
+    """One long that ranks days by total, earlier dates first among equals: the total in the
+    high bits, the day number (below 2^20 for any usable date) taken off it. Unlike a struct
+    it fits the fixed-width buffer of a hash aggregation."""
+    return total * (1 << 20) - F.unix_date(date)
+
+
 def longest_day(records: DataFrame, keys: Sequence[str] = USER) -> DataFrame:
     """The day with the highest total, the earliest one when several tie."""
     days = sums(records, [*keys, "date"]).filter(F.col("total_time").isNotNull())
-    rank = F.struct(F.col("total_time"), -F.unix_date("date"))
     best = days.groupBy(*keys).agg(
-        F.max_by("date", rank).alias("date"), F.max("total_time").alias("total_time")
+        F.max_by("date", longest_first(F.col("total_time"), F.col("date"))).alias("date"),
+        F.max("total_time").alias("total_time"),
     )
     return best.withColumn("time", duration_text(F.col("total_time")))
 
