@@ -83,6 +83,10 @@ def upsert_records(
     kept.unionByName(changed).write.parquet(f"{stage}/months")
     staged = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/months")
     write_records(staged.drop("month"), root, files_per_month, only_touched=True)
+    filled = {row.month for row in staged.select("month").distinct().collect()}
+    for month in set(months) - filled:
+        # Overwriting by partition leaves alone a month that got no row, so it is emptied here.
+        staged.drop("month").limit(0).write.mode("overwrite").parquet(f"{root}/records/month={month}")
     return months
 
 

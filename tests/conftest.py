@@ -11,7 +11,7 @@ from chronofold.sources.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8", partitions=4)
+    session = local_session("tests", "8", partitions=2)
     yield session
     session.stop()
 
