@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.durations import elapsed_seconds
 from chronofold.functions.keys import stable_guid, stable_id
-from chronofold.functions.text import title_case
+from chronofold.functions.text import split_task_text, title_case
 from chronofold.plans.series import USER
 
 
@@ -63,6 +63,17 @@ def resolve_task_names(named: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
+def task_ids_from_text(
+    incoming: DataFrame, tasks: DataFrame, text: str = "task_text"
+) -> tuple[DataFrame, DataFrame]:
+    """Records whose task is written as ``task subtask`` text: the tasks, completed by the
+    ones the batch names for the first time, and the batch with ``task_id``."""
+    task, subtask = split_task_text(F.col(text))
+    named = normalise_tasks(incoming.withColumns({"task_name": task, "subtask": subtask}))
+    complete = add_tasks(named, tasks)
+    return complete, resolve_task_names(named, complete)
+
+
 def resolve_keys(incoming: DataFrame, tasks: DataFrame, tags: DataFrame) -> DataFrame:
     """Replace task and tag guids by ids. ``problem`` names what could not be resolved; a
     record needs a task, a tag is optional."""

@@ -24,6 +24,7 @@ from chronofold.operators.search import find_records
 from chronofold.operators.streaks import streaks
 from chronofold.operators.weeks import week_points_of_year
 from chronofold.plans import period as periods
+from chronofold.plans.daily import record_count
 from chronofold.plans.period import Period
 from chronofold.plans.selection import RecordFilter, select_records
 from chronofold.plans.series import USER
@@ -60,7 +61,7 @@ def summaries(
 
 def _days(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     return records.groupBy(*keys, "date").agg(
-        F.count(F.lit(1)).alias("_count"), F.sum("elapsed_s").alias("_total")
+        record_count(records).alias("_count"), F.sum("elapsed_s").alias("_total")
     )
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import calendar as cal
 from chronofold.functions.durations import duration_text
+from chronofold.plans.daily import open_count, record_count
 from chronofold.plans.period import Period
-from chronofold.plans.series import USER, ordered, sums
+from chronofold.plans.series import USER, by_user, ordered, sums
 from chronofold.sources.tables import in_period
 
 # Grain of a mean -> expression of the date that tells its periods apart within one year.
@@ -24,7 +25,8 @@ _GRAINS = {
 
 
 def timer_count(records: DataFrame, keys: Sequence[str] = USER) -> DataFrame:
-    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    count = F.coalesce(record_count(records), F.lit(0).cast("long"))
+    return records.groupBy(*keys).agg(count.alias("count"))
 
 
 def total_time(records: DataFrame, keys: Sequence[str] = USER) -> DataFrame:
@@ -58,7 +60,7 @@ def time_per_task(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER
     """Time per task on one day, longest first."""
     totals = sums(in_period(records, Period.day(as_of)), [*keys, "task_name"])
     totals = totals.withColumn("time", duration_text(F.col("total_time")))
-    return totals.orderBy(*keys, F.desc("total_time"), "task_name")
+    return ordered(by_user(totals, keys), keys, F.desc("total_time"), "task_name")
 
 
 def longest_first(total: Column, date: Column) -> Column:
@@ -138,8 +140,8 @@ def task_list(
 def open_records(records: DataFrame, keys: Sequence[str] = USER) -> DataFrame:
     """Count, running records and total side by side, with the status line a person reads."""
     totals = records.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.count_if(F.col("elapsed_s").isNull()).alias("open_count"),
+        record_count(records).alias("count"),
+        open_count(records).alias("open_count"),
         F.sum("elapsed_s").alias("total_time"),
     )
     return totals.withColumn("status", status_line(F.col("count"), F.col("total_time")))

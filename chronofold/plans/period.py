@@ -138,6 +138,22 @@ def check_single_span(names) -> None:
         raise KeyError("a request may name only one time span")
 
 
+def clean_request(params: Mapping) -> dict:
+    """A client's parameters as a request: one time span at most, well-formed dates, and the
+    two dates of ``week[]`` and ``range[]`` under their own names."""
+    check_single_span(params)
+    request = dict(params)
+    for name, (first, last) in (
+        ("week[]", ("weekStart", "weekEnd")),
+        ("range[]", ("rangeBeginning", "rangeEnding")),
+    ):
+        if name in request:
+            request[first], request[last] = request.pop(name)
+    for order in (STATS_ORDER, SEARCH_ORDER):
+        from_request(request, order)
+    return request
+
+
 def from_request(request: Mapping, order: tuple[str, ...] = STATS_ORDER) -> Period | None:
     """The period a request asks for, or None when it names none."""
     for span in order:

@@ -40,30 +40,37 @@ def read_worklog(spark: SparkSession, root: str) -> WorkLog:
     )
 
 
-def _by_month(records: DataFrame, files_per_month: int) -> DataFrame:
-    """Spread each month over several writers by record, so that neither a busy month
-    nor a busy user ends up in one task, then order the rows inside each file."""
-    slot = F.pmod(F.xxhash64("record_id"), F.lit(files_per_month))
-    return (
-        records.withColumn("month", F.date_format("date", MONTH_FORMAT))
-        .repartition("month", slot)
-        .sortWithinPartitions("month", "user_id", "date", "record_id")
-    )
+def write_months(
+    frame: DataFrame, path: str, order: tuple[str, ...], months: list[str] | None = None
+) -> None:
+    """Write a frame with a ``month`` column as one folder per month.
 
+    Rebalancing lets Spark cut a busy month into several even files and join the small ones,
+    by their measured size. With ``months`` only those are replaced; the ones among them that
+    got no row are emptied.
+    """
+    sorted_rows = frame.hint("rebalance", "month").sortWithinPartitions("month", *order)
+    writer = sorted_rows.write.mode("overwrite").partitionBy("month")
+    if months is None:
+        writer.parquet(path)
+        return
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    filled = {row.month for row in frame.select("month").distinct().collect()}
+    for month in set(months) - filled:
+        # Overwriting by partition leaves alone a month without rows.
+        nothing = frame.drop("month").limit(0)
+        nothing.write.mode("overwrite").parquet(f"{path}/month={month}")
 
-def write_records(
-    records: DataFrame, root: str, files_per_month: int = 1, only_touched: bool = False
-) -> None:
-    """Write the fact table; with ``only_touched`` replace just the months in ``records``."""
-    writer = _by_month(records, files_per_month).write.mode("overwrite").partitionBy("month")
-    if only_touched:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(f"{root}/records")
 
+_RECORD_ORDER = ("user_id", "date", "record_id")
 
-def upsert_records(
-    spark: SparkSession, root: str, changed: DataFrame, files_per_month: int = 1
-) -> list[str]:
+
+def write_records(records: DataFrame, root: str) -> None:
+    with_month = records.withColumn("month", F.date_format("date", MONTH_FORMAT))
+    write_months(with_month, f"{root}/records", _RECORD_ORDER)
+
+
+def upsert_records(spark: SparkSession, root: str, changed: DataFrame) -> list[str]:
     """Write full rows over the stored ones with the same ``record_id``, or add them.
 
     Only the months that lose or gain a row are rewritten. Their new content is staged in the
@@ -82,11 +89,7 @@ def upsert_records(
     kept = stored.filter(F.col("month").isin(months)).join(ids, "record_id", "left_anti")
     kept.unionByName(changed).write.parquet(f"{stage}/months")
     staged = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/months")
-    write_records(staged.drop("month"), root, files_per_month, only_touched=True)
-    filled = {row.month for row in staged.select("month").distinct().collect()}
-    for month in set(months) - filled:
-        # Overwriting by partition leaves alone a month that got no row, so it is emptied here.
-        staged.drop("month").limit(0).write.mode("overwrite").parquet(f"{root}/records/month={month}")
+    write_months(staged, f"{root}/records", _RECORD_ORDER, months)
     return months
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from chronofold.operators import charts, ratios, reports, streaks, totals, weeks
+from chronofold.plans.daily import daily_totals
 from chronofold.plans.period import Period
 
 START = dt.date(2023, 12, 20)
@@ -155,3 +156,32 @@ def test_chart_pair_agrees_with_its_parts(records):
         for place, total in enumerate(lines[user]):
             share = sum(data[place] for _, data in series)
             assert (total == 0 and share == 0) or abs(share - 100) <= 0.2
+
+
+def plain(frame):
+    return sorted(map(repr, frame.collect()))
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        totals.timer_count,
+        totals.total_time,
+        totals.open_records,
+        totals.longest_day,
+        totals.average_day,
+        totals.date_bounds,
+        totals.task_list,
+        ratios.task_ratio,
+        streaks.streaks,
+        lambda frame: totals.average_per_weekday(frame, SPAN),
+        lambda frame: totals.year_report(frame, SPAN),
+        lambda frame: ratios.subtask_ratio(frame, "A"),
+        lambda frame: weeks.past_weeks(frame, dt.date(2024, 1, 31), 4),
+        lambda frame: charts.chart_pair(frame, "week", SPAN),
+        lambda frame: reports.home_summary(frame, dt.date(2024, 1, 31)),
+        lambda frame: reports.text_summary(frame, dt.date(2024, 1, 10)),
+    ],
+)
+def test_daily_totals_stand_in_for_records(records, operator):
+    assert plain(operator(daily_totals(records))) == plain(operator(records))

@@ -42,6 +42,14 @@ def test_missing_subtasks_are_equal(spark, tasks):
     assert {r.n: r.task_id for r in ingest.resolve_task_names(named, tasks).collect()} == {1: 1, 2: 2, 3: None}
 
 
+def test_task_ids_from_text(spark, tasks):
+    incoming = spark.createDataFrame([(1, "work"), (2, "work/mail"), (3, " sing loud "), (4, "sing loud")], "n long, task_text string")
+    complete, resolved = ingest.task_ids_from_text(incoming, tasks)
+    ids = {r.n: r.task_id for r in resolved.collect()}
+    assert ids[1] == 1 and ids[2] == 2 and ids[3] == ids[4] is not None
+    assert complete.count() == 4
+
+
 def test_resolve_keys(spark, tasks, tags):
     incoming = spark.createDataFrame(
         [(1, "g1", "t1"), (2, "g1", None), (3, "zz", "t1"), (4, "g2", "zz"), (5, None, None)],

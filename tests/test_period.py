@@ -88,3 +88,15 @@ def test_filters_from_request():
     assert wanted.without_subtask and wanted.subtask is None and wanted.tag == "t"
     assert RecordFilter.from_request({"subtask": "lonely"}) == RecordFilter()
     assert RecordFilter.from_request({"logSearch": "x"}).log_contains == "x"
+
+
+def test_clean_request_reads_values_not_names():
+    request = periods.clean_request({"range[]": ["2025-01-02", "2025-02-03"], "task": "A"})
+    assert periods.from_request(request) == Period.between("2025-01-02", "2025-02-03")
+    assert request["task"] == "A" and "range[]" not in request
+    week = periods.clean_request({"week[]": ["2025-03-03", "2025-03-09"]})
+    assert periods.from_request(week, SEARCH_ORDER) == Period.week_from("2025-03-03")
+    with pytest.raises(KeyError):
+        periods.clean_request({"day": "2025-01-01", "year": "2025"})
+    with pytest.raises(ValueError):
+        periods.clean_request({"month": "January"})

@@ -4,6 +4,7 @@ import os
 import pytest
 
 from chronofold.operators import totals
+from chronofold.plans import daily
 from chronofold.plans.period import Period
 from chronofold.plans.selection import RecordFilter, select_records
 from chronofold.sources import schema, tables
@@ -19,7 +20,7 @@ def row(key, day, seconds=60, user=1):
 def root(spark, tmp_path):
     days = [dt.date(2024, 12, 31), dt.date(2025, 1, 1), dt.date(2025, 1, 31), dt.date(2025, 2, 1)]
     records = spark.createDataFrame([row(str(n), d) for n, d in enumerate(days)], schema.RECORDS)
-    tables.write_records(records, str(tmp_path), files_per_month=2)
+    tables.write_records(records, str(tmp_path))
     tables.write_dimension(spark.createDataFrame([(1, "A", None, "g")], schema.TASKS), str(tmp_path), "tasks")
     tables.write_dimension(spark.createDataFrame([], schema.TAGS), str(tmp_path), "tags")
     return str(tmp_path)
@@ -81,3 +82,20 @@ def test_scratch_follows_the_cluster_setting():
     with pytest.raises(RuntimeError):
         scratch_dir(FakeSession("spark://host:7077"), "x")
     assert os.path.isdir(scratch_dir(FakeSession("local[2]"), "x"))
+
+
+def test_daily_totals_follow_a_merge(spark, root):
+    daily.refresh(spark, root)
+    before = {(r.user_id, str(r.date), r.task_name): r.elapsed_s for r in daily.read(spark, root).collect()}
+    assert before[1, "2025-02-01", "A"] == 60 and len(before) == 4
+    changed = [row("3", dt.date(2025, 1, 31), 70), row("8", dt.date(2025, 1, 31), 5)]
+    months = tables.upsert_records(spark, root, spark.createDataFrame(changed, schema.RECORDS))
+    daily.refresh(spark, root, months)
+    rows = {str(r.date): (r.elapsed_s, r.record_count) for r in daily.read(spark, root).collect()}
+    assert rows == {"2024-12-31": (60, 1), "2025-01-01": (60, 1), "2025-01-31": (135, 3)}
+    january = totals.timer_count(in_month(daily.read(spark, root))).first()
+    assert january["count"] == 4
+
+
+def in_month(frame):
+    return tables.in_period(frame, Period.month("2025-01"))
