@@ -132,7 +132,7 @@ def labels_range(spark, sf_dir):
         cal.range_labels("week", first, last).alias("weeks"),
         cal.range_labels("month", first, last).alias("months"),
         cal.range_labels("year", first, last).alias("years"),
-        F.size(cal.range_labels("day", first, last)).alias("day_count"),
+        F.size(cal.day_spine(first, last)).alias("day_count"),
         cal.range_labels("day", first, F.lit(None).cast("date")).alias("single"),
     )
 

@@ -97,8 +97,12 @@ def _each(dates: Column, pattern: str) -> Column:
     return F.transform(dates, lambda day: F.date_format(day, pattern))
 
 
+def two_digits(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
 def iso_week_label(day: Column) -> Column:
-    return F.format_string("%02d", F.weekofyear(day))
+    return two_digits(F.weekofyear(day))
 
 
 def _mondays(first: Column, last: Column) -> Column:

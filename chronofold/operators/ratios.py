@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions import calendar as cal
-from chronofold.functions.durations import scaled_duration_text, split_text
+from chronofold.functions.durations import scaled_duration_text, split_text, whole_div
 from chronofold.plans.period import Period
 from chronofold.plans.series import USER, ordered, sums, with_share
 from chronofold.sources.tables import in_period
@@ -102,11 +102,11 @@ def task_ratio_weeks(
 
 
 def task_month_in_year(records: DataFrame, year: int, keys: Sequence[str] = USER) -> DataFrame:
-    month = F.date_format("date", cal.MONTH_FORMAT).alias("month")
+    month = F.trunc("date", "month").alias("month")
     shares = _share_by(in_period(records, Period.year(year)), [month], ["month"], keys)
     return shares.select(
         *keys,
-        "month",
+        F.date_format("month", cal.MONTH_FORMAT).alias("month"),
         "task_name",
         "task_total",
         F.col("period_total").alias("month_total"),
@@ -136,17 +136,20 @@ def task_ratio_by(
     Weeks are numbered within their year; the year is part of the name only when the range
     spans two years, so a week that is cut by New Year gives two groups.
     """
-    day = F.col("date")
+    day, place = F.col("date"), F.col("period")
     if grain == "week":
-        number = F.format_string("%02d", cal.year_week_from_zero(day))
+        # Year and week in one number; the name is spelled out once per result row.
+        number = F.year(day) * 100 + cal.year_week_from_zero(day)
+        name = cal.two_digits(place % 100)
         if period.first.year != period.last.year:
-            number = F.concat_ws("-", F.date_format(day, cal.YEAR_FORMAT), number)
-        name = number
+            name = F.concat_ws("-", whole_div(place, 100).cast("string"), name)
     elif grain in ("day", "month", "year"):
-        name = cal.period_text(grain, day)
+        number = day if grain == "day" else F.trunc(day, grain)
+        name = cal.period_text(grain, place)
     else:
         raise ValueError(f"grain must be day, week, month or year, not {grain!r}")
-    shares = _share_by(in_period(records, period), [name.alias("period")], ["period"], keys)
+    shares = _share_by(in_period(records, period), [number.alias("period")], ["period"], keys)
+    shares = shares.withColumn("period", name)
     return shares.select(
         *keys, "period", "task_name", "period_total", "task_total", "ratio"
     )
