@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.selection import order_log
-from catalog.sqltext import dhms, hms, iso, parts, percent, scaled, total
+from catalog.sqltext import dhms, hms, iso, percent, scaled, total
 from catalog.views import EVENTS_AS_OF, ORDERS_AS_OF, RE, RO, event_records, order_records
 from chronofold.operators import charts, reports, weeks
 from chronofold.plans.period import Period

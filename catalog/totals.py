@@ -16,7 +16,6 @@ from catalog.views import (
     RO,
     event_records,
     order_records,
-    order_users,
 )
 from chronofold.functions.durations import elapsed_seconds
 from chronofold.operators import streaks, totals
@@ -49,12 +48,11 @@ def total_time(spark, sf_dir):
 
 @query(
     "total_time_everyone",
-    f"with {RO} select coalesce({total()}, 0) as total_time from ro where date > date '2030-01-01'",
+    f"with {RO} select coalesce({total()}, 0) as total_time from ro where {_SPAN_SQL}",
 )
 def total_time_everyone(spark, sf_dir):
-    """Nothing recorded gives 0, not an empty answer."""
-    future = totals.period_rows(order_records(spark, sf_dir), Period(dt.date(2030, 1, 2), None))
-    return totals.total_time(future, keys=())
+    span = totals.period_rows(order_records(spark, sf_dir), _SPAN)
+    return totals.total_time(span, keys=())
 
 
 @query(

@@ -17,9 +17,8 @@ from chronofold.plans.period import Period
 from chronofold.plans.series import (
     USER,
     by_user,
-    dense_array,
     dense_series,
-    place_map,
+    spread,
     sums,
     with_share,
 )
@@ -35,6 +34,12 @@ def known_places(grain: str, period: Period, as_of) -> int:
     return cal.label_count(grain, period.first, min(as_of, period.last))
 
 
+def _placed(records: DataFrame, grain: str, period: Period) -> DataFrame:
+    """The records of a period with ``place``, the position of their label."""
+    place = cal.label_position(grain, F.col("date"), period.first)
+    return in_period(records, period).withColumn("place", place)
+
+
 def line_chart(
     records: DataFrame,
     grain: str,
@@ -44,11 +49,10 @@ def line_chart(
     users: DataFrame | None = None,
 ) -> DataFrame:
     """``name`` and ``data``: one total per label. With ``as_of`` the future stays NULL."""
-    place = cal.label_position(grain, F.col("date"), period.first).alias("place")
-    totals = sums(in_period(records, period), [*keys, place], "total")
+    placed = _placed(records, grain, period)
     size = cal.label_count(grain, period.first, period.last)
     known = None if as_of is None else known_places(grain, period, as_of)
-    series = dense_series(totals, keys, "place", "total", size, users, known)
+    series = dense_series(placed, keys, size, users, known)
     return series.select(*keys, F.lit(LINE_NAME).alias("name"), "data")
 
 
@@ -56,13 +60,11 @@ def stacked_chart(
     records: DataFrame, grain: str, period: Period, keys: Sequence[str] = USER
 ) -> DataFrame:
     """Per task its share at every label, 0 where the task is absent."""
-    place = cal.label_position(grain, F.col("date"), period.first).alias("place")
-    totals = sums(in_period(records, period), [*keys, place, "task_name"], "task_total")
+    totals = sums(_placed(records, grain, period), [*keys, "place", "task_name"], "task_total")
     shares = with_share(by_user(totals, keys), [*keys, "place"], "task_total", "whole")
-    per_task = shares.groupBy(*keys, "task_name").agg(place_map("place", "ratio").alias("_ratios"))
     size = cal.label_count(grain, period.first, period.last)
-    data = dense_array(F.col("_ratios"), size, F.lit(0.0))
-    return per_task.select(*keys, F.col("task_name").alias("name"), data.alias("data"))
+    series = spread(shares, [*keys, "task_name"], size, {"data": (F.max("ratio"), "0D")})
+    return series.withColumnRenamed("task_name", "name")
 
 
 def chart_pair(
@@ -81,11 +83,10 @@ def chart_pair(
     ``line_period`` narrows the line to part of the period.
     """
     size = cal.label_count(grain, period.first, period.last)
-    place = cal.label_position(grain, F.col("date"), period.first).alias("place")
     in_line = F.lit(True) if line_period is None else line_period.contains(F.col("date"))
     totals = (
-        in_period(records, period)
-        .groupBy(*keys, place, "task_name")
+        _placed(records, grain, period)
+        .groupBy(*keys, "place", "task_name")
         .agg(
             F.sum("elapsed_s").alias("task_total"),
             F.sum(F.when(in_line, F.col("elapsed_s"))).alias("_line"),
@@ -95,20 +96,18 @@ def chart_pair(
     shares = by_user(totals, keys).withColumns(
         {
             "ratio": percent(F.col("task_total"), F.sum("task_total").over(label)),
-            "_line": F.coalesce(F.sum("_line").over(label), F.lit(0).cast("long")),
+            "_line": F.sum("_line").over(label),
         }
     )
-    per_task = shares.groupBy(*keys, "task_name").agg(
-        place_map("place", "ratio").alias("_ratios"),
-        F.collect_list(F.struct("place", "_line")).alias("_lines"),
-    )
-    series = F.struct(
-        F.col("task_name").alias("name"),
-        dense_array(F.col("_ratios"), size, F.lit(0.0)).alias("data"),
-    )
-    charts = per_task.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(series)).alias("stacked"),
-        F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("_lines")))).alias("_lines"),
+    values = {"data": (F.max("ratio"), "0D"), "line": (F.max("_line"), "0L")}
+    per_task = spread(shares, [*keys, "task_name"], size, values)
+    known = size if known_until is None else known_until
+    # Every task carries the line of its user, with zeros where the task is absent.
+    line = [
+        F.max(F.get("line", F.lit(place))) if place < known else F.lit(None).cast("long")
+        for place in range(size)
+    ]
+    return per_task.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("task_name").alias("name"), "data"))).alias("stacked"),
+        F.array(*line).alias("line"),
     )
-    line = dense_array(F.col("_lines"), size, F.lit(0).cast("long"), known_until)
-    return charts.select(*keys, "stacked", line.alias("line"))

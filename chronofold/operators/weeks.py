@@ -12,28 +12,31 @@ from chronofold.functions import calendar as cal
 from chronofold.functions.durations import duration_text
 from chronofold.operators.ratios import full_range_weeks
 from chronofold.plans.period import Period
-from chronofold.plans.series import USER, dense_rows, dense_series, sums
+from chronofold.plans.series import USER, dense_rows, dense_series
 from chronofold.sources.tables import in_period
 
 
-def _week_totals(records: DataFrame, period: Period, keys: Sequence[str]) -> tuple:
-    """Totals per ``place`` (weeks since the first week touched) and the number of places."""
-    place = cal.weeks_since(F.col("date"), period.first).alias("place")
-    totals = sums(in_period(records, period), [*keys, place], "total")
-    return totals, keys, "place", "total", cal.label_count("week", period.first, period.last)
+def _placed(records: DataFrame, period: Period) -> tuple[DataFrame, int]:
+    """The records of a period with ``place``, the weeks since its first one, and the number
+    of weeks it touches."""
+    place = cal.weeks_since(F.col("date"), period.first)
+    kept = in_period(records, period).withColumn("place", place)
+    return kept, cal.label_count("week", period.first, period.last)
 
 
 def _dense_weeks(
     records: DataFrame, period: Period, keys: Sequence[str], users: DataFrame | None
 ) -> DataFrame:
-    return dense_rows(*_week_totals(records, period, keys), users)
+    kept, size = _placed(records, period)
+    return dense_rows(kept, keys, size, users)
 
 
 def week_points_of_year(
     records: DataFrame, year: int, keys: Sequence[str] = USER, users: DataFrame | None = None
 ) -> DataFrame:
     """The weeks of a year as an array of ``{x: week, y: total}`` for a bar chart."""
-    series = dense_series(*_week_totals(records, Period.year(year), keys), users)
+    kept, size = _placed(records, Period.year(year))
+    series = dense_series(kept, keys, size, users)
     points = F.transform(
         "data", lambda total, place: F.struct((place + 1).cast("long").alias("x"), total.alias("y"))
     )

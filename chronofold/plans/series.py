@@ -6,7 +6,7 @@ task there is at most one per (period, task), however many records that user wro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,61 +53,91 @@ def ordered(frame: DataFrame, keys: Sequence[str], *order: str | Column) -> Data
     return frame.orderBy(*order)
 
 
-def place_map(place: str, value: str) -> Column:
-    """Aggregate: place -> value, for at most one row per place."""
-    return F.map_from_entries(F.collect_list(F.struct(F.col(place), F.col(value))))
+# Up to this many labels a series is spread by a pivot; a plan with one column per label
+# stays small. Longer series are looked up in a map of the places that occur.
+_PIVOT_LABELS = 128
 
 
-def dense_array(
-    values: Column, size: int, fill: Column, known_until: int | None = None
-) -> Column:
-    """Array over places ``0 .. size-1``: gaps get ``fill``, places from ``known_until`` on
-    lie in the future and stay NULL."""
+def spread(
+    frame: DataFrame,
+    by: Sequence[str],
+    size: int,
+    values: Mapping[str, tuple[Column, str]],
+    known_until: int | None = None,
+) -> DataFrame:
+    """One array per entry of ``values``, indexed by the column ``place`` (0 .. size-1).
+
+    An entry is an aggregate and the SQL literal that fills its gaps. Rows are first aggregated
+    per (group, place) with map-side partial results, so a group has at most ``size`` rows when
+    its array is built. Places from ``known_until`` on lie in the future and stay NULL.
+    """
     if size <= 0:
         raise ValueError("a series needs at least one place")
-    places = F.sequence(F.lit(0), F.lit(size - 1))
+    known = size if known_until is None else min(known_until, size)
+    build = _spread_by_pivot if size <= _PIVOT_LABELS else _spread_by_map
+    return build(frame, by, size, values, known)
+
+
+def _spread_by_pivot(frame, by, size, values, known):
+    aggregates = [value.alias(name) for name, (value, _) in values.items()]
+    wide = frame.groupBy(*by).pivot("place", list(range(size))).agg(*aggregates)
+
+    def array(name: str, fill: str) -> Column:
+        suffix = f"_{name}" if len(values) > 1 else ""
+        items = [
+            f"coalesce(`{place}{suffix}`, {fill})" if place < known else f"nullif({fill}, {fill})"
+            for place in range(size)
+        ]
+        return F.expr(f"array({', '.join(items)})").alias(name)
 
-    def at(place: Column) -> Column:
-        value = F.coalesce(F.try_element_at(values, place), fill)
-        return value if known_until is None else F.when(place < known_until, value)
+    return wide.select(*by, *[array(name, fill) for name, (_, fill) in values.items()])
 
-    return F.transform(places, at)
+
+def _spread_by_map(frame, by, size, values, known):
+    aggregates = [value.alias(name) for name, (value, _) in values.items()]
+    narrow = frame.groupBy(*by, "place").agg(*aggregates)
+    maps = narrow.groupBy(*by).agg(
+        *[F.map_from_entries(F.collect_list(F.struct("place", name))).alias(name) for name in values]
+    )
+
+    def array(name: str, fill: str) -> Column:
+        def at(place: Column) -> Column:
+            value = F.coalesce(F.try_element_at(F.col(name), place), F.expr(fill))
+            return F.when(place < known, value)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at).alias(name)
+
+    return maps.select(*by, *[array(name, fill) for name, (_, fill) in values.items()])
 
 
 def dense_series(
-    totals: DataFrame,
+    records: DataFrame,
     keys: Sequence[str],
-    place: str,
-    value: str,
     size: int,
     users: DataFrame | None = None,
     known_until: int | None = None,
 ) -> DataFrame:
-    """One array ``data`` per group, 0 where nothing was recorded.
+    """Seconds per ``place`` as one array ``data`` per group, 0 where nothing was recorded.
 
-    A group holds at most ``size`` rows, so gathering it is safe for the busiest user.
     ``users`` adds the groups that recorded nothing at all in the range.
     """
-    series = totals.groupBy(*keys).agg(place_map(place, value).alias("_values"))
-    if users is not None:
-        series = users.join(series, list(keys), "left")
-    values = F.coalesce(F.col("_values"), F.create_map().cast("map<int,bigint>"))
-    data = dense_array(values, size, F.lit(0).cast("long"), known_until)
-    return series.select(*keys, data.alias("data"))
+    series = spread(records, keys, size, {"data": (F.sum("elapsed_s"), "0L")}, known_until)
+    if users is None:
+        return series
+    known = size if known_until is None else known_until
+    nothing = ", ".join("0L" if place < known else "nullif(0L, 0L)" for place in range(size))
+    return users.join(series, list(keys), "left").select(
+        *keys, F.coalesce("data", F.expr(f"array({nothing})")).alias("data")
+    )
 
 
 def dense_rows(
-    totals: DataFrame,
-    keys: Sequence[str],
-    place: str,
-    value: str,
-    size: int,
-    users: DataFrame | None = None,
+    records: DataFrame, keys: Sequence[str], size: int, users: DataFrame | None = None
 ) -> DataFrame:
-    """``dense_series`` as one row per group and place.
+    """``dense_series`` as one row per group and place, with its ``total``.
 
     The arrays are never empty; the outer form merely keeps the optimizer from testing that,
     which would build every array twice.
     """
-    series = dense_series(totals, keys, place, value, size, users)
-    return series.select(*keys, F.posexplode_outer("data").alias(place, value))
+    series = dense_series(records, keys, size, users)
+    return series.select(*keys, F.posexplode_outer("data").alias("place", "total"))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from chronofold.operators import charts, ratios, reports, streaks, totals, weeks
+from chronofold.plans import series
 from chronofold.plans.daily import daily_totals
 from chronofold.plans.period import Period
 
@@ -144,6 +145,19 @@ def test_week_totals_are_gap_free(spark, records, rows):
     assert got == {(u, w): sums[u, w] for u in range(1, 16) for w in range(1, 7)}
 
 
+def test_long_series_take_the_map_path_to_the_same_result(records, monkeypatch):
+    def both():
+        return (
+            sorted(map(repr, charts.line_chart(records, "day", SPAN, dt.date(2024, 1, 20)).collect())),
+            sorted(map(repr, charts.stacked_chart(records, "day", SPAN).collect())),
+            sorted(map(repr, charts.chart_pair(records, "day", SPAN).collect())),
+        )
+
+    by_pivot = both()
+    monkeypatch.setattr(series, "_PIVOT_LABELS", 10)
+    assert both() == by_pivot
+
+
 def test_chart_pair_agrees_with_its_parts(records):
     pair = {r.user_id: r for r in charts.chart_pair(records, "week", SPAN).collect()}
     lines = {r.user_id: r.data for r in charts.line_chart(records, "week", SPAN).collect()}

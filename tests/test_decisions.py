@@ -239,3 +239,13 @@ def test_text_summary(make_records):
 def test_running_records_are_reported(make_records):
     row = totals.open_records(make_records(("2025-03-04", "A", None))).first()
     assert (row["count"], row.open_count, row.status) == (1, 1, "1 timer (ongoing).")
+
+
+def test_nothing_recorded_counts_zero(make_records):
+    nothing = make_records(("2025-03-04", "A")).filter("date > date '2026-01-01'")
+    assert totals.total_time(nothing, keys=()).first().total_time == 0
+    assert totals.timer_count(nothing, keys=()).first()["count"] == 0
+    mean = totals.mean_per_period(nothing, "month", dt.date(2025, 1, 1), keys=()).first()
+    assert mean.mean_month == 0.0
+    rows = weeks.past_weeks(nothing, dt.date(2025, 3, 12), 3, keys=()).collect()
+    assert [r.total_time for r in rows] == [0, 0, 0]
