@@ -24,6 +24,7 @@ from chronofold.plans.series import (
 )
 from chronofold.sources.tables import in_period
 
+# Fixed value: the name of every line series.
 LINE_NAME = "Total time"
 
 

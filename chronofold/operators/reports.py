@@ -30,7 +30,10 @@ from chronofold.plans.selection import RecordFilter, select_records
 from chronofold.plans.series import USER
 from chronofold.sources.tables import WorkLog, in_period
 
+# The largest unit a span's total is written in, and the chart titles.
 _MAX_UNIT = {"day": "hour", "week": "hour", "month": "day", "year": "day"}
+_LINE_TITLE = "Total time for {grain}"
+_STACKED_TITLE = "Task ratio per {grain}"
 
 
 def _hull(spans: Sequence[Period]) -> Period:
@@ -293,10 +296,10 @@ def custom_report(
             labels = cal.range_labels(grain, cal.date_lit(period.first), cal.date_lit(period.last))
             if kind == "line-chart":
                 series = charts.line_chart(records, grain, period, None, keys)
-                title = f"Total time for {grain}"
+                title = _LINE_TITLE.format(grain=grain)
             else:
                 series = charts.stacked_chart(records, grain, period, keys)
-                title = f"Task ratio per {grain}"
+                title = _STACKED_TITLE.format(grain=grain)
             report[f"{kind}:{grain}"] = series.withColumns(
                 {"labels": labels, "title": F.lit(title)}
             )

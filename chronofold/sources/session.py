@@ -36,3 +36,9 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     return tempfile.mkdtemp(prefix=f"{purpose}-")
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder nobody reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

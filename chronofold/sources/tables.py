@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from chronofold.functions.calendar import MONTH_FORMAT
 from chronofold.sources import schema
-from chronofold.sources.session import scratch_dir
+from chronofold.sources.session import drop_scratch, scratch_dir
 
 _STORED_RECORDS = T.StructType([*schema.RECORDS.fields, T.StructField("month", T.StringType())])
 
@@ -90,6 +90,7 @@ def upsert_records(spark: SparkSession, root: str, changed: DataFrame) -> list[s
     kept.unionByName(changed).write.parquet(f"{stage}/months")
     staged = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/months")
     write_months(staged, f"{root}/records", _RECORD_ORDER, months)
+    drop_scratch(spark, stage)
     return months
 
 
