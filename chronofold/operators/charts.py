@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions import calendar as cal
@@ -79,36 +79,42 @@ def chart_pair(
     """Stacked and line chart of one period from a single pass over the records.
 
     The records are summed once per (user, label, task). Those sums are then placed by user,
-    and the shares, the task arrays and the user's row all reuse that placement. A user's
-    row holds tasks x labels values, whatever the number of records behind them.
-    ``line_period`` narrows the line to part of the period.
+    and the task arrays, the label totals and the user's row all reuse that placement without
+    a sort. A user's row holds tasks x labels values, whatever the number of records behind
+    them. ``line_period`` narrows the line to part of the period.
     """
     size = cal.label_count(grain, period.first, period.last)
-    in_line = F.lit(True) if line_period is None else line_period.contains(F.col("date"))
+    known = size if known_until is None else known_until
+    seconds = {"data": F.col("elapsed_s")}
+    if line_period is not None:
+        seconds["line"] = F.when(line_period.contains(F.col("date")), F.col("elapsed_s"))
     totals = (
         _placed(records, grain, period)
         .groupBy(*keys, "place", "task_name")
-        .agg(
-            F.sum("elapsed_s").alias("task_total"),
-            F.sum(F.when(in_line, F.col("elapsed_s"))).alias("_line"),
-        )
+        .agg(*[F.sum(column).alias(name) for name, column in seconds.items()])
     )
-    label = Window.partitionBy(*keys, "place")
-    shares = by_user(totals, keys).withColumns(
-        {
-            "ratio": percent(F.col("task_total"), F.sum("task_total").over(label)),
-            "_line": F.sum("_line").over(label),
-        }
+    values = {name: (F.sum(name), "0L") for name in seconds}
+    per_task = spread(by_user(totals, keys), [*keys, "task_name"], size, values)
+
+    def label_totals(name: str, until: int) -> Column:
+        items = [
+            f"sum(get({name}, {place}))" if place < until else "nullif(0L, 0L)"
+            for place in range(size)
+        ]
+        return F.expr(f"array({', '.join(items)})")
+
+    per_user = per_task.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("task_name", "data"))).alias("tasks"),
+        label_totals("data", size).alias("whole"),
+        label_totals("data" if line_period is None else "line", known).alias("line"),
     )
-    values = {"data": (F.max("ratio"), "0D"), "line": (F.max("_line"), "0L")}
-    per_task = spread(shares, [*keys, "task_name"], size, values)
-    known = size if known_until is None else known_until
-    # Every task carries the line of its user, with zeros where the task is absent.
-    line = [
-        F.max(F.get("line", F.lit(place))) if place < known else F.lit(None).cast("long")
-        for place in range(size)
-    ]
-    return per_task.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("task_name").alias("name"), "data"))).alias("stacked"),
-        F.array(*line).alias("line"),
+
+    def shares(task: Column) -> Column:
+        return F.zip_with(
+            task["data"], "whole", lambda part, whole: F.coalesce(percent(part, whole), F.lit(0.0))
+        )
+
+    stacked = F.transform(
+        "tasks", lambda task: F.struct(task["task_name"].alias("name"), shares(task).alias("data"))
     )
+    return per_user.select(*keys, stacked.alias("stacked"), "line")
