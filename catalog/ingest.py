@@ -12,6 +12,7 @@ from catalog.search import _TITLE as TITLE
 from catalog.selection import key_sql, order_log, star_schema
 from catalog.sqltext import iso
 from catalog.views import RE, RO, event_records, guid_sql, table
+from chronofold.functions.calendar import moment_lit
 from chronofold.functions.keys import stable_guid, stable_id
 from chronofold.operators import ingest
 
@@ -246,7 +247,7 @@ def merge_edits(spark, sf_dir):
     def seconds(count):
         return F.make_dt_interval(secs=count.cast("decimal(18,6)"))
 
-    begin = F.lit(dt.datetime(2024, 2, 1, 23, 0)).cast("timestamp_ntz") + seconds(chars % 3000)
+    begin = moment_lit(dt.datetime(2024, 2, 1, 23, 0)) + seconds(chars % 3000)
     edits = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("record_id"),
         stable_id(F.col("source"), F.col("lang")).alias("task_id"),

@@ -11,6 +11,7 @@ from catalog.ingest import _elapsed
 from catalog.registry import query
 from catalog.sqltext import iso, total
 from catalog.views import RE, shape_events, table
+from chronofold.functions.calendar import moment_lit
 from chronofold.functions.keys import stable_id
 from chronofold.operators.totals import total_time
 from chronofold.sources import schema
@@ -145,7 +146,7 @@ def stream_late(spark, sf_dir):
     def later(moment, count):
         return moment + F.make_dt_interval(secs=count.cast("decimal(18,6)"))
 
-    begin = later(F.lit(dt.datetime(2024, 1, 3, 23, 0)).cast("timestamp_ntz"), chars % 3000)
+    begin = later(moment_lit(dt.datetime(2024, 1, 3, 23, 0)), chars % 3000)
     edits = _stream(spark, sf_dir, "documents").select(
         F.lit("edit").alias("operation"),
         F.lit(1).alias("seq"),

@@ -28,6 +28,12 @@ def date_lit(day: dt.date | Column) -> Column:
     return day if isinstance(day, Column) else F.lit(day).cast("date")
 
 
+def moment_lit(moment: dt.datetime) -> Column:
+    """A wall-clock literal. It goes through text: a datetime literal would be an instant and
+    shift with the time zone of the session."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def monday(day: Column) -> Column:
     return F.trunc(day, "week")
 

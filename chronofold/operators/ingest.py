@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.functions.calendar import moment_lit
 from chronofold.functions.durations import elapsed_seconds
 from chronofold.functions.keys import stable_guid, stable_id
 from chronofold.functions.text import split_task_text, title_case
@@ -222,7 +223,7 @@ def extend_last(
     """
     last = records.groupBy(*keys).agg(F.max(order).alias(order))
     rows = records.join(last, [*keys, order], "left_semi")
-    seconds = elapsed_seconds(F.col("begin_ts"), F.lit(now).cast("timestamp_ntz"))
+    seconds = elapsed_seconds(F.col("begin_ts"), moment_lit(now))
     return rows.withColumns(
         {"end_ts": _later(F.col("begin_ts"), seconds), "elapsed_s": seconds}
     )

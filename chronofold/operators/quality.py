@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.functions.calendar import moment_lit
 from chronofold.functions.keys import GUID_LENGTH
 
 # The operations a batch may carry, and what each of them needs.
@@ -35,7 +36,7 @@ def record_problems(incoming: DataFrame, now: dt.datetime) -> DataFrame:
     operation = F.col("operation")
     date, begin, end = F.col("date"), F.col("time_beginning"), F.col("time_ending")
     guid = F.col("guid")
-    moment = F.lit(now).cast("timestamp_ntz")
+    moment = moment_lit(now)
 
     def future(time: Column) -> Column:
         whole = F.concat(date, F.lit(" "), time).try_cast("timestamp_ntz")

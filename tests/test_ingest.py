@@ -162,6 +162,20 @@ def test_extend_last(spark):
     assert (got[2].elapsed_s, got[2].end_ts) == (82800, stamp("2025-01-02 11:00:00"))
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_now_is_a_wall_clock_time_in_any_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [(1, 1, "2025-01-01 09:00:00")]
+        records = spark.createDataFrame(rows, "record_id long, user_id long, b string")
+        records = records.selectExpr("record_id", "user_id", "cast(b as timestamp_ntz) as begin_ts")
+        row = ingest.extend_last(records, stamp("2025-01-01 11:00:00")).first()
+        assert (row.elapsed_s, row.end_ts) == (7200, stamp("2025-01-01 11:00:00"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_record_problems(spark):
     good = "x" * 26
     incoming = spark.createDataFrame(
