@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import repeats
+from chronofold.llm import jaccard, quality, repeats
 from chronofold.llm.ship import ship
 from chronofold.llm.tables import table
 
@@ -17,7 +17,29 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), width=50))
 
 
-_RUNNERS: dict[str, Runner] = {"op3_repeats": op3_repeats}
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "host_rejected",
+    )
+
+
+_RUNNERS: dict[str, Runner] = {
+    "op3_repeats": op3_repeats,
+    "op6_jaccard": op6_jaccard,
+    "op10_quality": op10_quality,
+}
 
 #: Only what DuckDB can run over the whole tables; the others are tested against brute force.
 _TWINS: dict[str, str] = {}
