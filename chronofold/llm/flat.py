@@ -36,6 +36,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def is_space() -> np.ndarray:
+    """For each byte, whether it separates words."""
+    return _SPACE.copy()
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

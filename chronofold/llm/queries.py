@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import jaccard, quality, repeats
+from chronofold.llm import jaccard, packing, quality, repeats, sentencepiece_bpe
+from chronofold.llm.files import tokenizer_bytes
 from chronofold.llm.ship import ship
 from chronofold.llm.tables import table
 
@@ -17,6 +18,16 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), width=50))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokenizer_bytes("word_bpe_49k.json").decode()
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer, capacity=4096, end_id=1)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_bytes("piece_bpe_32k.model")
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), model)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -37,7 +48,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNNERS: dict[str, Runner] = {
     "op3_repeats": op3_repeats,
+    "op4_packing": op4_packing,
     "op6_jaccard": op6_jaccard,
+    "op7_sentencepiece": op7_sentencepiece,
     "op10_quality": op10_quality,
 }
 
