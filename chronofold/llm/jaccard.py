@@ -10,12 +10,12 @@ Two texts link when 100 * |A & B| >= percent * |A | B|.
    only these prefixes are shuffled, and rare tokens lead them. The counts steer cost only: any
    order gives the same links.
 3. *Groups.* Similar classes are gathered round leaders: each class is compared with a few leaders
-   it shares most prefix tokens with; classes that links connect form a group.
-4. *Matrix.* A row (token, group) says that a member of the group has the token in its prefix. A
-   class queries the groups other than its own that its prefix meets there and whose sizes suit.
-   A group's members are dealt to blocks, each with the union of its members' tokens. If the
-   query's overlap with the union is below percent of its size, no member can link and the block
-   stays closed; the others are opened and compared member by member.
+   it shares many prefix tokens with; classes that links connect form a group.
+4. *Matrix.* A row (token, group) says that a member of the group has the token in its prefix; the
+   group's sizes go with it. A class queries the other groups: the number of its prefix tokens in
+   the group's union bounds its overlap with every member, and only groups within reach of the
+   threshold are opened. A group's members are dealt to blocks, each with the union of all its
+   members' tokens, which bounds the overlap once more before members are compared one by one.
 
 A group queries only groups that are larger (or as large, with a smaller root), which covers each
 pair of groups once, and a block answers with one link, since its members are connected already.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.flat import (
@@ -47,8 +47,8 @@ from chronofold.llm.tables import written
 
 #: Most frequent tokens whose order is known; more or fewer change the cost, not the links.
 COMMON_TOKENS = 100_000
-#: Leaders that a class is compared with in a round, and rounds.
-LEADERS, ROUNDS = 4, 2
+#: Leaders that a class is compared with.
+LEADERS = 4
 #: Classes in a block of a group, and queries that one task puts to it.
 BLOCK, QUERIES = 256, 4096
 
@@ -142,8 +142,10 @@ def _prefixes(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
             order = np.lexsort((token, place, owner))
             length = np.where(counts > 0, counts - -(-percent * counts // 100) + 1, 0)
             chosen = order[ranges(np.cumsum(counts) - counts, length)]
+            owner = owner[chosen]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(token[chosen])), pa.array(cls[owner[chosen]])], ["token", "cls"]
+                [pa.array(signed(token[chosen])), pa.array(cls[owner]), pa.array(counts[owner])],
+                ["token", "cls", "n"],
             )
 
     return run
@@ -169,22 +171,39 @@ def _links(common, size_a, size_b, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
 
-def _leaders(shared: DataFrame, seed: int) -> DataFrame:
+def _least(a: Column, b: Column, percent: int) -> Column:
+    """Prefix tokens that sets of these sizes share at least when they link.
+
+    A linking pair overlaps in ceil(percent * (a + b) / (100 + percent)) tokens. Of the set whose
+    prefix ends first, at most ceil(percent * n / 100) - 1 tokens lie behind the prefix.
+    """
+    overlap = F.ceil(percent * (a + b) / F.lit(100 + percent))
+    behind = F.ceil(percent * F.greatest(a, b) / F.lit(100)) - 1
+    return F.greatest(overlap - behind, F.lit(1))
+
+
+def _suits(a: Column, b: Column, percent: int) -> Column:
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
+def _leaders(shared: DataFrame, percent: int) -> DataFrame:
     """(cls, leader): per class the few leaders it shares most tokens with. A token's leaders are
     the classes that come first by several hash orders."""
     orders = [
-        F.min(F.struct(F.xxhash64("cls", F.lit(seed * LEADERS + i)).alias("o"), "cls"))["cls"]
-        for i in range(LEADERS)
+        F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("o"), "cls", "n")) for i in range(LEADERS)
     ]
     heads = shared.groupBy("token").agg(F.array_distinct(F.array(*orders)).alias("heads"))
+    # the count is of tokens that the leader leads, so half of what a link needs will do here
     pairs = (
         shared.join(heads, "token")
-        .select("cls", F.explode("heads").alias("leader"))
+        .select("cls", "n", F.explode("heads").alias("head"))
+        .groupBy("cls", "n", F.col("head.cls").alias("leader"), F.col("head.n").alias("m"))
+        .agg(F.count("*").alias("c"))
         .where(F.col("cls") != F.col("leader"))
-        .groupBy("cls", "leader")
-        .count()
+        .where(_suits(F.col("n"), F.col("m"), percent))
+        .where(2 * F.col("c") >= _least(F.col("n"), F.col("m"), percent))
     )
-    best = F.sort_array(F.collect_list(F.struct("count", "leader")), asc=False)
+    best = F.sort_array(F.collect_list(F.struct("c", "leader")), asc=False)
     return (
         pairs.groupBy("cls")
         .agg(F.slice(best, 1, LEADERS)["leader"].alias("leader"))
@@ -239,16 +258,12 @@ def _open(percent: int):
     return run
 
 
-def _between_groups(
-    shared: DataFrame, groups: DataFrame, lists: DataFrame, percent: int
-) -> DataFrame:
-    """Links between classes of different groups, at least one where there are any."""
+def _asked(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(cls, group, others) for queries whose prefix is within reach of a group's union."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
     placed = groups.join(sizes, "root").select("cls", "root", "members")
-    held = lists.select("cls", F.size("tokens").alias("n"))
     entries = written(
-        shared.join(placed, "cls").join(held, "cls").select("token", "cls", "root", "members", "n"),
-        "matrix",
+        shared.join(placed, "cls").select("token", "cls", "n", "root", "members"), "matrix"
     )
     mixed = (
         entries.groupBy("token")
@@ -257,22 +272,31 @@ def _between_groups(
         .select("token")
     )
     entries = entries.join(mixed, "token", "left_semi")
-    rows = entries.groupBy("token", F.col("root").alias("group"), F.col("members").alias("others")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most")
-    )
+    rows = entries.groupBy(
+        "token", F.col("root").alias("group"), F.col("members").alias("others")
+    ).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     larger = (F.col("others") > F.col("members")) | (
         (F.col("others") == F.col("members")) & (F.col("group") < F.col("root"))
     )
-    suits = (100 * F.col("n") >= percent * F.col("least")) & (
-        100 * F.col("most") >= percent * F.col("n")
-    )
-    asked = (
+    n = F.col("n")
+    # sizes of members that can link; the need is smallest at the ends of that span
+    low = F.greatest("least", F.ceil(percent * n / F.lit(100)))
+    high = F.least("most", F.floor(100 * n / F.lit(percent)))
+    need = F.least(_least(n, low, percent), _least(n, high, percent))
+    return (
         entries.join(rows, "token")
-        .where(larger & suits)
+        .where(larger)
+        .groupBy("cls", "n", "group", "others")
+        .agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+        .where((low <= high) & (F.col("c") >= need))
         .select("cls", "group", "others")
-        .distinct()
     )
-    asked = written(asked, "asked")
+
+
+def _between_groups(
+    asked: DataFrame, groups: DataFrame, lists: DataFrame, percent: int
+) -> DataFrame:
+    """Links between classes of different groups, at least one where there are any."""
     load = asked.groupBy("group").agg(
         F.ceil(F.first("others") / BLOCK).cast("long").alias("blocks"),
         F.ceil(F.count("*") / QUERIES).cast("long").alias("lanes"),
@@ -317,7 +341,6 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
         F.col("doc_id").isNotNull()
     )
-    spark = docs.sparkSession
     described = written(
         base.mapInArrow(_describe(k), "doc_id long, n_shingles long, cls long"), "classes"
     )
@@ -336,7 +359,7 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     rank = frequent["n"].to_numpy(dtype=np.int64)
     order = np.argsort(common)
     prefixes = base.mapInArrow(
-        _prefixes(k, percent, common[order], rank[order]), "token long, cls long"
+        _prefixes(k, percent, common[order], rank[order]), "token long, cls long, n long"
     )
     twice = (
         prefixes.groupBy("token")
@@ -347,27 +370,22 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     shared = written(
         prefixes.join(written(twice, "tokens"), "token").distinct(), "shared"
     )
-    sharing = shared.select("cls").distinct()
-    lists = written(
-        base.join(classes.join(sharing, "cls").select("doc_id"), "doc_id", "left_semi")
-        .mapInArrow(_token_lists(k), "cls long, tokens array<long>"),
-        "lists",
-    )
-    links = spark.createDataFrame([], "a long, b long")
-    groups = written(sharing.select("cls", F.col("cls").alias("root")), "grouped")
-    for number in range(ROUNDS):
-        open_tokens = (
-            shared.join(groups, "cls")
-            .groupBy("token")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .where(F.col("lo") != F.col("hi"))
-            .select("token")
-        )
-        left = shared.join(open_tokens, "token", "left_semi") if number else shared
-        pairs = _leaders(left, number)
-        links = links.unionAll(written(_verified(pairs, lists, percent), "star"))
-        groups = _grouped(sharing, links)
-    links = links.unionAll(written(_between_groups(shared, groups, lists, percent), "between"))
+
+    def lists_of(wanted: DataFrame) -> DataFrame:
+        ids = classes.join(wanted.distinct(), "cls", "left_semi").select("doc_id")
+        texts = base.join(ids, "doc_id", "left_semi")
+        return written(texts.mapInArrow(_token_lists(k), "cls long, tokens array<long>"), "lists")
+
+    pairs = written(_leaders(shared, percent), "leaders")
+    both = pairs.select("cls").unionAll(pairs.select(F.col("leader").alias("cls")))
+    links = written(_verified(pairs, lists_of(both), percent), "star")
+    groups = _grouped(shared.select("cls").distinct(), links)
+    asked = written(_asked(shared, groups, percent), "asked")
+    opened = groups.join(
+        asked.select(F.col("group").alias("root")), "root", "left_semi"
+    ).select("cls")
+    lists = lists_of(opened.unionAll(asked.select("cls")))
+    links = links.unionAll(written(_between_groups(asked, groups, lists, percent), "between"))
     roots = components(links, "roots").withColumnRenamed("node", "cls")
     tied = classes.join(roots, "cls")
     lowest = tied.groupBy("root").agg(F.min("doc_id").alias("lowest"))

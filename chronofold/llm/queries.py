@@ -5,8 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from chronofold.llm import jaccard, packing, quality, repeats, sentencepiece_bpe
+from pyspark.sql import functions as F
+
+from chronofold.llm import (
+    jaccard,
+    near_vectors,
+    packing,
+    quality,
+    repeats,
+    sentencepiece_bpe,
+    toxicity,
+)
 from chronofold.llm.files import tokenizer_bytes
 from chronofold.llm.ship import ship
 from chronofold.llm.tables import table
@@ -28,6 +37,21 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), model)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, held_out=toxicity.held_out)
+    return model.score(docs).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -49,8 +73,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUNNERS: dict[str, Runner] = {
     "op3_repeats": op3_repeats,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_near_vectors": op8_near_vectors,
     "op10_quality": op10_quality,
 }
 
