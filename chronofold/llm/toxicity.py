@@ -1,12 +1,13 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Features are rates over a whole text: words of an insult lexicon, such words near a second person,
-capitals, punctuation and obfuscated words. The lexicon is a given list and the words that the
-training rows show to be tied to toxic texts. Words are compared without case and punctuation, and
-once more with digits and signs read as the letters they stand for or as a masked letter.
+capitals, punctuation and obfuscated words. The lexicon is a given list and the words and word
+beginnings that training rows show to be tied to toxic texts, in any language. Words are compared
+without case and punctuation, and once more with digits and signs read as the letters they stand
+for or as a masked letter.
 
-At most ``sample`` labelled rows are learnt from, those with the smallest hash of their id. Three
-quarters fit the trees, the rest the calibration. Without rows of both labels there is nothing to
+At most ``sample`` labelled rows are learnt from, those with the smallest hash of their id. A
+half of them gives the lexicon, a quarter fits the trees, a quarter the calibration. Without rows of both labels there is nothing to
 learn: every score is the share of toxic training rows (0 without any).
 
 A text without words has features of zero and is scored like any other; null text counts as empty.
@@ -31,8 +32,10 @@ from chronofold.llm.flat import byte_hashes, pieces, words
 from chronofold.llm.tables import written
 
 SAMPLE = 20_000
-#: Learnt lexicon words: at most so many, in so many toxic training rows at least.
-LEARNT_WORDS, LEARNT_ROWS = 200, 8
+#: Learnt lexicon entries: at most so many, in so many toxic training rows at least.
+LEARNT_ENTRIES, LEARNT_ROWS = 5000, 4
+#: Letters of a word's beginning that can be an entry of the lexicon.
+STEM_LETTERS = (4, 5, 6)
 TREES, DEPTH, STEP = 20, 3, 0.3
 NEAR = 5
 
@@ -69,7 +72,7 @@ _KEEP_MASKED = _LETTER.copy()
 _KEEP_MASKED[list(b"*013457@$!|+")] = True
 
 FEATURES = (
-    "lexicon_rate lexicon_any obfuscated_lexicon_rate near_second_person second_person_rate "
+    "lexicon_rate lexicon_any learnt_rate learnt_any stem_rate stem_any obfuscated_lexicon_rate near_second_person second_person_rate "
     "capital_rate capital_word_rate exclamation_rate punctuation_rate symbol_rate digit_rate "
     "obfuscation_rate word_length log_words"
 ).split()
@@ -106,22 +109,42 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def _stems(letters: np.ndarray, start: np.ndarray, end: np.ndarray, k: int):
+    """Spans of the first k letters, for words that are longer."""
+    at = np.flatnonzero((letters & 0xC0) != 0x80)
+    char = np.searchsorted(at, start)
+    stop = np.append(at, [len(letters)])[np.minimum(char + k, len(at))]
+    return stop, stop < end
+
+
 def _features(lexicon: tuple[str, ...]):
-    plain = _hashes([*lexicon])
-    masked = _hashes([*lexicon, *sorted({m for w in lexicon for m in _masked(w)})])
+    given = INSULTS.split()
+    plain = _hashes(given)
+    masked = _hashes([*given, *sorted({m for w in given for m in _masked(w)})])
+    learnt = _hashes([w for w in lexicon if not w.startswith("^")])
+    stems = _hashes([w[1:] for w in lexicon if w.startswith("^")])
     person = _hashes(SECOND_PERSON.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
             found = words(data, offsets)
             start, end, first = found.start, found.end, found.first
-            letters, a, b = _squeezed(_FOLD[data], _LETTER[data], start, end)
+            folded = _FOLD[data]
+            latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+            latin = latin[(data[latin] <= 0x9E) & (data[latin] != 0x97)]
+            folded[latin] += 0x20
+            letters, a, b = _squeezed(folded, _LETTER[data], start, end)
             bare = byte_hashes(letters, a, b)
             lexical = _among(bare, plain) & (b > a)
             second = _among(bare, person) & (b > a)
+            tied = _among(bare, learnt) & (b > a)
+            begun = np.zeros(len(start), dtype=bool)
+            for k in STEM_LETTERS:
+                stop, longer = _stems(letters, a, b, k)
+                begun |= longer & _among(byte_hashes(letters, a, np.where(longer, stop, b)), stems)
             shown, c, d = _squeezed(_STANDS_FOR[data], _KEEP_MASKED[data], start, end)
             hidden = ~lexical & (d - c > 2) & _among(byte_hashes(shown, c, d), masked)
-            hit = lexical | hidden
+            hit = lexical | hidden | tied | begun
             # letters with a digit or sign between them
             outer = np.concatenate([[0], np.cumsum(_LETTER[data])])
             inner_sign = np.flatnonzero(
@@ -152,10 +175,11 @@ def _features(lexicon: tuple[str, ...]):
             n = np.maximum(found.counts, 1).astype(float)
             size = np.maximum(np.diff(offsets), 1).astype(float)
             alphabetic = np.maximum(per_byte(_LETTER[data]), 1.0)
-            count = per_text(hit)
-            columns = [
-                count / n,
-                np.minimum(count, 5.0),
+            columns = []
+            for flag in (lexical | hidden, tied, begun):
+                count = per_text(flag)
+                columns += [count / n, np.minimum(count, 5.0)]
+            columns += [
                 per_text(hidden) / n,
                 per_text(near) / n,
                 per_text(second) / n,
@@ -215,11 +239,19 @@ class Model:
 
 
 def _learnt_lexicon(rows: DataFrame) -> list[str]:
-    """Words far more usual in toxic training texts: smoothed odds of 20 to 1 and more."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), 0)))
+    """Words and word beginnings (marked by ^) far more usual in toxic texts: smoothed odds of 20
+    to 1 and more, those in most texts first."""
+    words_ = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+
+    def begins(k: int) -> Column:
+        long = F.filter("words", lambda w: F.length(w) > k)
+        return F.array_distinct(F.transform(long, lambda w: F.concat(F.lit("^"), F.substring(w, 1, k))))
+
+    entries = F.concat("words", *[begins(k) for k in STEM_LETTERS])
     counts = (
-        rows.select("toxic", word.alias("word"))
-        .groupBy("word")
+        rows.withColumn("words", words_)
+        .select("toxic", F.explode(entries).alias("entry"))
+        .groupBy("entry")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f"))
         .where(F.col("t") >= LEARNT_ROWS)
     )
@@ -227,8 +259,8 @@ def _learnt_lexicon(rows: DataFrame) -> list[str]:
     if not size["t"] or not size["f"]:
         return []
     odds = ((F.col("t") + 0.5) / (size["t"] + 1)) / ((F.col("f") + 0.5) / (size["f"] + 1))
-    best = counts.where(odds >= 20).orderBy(F.desc("t"), "word").limit(LEARNT_WORDS)
-    return [r["word"] for r in best.select("word").collect()]  # at most LEARNT_WORDS
+    best = counts.where(odds >= 20).orderBy(F.desc("t"), "entry").limit(LEARNT_ENTRIES)
+    return [r["entry"] for r in best.select("entry").collect()]  # at most LEARNT_ENTRIES
 
 
 def fit(
@@ -248,9 +280,10 @@ def fit(
     known = known.orderBy(order, "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(texts.join(F.broadcast(known), "doc_id"), "training")  # ``sample`` ids at most
-    lexicon = tuple(sorted({*INSULTS.split(), *_learnt_lexicon(rows)}))
-    found = features(rows, lexicon).join(rows.select("doc_id", "toxic"), "doc_id")
-    found = written(found.withColumn("part", F.pmod(order, F.lit(4))), "features")
+    part = F.pmod(order, F.lit(4))  # 0: calibration, 1: trees, 2 and 3: lexicon
+    lexicon = tuple(_learnt_lexicon(rows.where(part >= 2)))
+    found = features(rows.where(part < 2), lexicon).join(rows.select("doc_id", "toxic"), "doc_id")
+    found = written(found.withColumn("part", part), "features")
     counts = {
         (r["fits"], r["toxic"]): r["n"]
         for r in found.groupBy((F.col("part") > 0).alias("fits"), "toxic")
