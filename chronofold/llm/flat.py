@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked through in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95

@@ -93,7 +93,7 @@ def _describe(k: int):
     return run
 
 
-def _frequent(k: int, local: int = 200_000):
+def _frequent(k: int, local: int = 50_000):
     """The most frequent tokens of a task's texts; what is frequent overall is so somewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def _frequent(k: int, local: int = 200_000):
             token, _ = _sets(batch, data, offsets, k)
             waiting.append(token)
             size += len(token)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 reduce(2)
         if size or tokens:
             if sum(map(len, tokens + waiting)):
