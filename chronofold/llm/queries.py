@@ -11,9 +11,11 @@ from chronofold.llm import (
     jaccard,
     near_vectors,
     packing,
+    pii,
     quality,
     repeats,
     sentencepiece_bpe,
+    token_counts,
     toxicity,
 )
 from chronofold.llm.files import tokenizer_bytes
@@ -23,6 +25,18 @@ from chronofold.llm.tables import table
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tests and checks run with this key; a real job names its own in ``chronofold.pii.key``.
+_PII_KEY = "not-a-secret"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("chronofold.pii.key", _PII_KEY)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), width=50))
 
@@ -56,6 +70,11 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.vocabulary_of(tokenizer_bytes("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -71,12 +90,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUNNERS: dict[str, Runner] = {
+    "op1_pii": op1_pii,
     "op3_repeats": op3_repeats,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_near_vectors": op8_near_vectors,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
 
