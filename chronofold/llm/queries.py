@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import (
     jaccard,
+    licences,
     near_vectors,
     packing,
     pii,
@@ -37,6 +38,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.families(licences.scan(docs, licences.fit(docs)))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), width=50))
 
@@ -54,9 +60,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, held_out=toxicity.held_out)
-    return model.score(docs).select(
-        "doc_id",
-        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+    return model.score(docs.select("doc_id", "text")).select(
+        "row.doc_id",
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
@@ -91,6 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNNERS: dict[str, Runner] = {
     "op1_pii": op1_pii,
+    "op2_licences": op2_licences,
     "op3_repeats": op3_repeats,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,

@@ -23,13 +23,13 @@ Ids are unique; rows with a null id are left out. Equal texts keep the one with
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofold.llm.flat import (
     Words,
@@ -48,7 +48,6 @@ ANCHOR_WORDS = 8
 SHARD_WORDS = 200_000
 SHARD_BYTES = 32_000_000
 
-_OUT = "doc_id long, text string, n_words long, n_removed long"
 
 
 def _window_anchors(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -353,14 +352,14 @@ def _routed(texts: DataFrame, passages: DataFrame) -> DataFrame:
     )
 
 
-def _removed(width: int):
+def _removed(width: int, rejoin: bool):
     """Texts without the words of the windows named in ``starts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
             found = words(data, offsets)
             kept, gone = [], []
-            lists = batch.column("starts")
+            lists, before = batch.column("starts"), batch.column("text")
             for i in range(batch.num_rows):
                 lo, hi = int(found.first[i]), int(found.first[i + 1])
                 drop = np.zeros(hi - lo + 1, dtype=np.int64)
@@ -370,17 +369,19 @@ def _removed(width: int):
                         np.add.at(drop, at, 1)
                         np.add.at(drop, at + width, -1)
                 gone_here = np.cumsum(drop)[: hi - lo] > 0
-                kept.append(_joined(data, found, lo + np.flatnonzero(~gone_here)))
                 gone.append(int(gone_here.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(kept, pa.string()),
-                    pa.array(found.counts.astype(np.int64)),
-                    pa.array(gone, pa.int64()),
-                ],
-                ["doc_id", "text", "n_words", "n_removed"],
-            )
+                if gone[-1] or rejoin:
+                    kept.append(_joined(data, found, lo + np.flatnonzero(~gone_here)))
+                else:
+                    kept.append(before[i].as_py())
+            columns = {
+                "row": batch.column("row"),
+                "doc_id": batch.column("doc_id"),
+                "text": pa.array(kept, pa.string()),
+                "n_words": pa.array(found.counts.astype(np.int64)),
+                "n_removed": pa.array(gone, pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -396,11 +397,19 @@ def _joined(data: np.ndarray, found: Words, which: np.ndarray) -> str:
     return out[:-1].tobytes().decode()
 
 
-def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """Per text: ``doc_id, text`` (kept words joined by one space), ``n_words``, ``n_removed``."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-        F.col("doc_id").isNotNull()
+def remove_repeats(docs: DataFrame, width: int = 50, rejoin: bool = True) -> DataFrame:
+    """Per text: ``row`` (its other columns as a struct), ``doc_id, text, n_words, n_removed``.
+
+    The text is its kept words joined by one space; without ``rejoin`` a text that loses no word
+    stays as it was.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.where(F.col("doc_id").isNotNull()).select(
+        F.struct(F.lit(0).alias("_"), *rest).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
     )
+    base = whole.select("doc_id", "text")
     anchors = written(
         base.mapInArrow(_anchors(width), "doc_id long, anchor long"), "anchors"
     )
@@ -441,12 +450,16 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         _locate(width), "doc_id long, starts array<long>"
     )
     spans = located.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    return base.join(written(spans, "spans"), "doc_id", "left").mapInArrow(_removed(width), _OUT)
+    schema = T.StructType(
+        [
+            whole.schema["row"],
+            *[whole.schema[c] for c in ("doc_id", "text")],
+            *[T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")],
+        ]
+    )
+    joined = whole.join(written(spans, "spans"), "doc_id", "left")
+    return joined.mapInArrow(_removed(width, rejoin), schema)
 
 
 def digest(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -27,6 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofold.llm.flat import byte_hashes, pieces, words
 from chronofold.llm.tables import written
@@ -197,18 +198,22 @@ def _features(lexicon: tuple[str, ...]):
             cuts = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    batch.column("row"),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.reshape(-1))),
                 ],
-                ["doc_id", "features"],
+                ["row", "features"],
             )
 
     return run
 
 
 def features(docs: DataFrame, lexicon: tuple[str, ...]) -> DataFrame:
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(_features(lexicon), "doc_id long, features array<double>")
+    """``row``, the input row as a struct, and its ``features``."""
+    base = docs.select(F.struct("*").alias("row"), "text")
+    schema = T.StructType(
+        [base.schema["row"], T.StructField("features", T.ArrayType(T.DoubleType()))]
+    )
+    return base.mapInArrow(_features(lexicon), schema)
 
 
 @dataclass
@@ -219,10 +224,10 @@ class Model:
     base_rate: float
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, score`` of every row."""
+        """``row``, the input row as a struct, and its ``score``."""
         if self.trees is None:
-            return docs.select(F.col("doc_id").cast("long"), F.lit(self.base_rate).alias("score"))
-        return self._calibrated(features(docs, self.lexicon)).select("doc_id", "score")
+            return docs.select(F.struct("*").alias("row"), F.lit(self.base_rate).alias("score"))
+        return self._calibrated(features(docs, self.lexicon)).select("row", "score")
 
     def raw(self, found: DataFrame) -> DataFrame:
         vectors = found.withColumn("features", array_to_vector("features"))
@@ -282,8 +287,9 @@ def fit(
     rows = written(texts.join(F.broadcast(known), "doc_id"), "training")  # ``sample`` ids at most
     part = F.pmod(order, F.lit(4))  # 0: calibration, 1: trees, 2 and 3: lexicon
     lexicon = tuple(_learnt_lexicon(rows.where(part >= 2)))
-    found = features(rows.where(part < 2), lexicon).join(rows.select("doc_id", "toxic"), "doc_id")
-    found = written(found.withColumn("part", part), "features")
+    learnt = rows.where(part < 2).withColumn("part", part).select("toxic", "part", "text")
+    found = features(learnt, lexicon).select("row.toxic", "row.part", "features")
+    found = written(found, "features")
     counts = {
         (r["fits"], r["toxic"]): r["n"]
         for r in found.groupBy((F.col("part") > 0).alias("fits"), "toxic")
