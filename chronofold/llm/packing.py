@@ -38,7 +38,7 @@ NUMBERED = 50_000
 PATTERN_LENGTHS = 160
 FIT_ROUNDS = 400
 #: Shares of the fitted repeats that are tried; best fit packs the rest.
-SHARES = (1.0, 0.9, 0.75, 0.5)
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1)
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

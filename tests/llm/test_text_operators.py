@@ -103,7 +103,8 @@ def test_quality_measures(documents, corpus):
     for number, text in enumerate(texts):
         row = got[number]
         want = brute_quality(text)
-        assert tuple(row[2:4]) + (row.n_symbols, row.n_dup_lines, row.n_repeat_words) == want
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        assert tuple(row[name] for name in names) == want
         assert row.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
 
 
