@@ -233,7 +233,7 @@ def pair_begin_end(spark, sf_dir):
                  else {key_sql('task_name', 'subtask')} end as task_id,
                case when edited then '2024-02-01' else {iso('date')} end as date,
                case when edited then {_stamp('b')} else {_stamp('begin_ts')} end as begin_ts,
-               case when edited then {_stamp('e')} else {_stamp('begin_ts + to_seconds(elapsed_s)')} end as end_ts,
+               case when edited then {_stamp('b + to_seconds(s)')} else {_stamp('begin_ts + to_seconds(elapsed_s)')} end as end_ts,
                case when edited then s else elapsed_s end as elapsed_s,
                case when lang = 'en' then {key_sql('lang')} when tag is not null then {key_sql('tag')} end as tag_id,
                case when n_chars > 300 then text end as log

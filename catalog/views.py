@@ -133,5 +133,6 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guid_sql(*parts: str) -> str:
-    text = ", ".join(f"coalesce(cast({part} as varchar), '')" for part in parts)
+    said = "coalesce(length(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+    text = ", ".join(said.format(part) for part in parts)
     return f"upper(substr(md5(concat_ws('|', {text})), 1, 26))"

@@ -21,7 +21,7 @@ def whole_div(numerator: Column, denominator: Column | int) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """``part / whole`` in percent, rounded half up to one decimal, NULL for an empty whole."""
-    part, whole = part.cast("long"), whole.cast("long")
+    part, whole = part.cast("decimal(28,0)"), whole.cast("decimal(28,0)")
     return whole_div(part * 2000 + whole, whole * 2).cast("double") / 10
 
 

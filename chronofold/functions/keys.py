@@ -6,22 +6,63 @@ key would not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GUID_LENGTH = 26
 
 
-def _digest(*parts: Column) -> Column:
-    texts = [F.coalesce(part.cast("string"), F.lit("")) for part in parts]
-    return F.md5(F.concat_ws("|", *texts))
+#: Keys tried for one set of values before giving up.
+GENERATIONS = 64
+
+
+def _digest(*parts: Column, generation: Column | None = None) -> Column:
+    """Each part comes after its length and a missing one is a dash, so no two lists of parts
+    read alike. Later generations are other keys for the same parts."""
+    texts = []
+    for part in parts:
+        text = part.cast("string")
+        said = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        texts.append(F.coalesce(said, F.lit("-")))
+    whole = F.concat_ws("|", *texts)
+    if generation is not None:
+        tail = F.concat(F.lit("#"), generation.cast("string"))
+        whole = F.concat(whole, F.when(generation > 0, tail).otherwise(F.lit("")))
+    return F.md5(whole)
 
 
-def stable_guid(*parts: Column) -> Column:
+def stable_guid(*parts: Column, generation: Column | None = None) -> Column:
     """A 26-character text key."""
-    return F.upper(F.substring(_digest(*parts), 1, GUID_LENGTH))
+    return F.upper(F.substring(_digest(*parts, generation=generation), 1, GUID_LENGTH))
 
 
-def stable_id(*parts: Column) -> Column:
+def stable_id(*parts: Column, generation: Column | None = None) -> Column:
     """A 60-bit number key."""
-    return F.conv(F.substring(_digest(*parts), 1, 15), 16, 10).cast("long")
+    text = F.substring(_digest(*parts, generation=generation), 1, 15)
+    return F.conv(text, 16, 10).cast("long")
+
+
+def with_free_keys(rows: DataFrame, names: Sequence[str], taken: DataFrame, key: str) -> DataFrame:
+    """``rows`` (distinct in ``names``) with ``key`` and ``guid`` that ``taken`` does not hold.
+
+    A name that was given up by a rename has left its first key with the renamed row; the next
+    generation that is free is used then. A rerun on the same dimension gives the same keys.
+    """
+    parts = [F.col(name) for name in names]
+    first = rows.select(*names, F.lit(0).alias("_g"))
+    held = taken.select(key)
+    clash = first.withColumn(key, stable_id(*parts)).join(held, key, "left_semi").select(*names)
+    later = clash.withColumn("_g", F.explode(F.sequence(F.lit(1), F.lit(GENERATIONS))))
+    candidates = first.unionByName(later)
+    free = candidates.withColumn(key, stable_id(*parts, generation=F.col("_g"))).join(
+        held, key, "left_anti"
+    )
+    chosen = free.groupBy(*names).agg(F.min("_g").alias("_g"))
+    generation = F.col("_g")
+    return chosen.select(
+        stable_id(*parts, generation=generation).alias(key),
+        *names,
+        stable_guid(*parts, generation=generation).alias("guid"),
+    )

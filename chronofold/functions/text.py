@@ -45,7 +45,7 @@ def matches_like(column: Column, pattern: str) -> Column:
     """SQL LIKE over the whole value, ignoring the case of ASCII letters only."""
     signs = {"%": ".*", "_": "."}
     body = "".join(signs.get(char, re.escape(char)) for char in pattern)
-    return column.rlike(f"(?is)^{body}$")
+    return column.rlike(rf"(?is)\A{body}\z")
 
 
 def snake_case(name: str) -> str:

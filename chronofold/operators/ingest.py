@@ -16,17 +16,18 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.calendar import moment_lit
 from chronofold.functions.durations import elapsed_seconds
-from chronofold.functions.keys import stable_guid, stable_id
-from chronofold.functions.text import split_task_text, title_case
+from chronofold.functions.keys import with_free_keys
+from chronofold.functions.text import split_task_text, strip, title_case
 from chronofold.plans.series import USER
 
 
 def last_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """The last entry of every key. Partial maxima are taken before the shuffle, so a key
+    """The last entry of every key: the greatest ``order`` (NULL is lowest), among equals the
+    greatest of the other values in turn. Partial maxima are taken before the shuffle, so a key
     that fills a third of the batch costs one row per task."""
-    values = [name for name in batch.columns if name != key]
-    last = batch.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("_last"))
-    return last.select(key, "_last.*")
+    values = [name for name in batch.columns if name not in (key, order)]
+    last = batch.groupBy(key).agg(F.max(F.struct(order, *values)).alias("_last"))
+    return last.select(key, *[f"_last.{name}" for name in batch.columns if name != key])
 
 
 def normalise_tasks(tasks: DataFrame) -> DataFrame:
@@ -46,10 +47,7 @@ def new_tasks(incoming: DataFrame, tasks: DataFrame) -> DataFrame:
     """Rows for the incoming (task, subtask) pairs that do not exist yet."""
     pairs = normalise_tasks(incoming.select("task_name", "subtask")).distinct()
     missing = pairs.join(tasks, _same_task(pairs, tasks), "left_anti")
-    names = F.col("task_name"), F.col("subtask")
-    return missing.select(
-        stable_id(*names).alias("task_id"), *names, stable_guid(*names).alias("guid")
-    )
+    return with_free_keys(missing, ("task_name", "subtask"), tasks, "task_id")
 
 
 def add_tasks(incoming: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -87,9 +85,47 @@ def resolve_keys(incoming: DataFrame, tasks: DataFrame, tags: DataFrame) -> Data
     return resolved.withColumn("problem", problem).drop("task_guid", "tag_guid")
 
 
+def _claims(
+    rows: DataFrame, latest: DataFrame, names: Sequence[str]
+) -> DataFrame:
+    """``latest`` changes (guid, seq, new names) with their ``outcome``.
+
+    ``unknown`` guid; ``refused`` when another row has the new names, or an earlier change of the
+    batch takes them; ``changed`` otherwise.
+    """
+    own = rows.select("guid", F.lit(True).alias("_known"))
+    found = latest.join(own, "guid", "left")
+    # Holders of a name: rows as they are, and the first change that asks for it.
+    key = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("_name")
+    holders = rows.select(key, F.col("guid").alias("_holder"))
+    asked = found.filter("_known").select(key, F.struct("seq", "guid").alias("_ask"))
+    first = asked.groupBy("_name").agg(F.min("_ask")["guid"].alias("_first"))
+    judged = (
+        found.withColumn("_name", key).join(holders, "_name", "left").join(first, "_name", "left")
+    )
+    taken = F.col("_holder").isNotNull() & (F.col("_holder") != F.col("guid"))
+    outcome = (
+        F.when(F.col("_known").isNull(), F.lit("unknown"))
+        .when(taken | (F.col("_first") != F.col("guid")), F.lit("refused"))
+        .otherwise(F.lit("changed"))
+    )
+    return judged.select(*latest.columns, outcome.alias("outcome"))
+
+
+def _task_changes(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    latest = last_per_key(normalise_tasks(changes), "guid", "seq")
+    return _claims(tasks, latest.select("guid", "seq", "task_name", "subtask"), ("task_name", "subtask"))
+
+
+def task_change_outcome(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """For each guid to change: ``changed``, ``refused`` (its new names are taken) or ``unknown``."""
+    return _task_changes(tasks, changes).select("guid", "outcome")
+
+
 def update_tasks(tasks: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace both names of the tasks whose guid a change mentions."""
-    latest = last_per_key(normalise_tasks(changes), "guid", "seq").select(
+    """Replace both names of the tasks whose guid a change mentions, unless another task has
+    them; ``task_change_outcome`` tells what became of every change."""
+    latest = _task_changes(tasks, changes).filter("outcome = 'changed'").select(
         "guid",
         F.col("task_name").alias("_task"),
         F.col("subtask").alias("_subtask"),
@@ -132,18 +168,56 @@ def delete_unreferenced(
 def merge_tags(tags: DataFrame, changes: DataFrame, records: DataFrame) -> DataFrame:
     """Apply ``rename``, ``delete`` and ``add`` entries (column ``operation``), in that order.
 
-    Referenced tags stay, tags that exist are not added again.
+    A rename to a name that is taken is refused (``tag_rename_outcome``), referenced tags stay, tags
+    that exist are not added again.
     """
-    renames = last_per_key(changes.filter("operation = 'rename'"), "guid", "seq")
+    renames = _tag_renames(tags, changes).filter("outcome = 'changed'")
     renamed = tags.join(renames.select("guid", F.col("tag").alias("_tag")), "guid", "left").select(
         "tag_id", F.coalesce("_tag", "tag").alias("tag"), "guid"
     )
     kept = delete_unreferenced(renamed, "tag_id", changes.filter("operation = 'delete'"), records)
-    added = changes.filter("operation = 'add'").select("tag").distinct().join(kept, "tag", "left_anti")
-    tag = F.col("tag")
-    return kept.unionByName(
-        added.select(stable_id(tag).alias("tag_id"), "tag", stable_guid(tag).alias("guid"))
-    ).select("tag_id", "tag", "guid")
+    added = changes.filter("operation = 'add'").select("tag")
+    return kept.unionByName(new_tags(added, kept)).select("tag_id", "tag", "guid")
+
+
+def _tag_renames(tags: DataFrame, changes: DataFrame) -> DataFrame:
+    latest = last_per_key(changes.filter("operation = 'rename'"), "guid", "seq")
+    return _claims(tags, latest.select("guid", "seq", "tag"), ("tag",))
+
+
+def tag_rename_outcome(tags: DataFrame, changes: DataFrame) -> DataFrame:
+    """For each guid to rename: ``changed``, ``refused`` (the name is taken) or ``unknown``."""
+    return _tag_renames(tags, changes).select("guid", "outcome")
+
+
+def new_tags(incoming: DataFrame, tags: DataFrame) -> DataFrame:
+    """Rows for the incoming ``tag`` names that do not exist yet; no name, no tag."""
+    names = incoming.select("tag").filter(F.col("tag") != "").distinct()
+    return with_free_keys(names.join(tags, "tag", "left_anti"), ("tag",), tags, "tag_id")
+
+
+def resolve_tag_names(named: DataFrame, tags: DataFrame) -> DataFrame:
+    """Add ``tag_id`` by name; NULL where the tag does not exist."""
+    return named.join(tags.select("tag", "tag_id"), "tag", "left")
+
+
+def tag_ids_from_text(
+    incoming: DataFrame, tags: DataFrame, text: str = "tag_text"
+) -> tuple[DataFrame, DataFrame]:
+    """Records whose tag is written as text: the tags, completed by those the batch names for the
+    first time, and the batch with ``tag_id`` (NULL for empty text)."""
+    named = incoming.withColumn("tag", F.nullif(strip(F.col(text)), F.lit("")))
+    complete = tags.unionByName(new_tags(named, tags).select(*tags.columns))
+    return complete, resolve_tag_names(named, complete)
+
+
+def change_outcome(records: DataFrame, changes: DataFrame) -> DataFrame:
+    """For each record an ending or edit names: ``applied``, or ``unknown`` when no such record is
+    stored. Unknown ones belong in a table of their own until their record comes."""
+    wanted = changes.select("record_id").distinct()
+    known = records.select("record_id", F.lit(True).alias("_known"))
+    outcome = F.when(F.col("_known"), F.lit("applied")).otherwise(F.lit("unknown"))
+    return wanted.join(known, "record_id", "left").select("record_id", outcome.alias("outcome"))
 
 
 def _moment(date: str, time: str) -> Column:
@@ -196,7 +270,8 @@ def add_endings(records: DataFrame, endings: DataFrame) -> DataFrame:
 
 def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Replace task, date and times of the edited records; tag and log only when the edit
-    carries a new value. Elapsed seconds are computed again."""
+    carries a new value. Elapsed seconds are computed again; an end at or before the begin is on
+    the next day."""
     names = ("task_id", "date", "begin_ts", "end_ts", "tag_id", "log")
     latest = last_per_key(edits, "record_id", "seq").select(
         "record_id", *[F.col(name).alias(f"_{name}") for name in names], F.lit(True).alias("_edited")
@@ -205,8 +280,10 @@ def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
     seconds = elapsed_seconds(F.col("_begin_ts"), F.col("_end_ts"))
     columns = {
         name: F.when(edited, F.col(f"_{name}")).otherwise(F.col(name))
-        for name in ("task_id", "date", "begin_ts", "end_ts")
+        for name in ("task_id", "date", "begin_ts")
     }
+    end = _later(F.col("_begin_ts"), seconds)
+    columns["end_ts"] = F.when(edited, end).otherwise(F.col("end_ts"))
     columns["tag_id"] = F.coalesce("_tag_id", "tag_id")
     columns["log"] = F.coalesce("_log", "log")
     columns["elapsed_s"] = F.when(edited, seconds).otherwise(F.col("elapsed_s"))

@@ -57,6 +57,11 @@ def refresh(spark: SparkSession, root: str, months: list[str] | None = None) ->
     tables.write_months(named, f"{root}/daily", ("user_id", "date"), months)
 
 
+def stored(spark: SparkSession, root: str) -> bool:
+    """Whether daily totals are kept for this table."""
+    return tables.exists(spark, f"{root}/daily")
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
     schema = (
         "elapsed_s long, date date, user_id long, record_count long, open_count long, "

@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Which time span wins when a request carries several, first match first.
+# Names of the request format and which time span wins when a request carries several, first match first.
 STATS_ORDER = ("day", "week", "week_pair", "month", "year", "range_pair")
 SEARCH_ORDER = ("day", "week_pair", "range_pair", "year", "month")
-# A client request may name only one of these.
+# A client request may name only one of these.
 EXCLUSIVE_SPANS = ("day", "month", "week[]", "year", "range[]")
 
+# Names of the request format.
 _PAIRS = {"week_pair": ("weekStart", "weekEnd"), "range_pair": ("rangeBeginning", "rangeEnding")}
 
 

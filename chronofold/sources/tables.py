@@ -6,6 +6,8 @@ and each file is sorted by user and date, so row groups can be skipped on either
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,15 @@ class WorkLog:
 
 
 def read_records(spark: SparkSession, root: str) -> DataFrame:
+    """The records; months that an upsert is just replacing are read from where it staged them."""
+    stored, pending = _stored(spark, root), _pending(spark, root)
+    if pending is None:
+        return stored
+    staged = spark.read.schema(_STORED_RECORDS).parquet(f"{pending['stage']}/months")
+    return stored.filter(~F.col("month").isin(pending["months"])).unionByName(staged)
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_STORED_RECORDS).parquet(f"{root}/records")
 
 
@@ -68,32 +79,138 @@ _RECORD_ORDER = ("user_id", "date", "record_id")
 def write_records(records: DataFrame, root: str) -> None:
     with_month = records.withColumn("month", F.date_format("date", MONTH_FORMAT))
     write_months(with_month, f"{root}/records", _RECORD_ORDER)
+    _write_places(read_records(records.sparkSession, root), root, "overwrite")
+
+
+def _write_places(records: DataFrame, root: str, mode: str) -> None:
+    """The months a record has been stored in: a narrow table that upserts look ids up in. It may
+    name months that a record has left, which costs a look, never a row."""
+    records.select("record_id", "month").write.mode(mode).parquet(f"{root}/places")
+
+
+def _months_of(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+    """Months that may hold these ids, from the narrow table alone."""
+    if not exists(spark, f"{root}/places"):
+        _write_places(_stored(spark, root), root, "overwrite")
+    places = spark.read.schema("record_id string, month string").parquet(f"{root}/places")
+    return places.join(ids, "record_id", "left_semi").select("month")
+
+
+def edited_records(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+    """Stored records with these ids, read from the months that may hold them."""
+    months = [row.month for row in _months_of(spark, root, ids).distinct().collect()]
+    stored = read_records(spark, root).filter(F.col("month").isin(months))
+    return stored.join(ids.distinct(), "record_id", "left_semi")
 
 
-def upsert_records(spark: SparkSession, root: str, changed: DataFrame) -> list[str]:
+def upsert_records(
+    spark: SparkSession, root: str, changed: DataFrame, batch: str | None = None
+) -> list[str]:
     """Write full rows over the stored ones with the same ``record_id``, or add them.
 
-    Only the months that lose or gain a row are rewritten. Their new content is staged in the
-    scratch folder before it replaces the old one, so a job that dies half-way can be run
-    again. Returns the months, a list as long as the calendar at most.
+    Rows without a key or a date go to ``rejected_records`` under the name of the batch. Of several
+    rows with one key the greatest counts. Only months that hold or get one of the records are
+    read and rewritten; they are found in a narrow table of keys. Their new content is staged, and
+    the table notes where before the first old file goes. A job that dies at any point leaves a
+    table that reads whole, and ``recover`` or the next upsert completes it. Returns the months, a
+    list as long as the calendar at most.
     """
+    recover(spark, root)
     stage = scratch_dir(spark, "upsert")
-    changed = changed.select(*[field.name for field in schema.RECORDS.fields])
-    changed.withColumn("month", F.date_format("date", MONTH_FORMAT)).write.parquet(f"{stage}/changed")
+    names = [field.name for field in schema.RECORDS.fields]
+    incoming = changed.select(*names).withColumn("month", F.date_format("date", MONTH_FORMAT))
+    incoming.write.parquet(f"{stage}/incoming")
+    incoming = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/incoming")
+    complete = F.col("record_id").isNotNull() & F.col("date").isNotNull()
+    rejected = incoming.filter(~complete).select(
+        *names,
+        F.when(F.col("record_id").isNull(), F.lit("no key")).otherwise(F.lit("no date")).alias("problem"),
+    )
+    if not rejected.isEmpty():
+        rejected.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch or uuid.uuid4().hex}")
+    rest = [n for n in (*names, "month") if n != "record_id"]
+    unique = incoming.filter(complete).groupBy("record_id").agg(F.max(F.struct(*rest)).alias("_row"))
+    unique.select("record_id", *[f"_row.{n}" for n in rest]).write.parquet(f"{stage}/changed")
     changed = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/changed")
-    stored = read_records(spark, root)
     ids = changed.select("record_id")
-    losing = stored.select("record_id", "month").join(ids, "record_id", "left_semi")
-    touched = losing.select("month").unionByName(changed.select("month")).distinct()
+    touched = _months_of(spark, root, ids).unionByName(changed.select("month")).distinct()
     months = sorted(row.month for row in touched.collect())
-    kept = stored.filter(F.col("month").isin(months)).join(ids, "record_id", "left_anti")
-    kept.unionByName(changed).write.parquet(f"{stage}/months")
-    staged = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/months")
-    write_months(staged, f"{root}/records", _RECORD_ORDER, months)
+    if months:
+        stored = read_records(spark, root).filter(F.col("month").isin(months))
+        kept = stored.join(ids, "record_id", "left_anti")
+        kept.unionByName(changed).write.parquet(f"{stage}/months")
+        _write_places(changed, root, "append")
+        _note(spark, root, {"stage": stage, "months": months})
+        recover(spark, root)
     drop_scratch(spark, stage)
     return months
 
 
+def rejected_records(spark: SparkSession, root: str) -> DataFrame:
+    """Rows that upserts could not store, with their ``problem`` and ``batch``."""
+    kept = T.StructType(
+        [
+            *schema.RECORDS.fields,
+            T.StructField("problem", T.StringType()),
+            T.StructField("batch", T.StringType()),
+        ]
+    )
+    if not exists(spark, f"{root}/rejected"):
+        return spark.createDataFrame([], kept)
+    return spark.read.schema(kept).parquet(f"{root}/rejected")
+
+
+def recover(spark: SparkSession, root: str) -> None:
+    """Complete an upsert that was cut off while it replaced months; can be repeated."""
+    pending = _pending(spark, root)
+    if pending is None:
+        return
+    staged = spark.read.schema(_STORED_RECORDS).parquet(f"{pending['stage']}/months")
+    write_months(staged, f"{root}/records", _RECORD_ORDER, pending["months"])
+    _path(spark, root, _NOTE).delete()
+
+
+_NOTE = "pending-upsert.json"
+
+
+@dataclass(frozen=True)
+class _File:
+    """One small file of a table, by the file system that Spark reads it with."""
+
+    system: object
+    path: object
+
+    def delete(self) -> None:
+        self.system.delete(self.path, False)
+
+
+def _path(spark: SparkSession, root: str, name: str) -> _File:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return _File(path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    file = _path(spark, path, ".")
+    return file.system.exists(file.path.getParent())
+
+
+def _note(spark: SparkSession, root: str, content: dict) -> None:
+    """Written under another name first, so it is there whole or not at all."""
+    part, whole = _path(spark, root, f"{_NOTE}.part"), _path(spark, root, _NOTE)
+    out = part.system.create(part.path, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    part.system.rename(part.path, whole.path)
+
+
+def _pending(spark: SparkSession, root: str) -> dict | None:
+    file = _path(spark, root, _NOTE)
+    if not file.system.exists(file.path):
+        return None
+    rows = spark.read.text(f"{root}/{_NOTE}", wholetext=True).collect()
+    return json.loads(rows[0].value)
+
+
 def write_dimension(frame: DataFrame, root: str, name: str) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/{name}")
 

@@ -6,37 +6,83 @@ every micro-batch is merged into the record table, and totals are read from ther
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.operators.ingest import apply_edits, last_per_key
+from chronofold.operators.ingest import apply_edits, change_outcome, last_per_key
+from chronofold.plans import daily
 from chronofold.sources import schema
-from chronofold.sources.tables import read_records, upsert_records
+from chronofold.sources.session import drop_scratch
+from chronofold.sources.tables import edited_records, upsert_records
 
 _FIELDS = [field.name for field in schema.RECORDS.fields]
 
 
-def merge_batch(spark: SparkSession, root: str, batch: DataFrame) -> None:
+def merge_batch(spark: SparkSession, root: str, batch: DataFrame, number: int | None = None) -> None:
     """Merge one batch of rows with ``operation`` (``old`` or ``edit``) and ``seq``.
 
-    Merging the same batch again leaves the table as it is, so a retried micro-batch is safe.
+    Edits of records that are not stored yet wait in ``pending_edits`` and are tried again with
+    every batch. Stored daily totals of the months that changed are refreshed. Merging the same
+    batch again leaves the table as it is, so a retried micro-batch is safe.
     """
+    name = uuid.uuid4().hex if number is None else str(number)
     batch = batch.persist()
     try:
         old = last_per_key(batch.filter("operation = 'old'"), "record_id", "seq")
-        upsert_records(spark, root, old.select(*_FIELDS))
-        edits = batch.filter("operation = 'edit'")
-        stored = read_records(spark, root).select(*_FIELDS)
-        affected = stored.join(edits.select("record_id").distinct(), "record_id", "left_semi")
-        upsert_records(spark, root, apply_edits(affected, edits))
+        months = upsert_records(spark, root, old.select(*_FIELDS), f"{name}-old")
+        columns = [c for c in batch.columns if c != "operation"]
+        edits = batch.filter("operation = 'edit'").select(*columns)
+        waiting = pending_edits(spark, root)
+        if waiting is not None:
+            edits = edits.unionByName(waiting.select(*columns))
+        edits = last_per_key(edits, "record_id", "seq").persist()
+        stored = edited_records(spark, root, edits.select("record_id"))
+        affected = stored.select(*_FIELDS)
+        months += upsert_records(spark, root, apply_edits(affected, edits), f"{name}-edit")
+        known = change_outcome(
+            edited_records(spark, root, edits.select("record_id")), edits
+        ).filter("outcome = 'unknown'")
+        _keep_pending(spark, root, edits.join(known, "record_id", "left_semi").select(*columns))
+        edits.unpersist()
+        if months and daily.stored(spark, root):
+            daily.refresh(spark, root, sorted(set(months)))
     finally:
         batch.unpersist()
 
 
+def pending_edits(spark: SparkSession, root: str) -> DataFrame | None:
+    """Edits whose record has not come yet; None when there never were any."""
+    versions = _versions(spark, root)
+    return spark.read.parquet(f"{root}/pending/{versions[-1]}") if versions else None
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pending")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(folder)]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(n for n in names if system.exists(done(f"{root}/pending/{n}/_SUCCESS")))
+
+
+def _keep_pending(spark: SparkSession, root: str, edits: DataFrame) -> None:
+    """Write the next version; the one before stays readable until this one is complete."""
+    versions = _versions(spark, root)
+    if not versions and edits.isEmpty():
+        return
+    number = int(versions[-1]) + 1 if versions else 0
+    edits.write.mode("overwrite").parquet(f"{root}/pending/{number:012d}")
+    for old in versions:
+        drop_scratch(spark, f"{root}/pending/{old}")
+
+
 def drain_corrections(spark: SparkSession, stream: DataFrame, root: str, state: str) -> None:
     """Run a stream of corrections over everything available."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        merge_batch(spark, root, batch)
+        merge_batch(spark, root, batch, number)
 
     run = (
         stream.writeStream.foreachBatch(merge)

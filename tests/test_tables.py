@@ -1,7 +1,9 @@
 import datetime as dt
 import os
+import shutil
 
 import pytest
+from pyspark.sql import types as T
 
 from chronofold.operators import totals
 from chronofold.plans import daily
@@ -9,6 +11,7 @@ from chronofold.plans.period import Period
 from chronofold.plans.selection import RecordFilter, select_records
 from chronofold.sources import schema, tables
 from chronofold.sources.session import scratch_dir
+from chronofold.streaming import late
 
 
 def row(key, day, seconds=60, user=1):
@@ -99,3 +102,71 @@ def test_daily_totals_follow_a_merge(spark, root):
 
 def in_month(frame):
     return tables.in_period(frame, Period.month("2025-01"))
+
+
+def ids_of(frame):
+    return sorted(r.record_id for r in frame.collect())
+
+
+@pytest.mark.parametrize("month_gone", [False, True])
+def test_an_upsert_that_is_cut_off_loses_nothing(spark, root, monkeypatch, month_gone):
+    changed = spark.createDataFrame([row("3", dt.date(2025, 1, 5), 70), row("9", dt.date(2025, 3, 1))], schema.RECORDS)
+    whole = tables.write_months
+
+    def dies(frame, path, order, months=None):
+        if month_gone:  # the old files are deleted, the new ones are not there yet
+            shutil.rmtree(f"{path}/month=2025-01")
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(tables, "write_months", dies)
+    with pytest.raises(RuntimeError):
+        tables.upsert_records(spark, root, changed)
+    assert ids_of(tables.read_records(spark, root)) == ["0", "1", "2", "3", "9"]
+    monkeypatch.setattr(tables, "write_months", whole)
+    tables.upsert_records(spark, root, changed)
+    rows = {r.record_id: r.month for r in tables.read_records(spark, root).collect()}
+    assert rows == {"0": "2024-12", "1": "2025-01", "2": "2025-01", "3": "2025-01", "9": "2025-03"}
+    assert not os.path.exists(f"{root}/pending-upsert.json")
+
+
+def test_incomplete_rows_are_rejected_and_repeated_keys_stored_once(spark, root):
+    rows = [row("1", dt.date(2025, 1, 1), 5), row("1", dt.date(2025, 1, 1), 7)]
+    nothing = (None,) * 4
+    rows += [("7", 1, 1, None, *nothing, None), (None, 1, 1, dt.date(2025, 1, 1), *nothing, None)]
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.RECORDS.fields])
+    changed = spark.createDataFrame(rows, nullable)
+    assert tables.upsert_records(spark, root, changed, "b1") == ["2025-01"]
+    tables.upsert_records(spark, root, changed, "b1")
+    rejected = tables.rejected_records(spark, root).collect()
+    assert sorted((r.record_id or "", r.problem, r.batch) for r in rejected) == [("", "no key", "b1"), ("7", "no date", "b1")]
+    stored = [r.elapsed_s for r in tables.read_records(spark, root).collect() if r.record_id == "1"]
+    assert stored == [7]
+
+
+def test_an_upsert_reads_only_touched_months(spark, root):
+    with open(f"{root}/records/month=2025-02/broken.parquet", "w") as file:
+        file.write("no Parquet: reading this month fails")
+    changed = spark.createDataFrame([row("0", dt.date(2025, 1, 2), 70)], schema.RECORDS)
+    assert tables.upsert_records(spark, root, changed) == ["2024-12", "2025-01"]
+
+
+def test_edits_wait_for_their_record(spark, root):
+    daily.refresh(spark, root)
+    fields = [f.name for f in schema.RECORDS.fields]
+
+    def batch(operation, *rows):
+        return spark.createDataFrame(rows, schema.RECORDS).selectExpr(*fields, f"'{operation}' operation", "1 seq")
+
+    day = dt.date(2025, 1, 9)
+    edit = batch("edit", row("late", day, 600), row("0", dt.date(2024, 12, 30), 90))
+    late.merge_batch(spark, root, edit, 0)
+    assert ids_of(late.pending_edits(spark, root)) == ["late"]
+    late.merge_batch(spark, root, edit, 0)
+    assert ids_of(late.pending_edits(spark, root)) == ["late"]
+    late.merge_batch(spark, root, batch("old", row("late", dt.date(2025, 1, 3), 60)), 1)
+    assert late.pending_edits(spark, root).count() == 0
+    rows = {r.record_id: (str(r.date), r.elapsed_s) for r in tables.read_records(spark, root).collect()}
+    assert rows["late"] == ("2025-01-09", 600) and rows["0"] == ("2024-12-30", 90)
+    totals_by_day = {str(r.date): r.elapsed_s for r in daily.read(spark, root).collect()}
+    assert totals_by_day["2025-01-09"] == 600 and totals_by_day["2024-12-30"] == 90
+    assert "2024-12-31" not in totals_by_day
