@@ -141,9 +141,9 @@ def labels_range(spark, sf_dir):
     "week_bounds",
     f"""with {RO}, d as (select distinct cast(year(date) as bigint) as year,
           cast(strftime(date, '%W') as bigint) as week from ro),
-        m as (select *, cast(strptime(year || '-' || week || '-1', '%Y-%W-%w') as date) as monday from d)
-        select year, week, {iso('monday')} as monday, {iso('monday + 6')} as sunday
-        from m where week > 0""",
+        y as (select *, make_date(cast(year as int), 1, 1) as new_year from d),
+        m as (select *, new_year + cast((8 - isodow(new_year)) % 7 + (week - 1) * 7 as int) as monday from y)
+        select year, week, {iso('monday')} as monday, {iso('monday + 6')} as sunday from m""",
 )
 def week_bounds(spark, sf_dir):
     day = F.col("date")
@@ -151,7 +151,6 @@ def week_bounds(spark, sf_dir):
         order_records(spark, sf_dir)
         .select(F.year(day).alias("year"), cal.year_week_from_zero(day).alias("week"))
         .distinct()
-        .filter(F.col("week") > 0)
     )
     monday = cal.week_start_of(F.col("year"), F.col("week"))
     return found.select(

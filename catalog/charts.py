@@ -148,10 +148,7 @@ def _spans_cte(view: str, year: int, spans: dict[str, str]) -> str:
         for name, condition in spans.items()
     )
     reach = " or ".join([*spans.values(), f"year(date) = {year}"])
-    return f"""spans as (select user_id, {columns} from {view[:2]}
-        where date between (select min(date) from {view[:2]} where {reach})
-                       and (select max(date) from {view[:2]} where {reach})
-        group by user_id)"""
+    return f"""spans as (select user_id, {columns} from {view[:2]} where {reach} group by user_id)"""
 
 
 _MEAN_JOINS = """left join mean_day on mean_day.user_id = spans.user_id
@@ -239,6 +236,32 @@ def page_month(spark, sf_dir):
     return reports.page_month(order_records(spark, sf_dir), "1998-12", dt.date(1998, 12, 31))
 
 
+@query(
+    "page_month_past",
+    _page_sql(
+        RO, "week", "1995-03-01", "1995-03-31", "month", "strftime(date, '%Y-%m') = '1995-03'", 2001,
+        '["09","10","11","12","13"]', None,
+    ),
+)
+def page_month_past(spark, sf_dir):
+    """A page far before the year of ``as_of``: users of the years between are not on it."""
+    return reports.page_month(order_records(spark, sf_dir), "1995-03", ORDERS_AS_OF)
+
+
+@query(
+    "page_by_period",
+    _page_sql(
+        RO, "week", "1998-12-01", "1998-12-31", "month", "strftime(date, '%Y-%m') = '1998-12'", 1998,
+        '["49","50","51","52","53"]', None,
+    ),
+)
+def page_by_period(spark, sf_dir):
+    """The page of ``page_month``, asked for by name and date."""
+    request = {"period": "month", "date": "1998-12"}
+    report = reports.custom_report(order_log(spark, sf_dir), request, dt.date(1998, 12, 31))
+    return report["page"]
+
+
 @query(
     "page_year",
     _page_sql(
@@ -300,7 +323,65 @@ _ONE = RO.replace("ro as (", "r0 as (") + ", ro as (select * from r0 where task_
         from info u cross join pw left join sw on sw.user_id = u.user_id and sw.place = pw.place group by 1""",
 )
 def custom_report(spark, sf_dir):
-    report = reports.custom_report(order_log(spark, sf_dir), _REQUEST, ORDERS_AS_OF)
+    return _payloads(reports.custom_report(order_log(spark, sf_dir), _REQUEST, ORDERS_AS_OF))
+
+
+@query(
+    "custom_report_period",
+    f"""with {RO}, f as (select * from ro where strftime(date, '%Y-%m') = '1998-05'),
+        info as (select user_id, count(*) as n, {total()} as t from f group by 1),
+        q as (select user_id, task_name, {total()} as t from f group by 1, 2),
+        r as (select *, {percent('t', 'sum(t) over (partition by user_id)')} as ratio from q)
+        select user_id, 'timer-info' as element, {_json(f'''struct_pack(count := n,
+            time := string_split({dhms('t')}, ':'))''')} as payload from info
+        union all
+        select user_id, 'task-ratio', {_json(f'''struct_pack(task := task_name, time := t,
+            formatted := string_split({scaled('t')}, ':'), ratio := ratio)''')} from r""",
+)
+def custom_report_period(spark, sf_dir):
+    """Every part answers for the named period, over all tasks."""
+    stats = [{"element": "timer-info"}, {"element": "task-ratio"}]
+    request = {"period": "month", "date": "1998-05", "stats": stats}
+    return _payloads(reports.custom_report(order_log(spark, sf_dir), request, ORDERS_AS_OF))
+
+
+@query(
+    "custom_report_week_logs",
+    f"""with {RO} select record_id, task_name, subtask, {iso('date')} as date, tag, elapsed_s from ro
+        where date between date '1998-05-11' and date '1998-05-17'
+        order by date desc, record_id limit 10 offset 10""",
+)
+def custom_report_week_logs(spark, sf_dir):
+    """The second page of a week's records."""
+    request = {"week": "1998-05-11", "logs": True, "page": 2, "page_size": 10}
+    logs = reports.custom_report(order_log(spark, sf_dir), request, ORDERS_AS_OF)["logs"]
+    return logs.select("record_id", "task_name", "subtask", "date", "tag", "elapsed_s")
+
+
+@query(
+    "custom_report_tag",
+    f"""with {RO}, f as (select * from ro where tag = 'BUILDING'),
+        b as (select min(date) as a, max(date) as z from ro),
+        y as (select cast(year(a) + i as int) as y, row_number() over (order by i) as place
+              from b, generate_series(0, (select year(z) - year(a) from b)) g(i)),
+        q as (select user_id, task_name, year(date) as y, {total()} as t from f group by 1, 2, 3),
+        w as (select *, {percent('t', 'sum(t) over (partition by user_id, y)')} as ratio from q),
+        n as (select distinct user_id, task_name from q)
+        select n.user_id, n.task_name as name,
+               cast(to_json(list(coalesce(w.ratio, 0.0::double) order by place)) as varchar) as data
+        from n cross join y left join w on w.user_id = n.user_id and w.task_name = n.task_name and w.y = y.y
+        group by 1, 2""",
+)
+def custom_report_tag(spark, sf_dir):
+    """A tag alone covers the first to the last date on record."""
+    stats = [{"element": "stacked-column-chart", "column-period": "year"}]
+    report = reports.custom_report(
+        order_log(spark, sf_dir), {"tag": "BUILDING", "stats": stats}, ORDERS_AS_OF
+    )
+    return report["stacked-column-chart:year"].select("user_id", "name", "data")
+
+
+def _payloads(report):
     rows = [
         frame.select(
             "user_id",
@@ -359,3 +440,27 @@ _TEXT_SPANS = {
 )
 def text_summary(spark, sf_dir):
     return reports.text_summary(event_records(spark, sf_dir), EVENTS_AS_OF)
+
+
+@query(
+    "text_summary_full",
+    f"""with {RE}, d as (select distinct user_id, task_name, date from re),
+        i as (select *, date - cast(row_number() over (partition by user_id, task_name order by date)
+              as int) as island from d),
+        g as (select user_id, task_name, island, count(*) as n from i group by 1, 2, 3),
+        s as (select user_id, task_name, max(n) as longest, max_by(n, island) as current from g group by 1, 2),
+        k as (select user_id, list(task_name || ' : ' || current || ' (max : ' || longest || ')'
+              order by task_name) as streaks from s group by 1),
+        q as (select user_id, date_trunc('week', date) as w, {total()} as t from re
+              where date between date '2024-01-15' and date '2024-01-28' group by 1, 2),
+        p as (select user_id, list({iso('w')} || ' : ' || {hms('t')} order by w desc) as weeks
+              from q where t is not null group by 1)
+        select k.user_id, {_json('k.streaks')} as streaks, coalesce({_json('p.weeks')}, '[]') as past_weeks
+        from k left join p on p.user_id = k.user_id""",
+)
+def text_summary_full(spark, sf_dir):
+    """The two optional parts of the text summary."""
+    summary = reports.text_summary(
+        event_records(spark, sf_dir), EVENTS_AS_OF, all_streaks=True, weeks=2
+    )
+    return summary.select("user_id", "streaks", "past_weeks")

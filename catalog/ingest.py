@@ -120,6 +120,77 @@ def merge_tasks(spark, sf_dir):
     return ingest.update_tasks(tasks, changes)
 
 
+@query(
+    "task_change_outcome",
+    f"""with {RE}, t as (select distinct task_name, subtask from re),
+        c as (select *, case when subtask is null then 'refused'
+                  when subtask = 'Sub1' then 'changed' else 'refused' end as outcome from t)
+        select {guid_sql('task_name', 'subtask')} as guid, outcome from c
+        union all select {guid_sql('p_brand')} as guid, 'unknown' from (select distinct p_brand from part)""",
+)
+def task_change_outcome(spark, sf_dir):
+    """Tasks without a subtask ask for a name that is taken, the others of an event type ask for
+    one new name, which the first gets; parts are no tasks."""
+    tasks = event_log(spark, sf_dir).tasks.withColumn("task_name", F.initcap("task_name"))
+    seq = F.coalesce(F.substring("subtask", 4, 9).cast("long"), F.lit(0)).alias("seq")
+    new = F.when(F.col("subtask").isNull(), F.lit("sub1")).otherwise(F.lit("renamed"))
+    asked = tasks.select("guid", "task_name", new.alias("subtask"), seq)
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    unknown = brands.select(
+        stable_guid(F.col("p_brand")).alias("guid"),
+        F.col("p_brand").alias("task_name"),
+        F.lit("x").alias("subtask"),
+        F.lit(1).cast("long").alias("seq"),
+    )
+    known = ingest.normalise_tasks(tasks)
+    return ingest.task_change_outcome(known, asked.unionByName(unknown))
+
+
+@query(
+    "rename_and_add_again",
+    f"""with {RE}, t as (select distinct task_name as n, subtask from re where subtask is not null)
+        select count(*) * 2 as tasks, count(*) * 2 as ids from t""",
+)
+def rename_and_add_again(spark, sf_dir):
+    """Every task is renamed and its old name added again: two tasks, two keys."""
+    tasks = ingest.normalise_tasks(_known_tasks(event_log(spark, sf_dir).tasks))
+    changes = tasks.select(
+        "guid", F.concat(F.lit("old "), "task_name").alias("task_name"), "subtask", F.lit(1).alias("seq")
+    )
+    renamed = ingest.update_tasks(tasks, changes)
+    both = ingest.add_tasks(tasks, renamed)
+    return both.agg(F.count("*").alias("tasks"), F.countDistinct("task_id").alias("ids"))
+
+
+@query(
+    "change_outcome",
+    f"""with {RE} select doc_id as record_id,
+          case when record_id is null then 'unknown' else 'applied' end as outcome
+        from documents left join (select record_id from re where record_id % 2 = 0) on record_id = doc_id""",
+)
+def change_outcome(spark, sf_dir):
+    """What becomes of edits when every second record is stored."""
+    stored = event_log(spark, sf_dir).records.filter(F.col("record_id") % 2 == 0)
+    edits = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"))
+    return ingest.change_outcome(stored, edits)
+
+
+@query(
+    "tag_ids_from_text",
+    f"""select distinct {key_sql("trim(source)")} as tag_id, source as tag,
+               {guid_sql("trim(source)")} as guid from documents""",
+)
+def tag_ids_from_text(spark, sf_dir):
+    """Tags written as text: those the batch names for the first time are created."""
+    tags = table(spark, sf_dir, "events").select(
+        F.lit(0).cast("long").alias("tag_id"), F.lit("").alias("tag"), F.lit("").alias("guid")
+    ).filter(F.lit(False))
+    named = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("  "), "source", F.lit(" ")).alias("tag_text")
+    )
+    return ingest.tag_ids_from_text(named, tags)[0]
+
+
 @query(
     "deletable_tasks",
     f"""with {RE}, {RO}, w as (select distinct task_name, subtask, 'blocked' as outcome from re

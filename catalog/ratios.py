@@ -82,6 +82,20 @@ def task_ratio_per_day(spark, sf_dir):
     return ratios.task_ratio_per_day(event_records(spark, sf_dir), span)
 
 
+@query(
+    "task_ratio_per_day_everyone",
+    f"""with {RE}, q as (select date, task_name, {total()} as t from re
+          where date between date '2024-01-05' and date '2024-01-20' group by 1, 2),
+        w as (select *, {total('t')[5:-11]} over (partition by date) as whole from q)
+        select {iso('date')} as date, task_name, cast(whole as bigint) as time_per_day,
+               t as time_per_task, {percent('t', 'whole')} as ratio from w""",
+)
+def task_ratio_per_day_everyone(spark, sf_dir):
+    """All users together: the days' totals are joined, no task list meets in one window."""
+    span = Period.between("2024-01-05", "2024-01-20")
+    return ratios.task_ratio_per_day(event_records(spark, sf_dir), span, keys=())
+
+
 def _week_ratio_sql(condition: str) -> str:
     return f"""with {RO}, s as (select cast(d as date) as d, case when isodow(d) = 1 then 1 else 0 end as m
           from generate_series(timestamp '1998-12-10', timestamp '1999-02-14', interval 1 day) g(d)),

@@ -62,7 +62,9 @@ def stacked_chart(
 ) -> DataFrame:
     """Per task its share at every label, 0 where the task is absent."""
     totals = sums(_placed(records, grain, period), [*keys, "place", "task_name"], "task_total")
-    shares = with_share(by_user(totals, keys), [*keys, "place"], "task_total", "whole")
+    shares = with_share(
+        by_user(totals, keys), [*keys, "place"], "task_total", "whole", apart=bool(keys)
+    )
     size = cal.label_count(grain, period.first, period.last)
     series = spread(shares, [*keys, "task_name"], size, {"data": (F.max("ratio"), "0D")})
     return series.withColumnRenamed("task_name", "name")
@@ -83,6 +85,8 @@ def chart_pair(
     a sort. A user's row holds tasks x labels values, whatever the number of records behind
     them. ``line_period`` narrows the line to part of the period.
     """
+    if not keys:
+        raise ValueError("a chart pair is one row per key; everybody's tasks do not fit in one row")
     size = cal.label_count(grain, period.first, period.last)
     known = size if known_until is None else known_until
     seconds = {"data": F.col("elapsed_s")}

@@ -74,18 +74,21 @@ def name_problem(name: Column, required: bool = False) -> Column:
 
 
 def orphans(records: DataFrame, tasks: DataFrame, tags: DataFrame) -> DataFrame:
-    """Records whose task or tag does not exist.
+    """Records whose task or tag does not exist, a row for each missing key; one scan of the records.
 
-    The missing keys are found among the distinct keys of the records; the records
-    themselves are then matched against that list only.
+    Both dimensions are lists of keys, far smaller than the records.
     """
-    missing = []
-    for key, dimension, problem in (
-        ("task_id", tasks, "unknown task"),
-        ("tag_id", tags, "unknown tag"),
-    ):
-        used = records.select(key).filter(F.col(key).isNotNull()).distinct()
-        lost = used.join(dimension.select(key), key, "left_anti")
-        found = records.join(lost, key, "left_semi")
-        missing.append(found.select(*records.columns, F.lit(problem).alias("problem")))
-    return missing[0].unionByName(missing[1])
+    task = tasks.select("task_id", F.lit(True).alias("_task")).distinct()
+    tag = tags.select("tag_id", F.lit(True).alias("_tag")).distinct()
+    joined = records.join(task, "task_id", "left").join(tag, "tag_id", "left")
+    no_task = F.col("task_id").isNotNull() & F.col("_task").isNull()
+    no_tag = F.col("tag_id").isNotNull() & F.col("_tag").isNull()
+    problems = F.array_compact(
+        F.array(
+            F.when(no_task, F.lit("unknown task")),
+            F.when(no_tag, F.lit("unknown tag")),
+        )
+    )
+    return joined.filter(no_task | no_tag).select(
+        *records.columns, F.explode(problems).alias("problem")
+    )

@@ -45,7 +45,7 @@ def _share_by(
 ) -> DataFrame:
     """Task totals and shares inside every period."""
     totals = sums(records, [*keys, *group, "task_name"], "task_total")
-    return with_share(totals, [*keys, *names], "task_total", "period_total")
+    return with_share(totals, [*keys, *names], "task_total", "period_total", apart=bool(keys))
 
 
 def task_ratio_per_day(

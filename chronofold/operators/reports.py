@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +19,17 @@ from chronofold.functions.durations import (
     scaled_duration_text,
     split_text,
 )
-from chronofold.operators import charts, totals
+from chronofold.operators import charts, search, totals
 from chronofold.operators.ratios import subtask_ratio, task_ratio, task_ratio_formatted
-from chronofold.operators.search import find_records
+from chronofold.operators.search import record_columns
 from chronofold.operators.streaks import streaks
 from chronofold.operators.weeks import week_points_of_year
 from chronofold.plans import period as periods
 from chronofold.plans.daily import record_count
 from chronofold.plans.period import Period
-from chronofold.plans.selection import RecordFilter, select_records
+from chronofold.plans.selection import RecordFilter, join_tasks, select_records
 from chronofold.plans.series import USER
-from chronofold.sources.tables import WorkLog, in_period
+from chronofold.sources.tables import WorkLog, within_any
 
 # The largest unit a span's total is written in, and the chart titles.
 _MAX_UNIT = {"day": "hour", "week": "hour", "month": "day", "year": "day"}
@@ -36,14 +37,6 @@ _LINE_TITLE = "Total time for {grain}"
 _STACKED_TITLE = "Task ratio per {grain}"
 
 
-def _hull(spans: Sequence[Period]) -> Period:
-    firsts = [span.first for span in spans]
-    lasts = [span.last for span in spans]
-    return Period(
-        None if None in firsts else min(firsts), None if None in lasts else max(lasts)
-    )
-
-
 def _distinct_small(number: Column) -> Column:
     """Aggregate: how many different numbers below 64 occur, as a bit set in one long."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.cast("int"))
@@ -58,7 +51,7 @@ def summaries(
     Records collapse to one row per user and day first. All spans and means are then
     conditional aggregates over those days, so no record is read or shuffled twice.
     """
-    wanted = in_period(records, _hull([*spans.values(), Period.year(as_of)]))
+    wanted = within_any(records, [*spans.values(), Period.year(as_of)])
     return _days(wanted, keys).groupBy(*keys).agg(*_summary_columns(spans, as_of))
 
 
@@ -249,7 +242,18 @@ def page_year(
 def page(
     records: DataFrame, request: Mapping, as_of: dt.date, keys: Sequence[str] = USER
 ) -> DataFrame:
-    """The page of the one period a request names."""
+    """The page of the one period a request names, or of ``period`` with an optional ``date``."""
+    if "period" in request:
+        named = periods.named_period(request["period"], as_of, request.get("date"))
+        date = request.get("date")
+        name, first = request["period"], named.first
+        if name == "day":
+            return page_day(records, first, as_of, keys)
+        if name == "week":
+            return page_week(records, first if date else None, as_of, keys)
+        if name == "month":
+            return page_month(records, first.strftime("%Y-%m") if date else None, as_of, keys)
+        return page_year(records, first.year if date else None, as_of, keys)
     if "day" in request:
         return page_day(records, periods.as_date(request["day"]), as_of, keys)
     if "week" in request or "weekStart" in request:
@@ -268,21 +272,32 @@ def custom_report(
 
     A request that is only a period gives that period's page.
     """
-    names = set(request) - {"logs"}
-    if len(names) == 1:
-        wanted = RecordFilter(period=None)
-        return {"page": page(select_records(log, wanted, with_names=True), request, as_of, keys)}
+    names = set(request) - _NOT_SPANS
+    pages = ({"day"}, {"week"}, {"weekStart"}, {"month"}, {"year"}, {"period"}, {"period", "date"})
+    if names in pages and "stats" not in request:
+        records = join_tasks(log.records, log.tasks)
+        report = {"page": page(records, request, as_of, keys)}
+        if request.get("logs"):
+            _, period = periods.resolve(request, as_of)
+            report |= _logs(log, RecordFilter(period=period), request)
+        return report
     if "rangeBeginning" in request and "stats" not in request:
         raise KeyError("a range needs a list of the elements to return")
-    wanted = RecordFilter.from_request(request)
-    _, period = periods.resolve(request, as_of)
-    records = select_records(log, wanted, with_names=True)
+    period = _report_period(log, request, as_of)
+    wanted = replace(RecordFilter.from_request(request), period=period)
+    chosen = select_records(log, wanted)
+    if "task_name" not in chosen.columns:
+        chosen = join_tasks(chosen, log.tasks)
+    # Everything but the logs is sums of this one aggregate, which Spark computes once a plan.
+    records = chosen.groupBy(*keys, "date", "task_name", "subtask").agg(
+        F.sum("elapsed_s").alias("elapsed_s"), record_count(chosen).alias("record_count")
+    )
     report = {}
     for element in request.get("stats", ()):
         kind = element["element"]
         if kind == "timer-info":
             report[kind] = records.groupBy(*keys).agg(
-                F.count(F.lit(1)).alias("count"),
+                record_count(records).alias("count"),
                 split_text(duration_text(F.coalesce(F.sum("elapsed_s"), F.lit(0).cast("long")), "day")).alias("time"),
             )
         elif kind == "task-ratio":
@@ -306,13 +321,49 @@ def custom_report(
         else:
             raise KeyError(f"unknown element {kind!r}")
     if request.get("logs"):
-        report["logs"] = find_records(log, request)
+        report |= _logs(log, wanted, request)
     return report
 
 
-def text_summary(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER) -> DataFrame:
+#: Entries of a request that are no time span and no filter.
+_NOT_SPANS = {"logs", "page", "page_size", "stats"}
+
+
+def _report_period(log: WorkLog, request: Mapping, as_of: dt.date) -> Period | None:
+    """The period of every part of a report. A tag alone covers the first to the last date on
+    record; other requests without a span cover everything."""
+    try:
+        return periods.resolve(request, as_of)[1]
+    except KeyError:
+        charts_asked = any("column-period" in e for e in request.get("stats", ()))
+        if "tag" not in request or not charts_asked:
+            return None
+    bounds = log.records.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    return None if bounds["first"] is None else Period(bounds["first"], bounds["last"])
+
+
+def _logs(log: WorkLog, wanted: RecordFilter, request: Mapping) -> dict[str, DataFrame]:
+    """The records of a report: all of them, or one page and the number of pages."""
+    found = record_columns(select_records(log, wanted, with_names=True))
+    if "page_size" not in request:
+        return {"logs": found}
+    size = int(request["page_size"])
+    return {
+        "logs": search.page(found, int(request.get("page", 1)), size),
+        "log_pages": search.page_count(found, size),
+    }
+
+
+def text_summary(
+    records: DataFrame,
+    as_of: dt.date,
+    keys: Sequence[str] = USER,
+    all_streaks: bool = False,
+    weeks: int | None = None,
+) -> DataFrame:
     """The summary a person reads: today with its tasks and streaks, average and longest day,
-    this week and this year."""
+    this week and this year. ``all_streaks`` adds the streaks of every task, ``weeks`` the totals
+    of so many weeks before this one, both as lines of text."""
     spans = {
         "day": periods.today(as_of),
         "week": periods.this_week(as_of),
@@ -332,7 +383,10 @@ def text_summary(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER)
         return F.concat(F.lit(f"{title} : "), status)
 
     shares = task_ratio(records, periods.today(as_of), keys).filter(F.col("total_time").isNotNull())
-    with_runs = shares.join(streaks(records, None, keys), [*keys, "task_name"])
+    # Streaks only of what was worked on today; the list is one row per user and task of a day.
+    names = [*keys, "task_name"]
+    worked = records.join(shares.select(*names), names, "left_semi")
+    with_runs = shares.join(streaks(worked, None, keys), names)
     best = F.when(F.col("current_is_longest"), F.lit("(max streak!)")).otherwise(
         F.concat(F.lit("(max : "), F.col("longest_streak").cast("string"), F.lit(")"))
     )
@@ -358,6 +412,13 @@ def text_summary(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER)
         F.lit(")"),
     )
     joined = lines.join(tasks, list(keys), "left")
+    extra = []
+    if all_streaks:
+        joined = joined.join(_streak_lines(records, keys), list(keys), "left")
+        extra.append(F.coalesce("streaks", F.array().cast("array<string>")).alias("streaks"))
+    if weeks is not None:
+        joined = joined.join(_week_lines(records, as_of, weeks, keys), list(keys), "left")
+        extra.append(F.coalesce("past_weeks", F.array().cast("array<string>")).alias("past_weeks"))
     return joined.select(
         *keys,
         line("This day", "day").alias("today"),
@@ -368,4 +429,34 @@ def text_summary(records: DataFrame, as_of: dt.date, keys: Sequence[str] = USER)
         F.coalesce(maximum, F.lit("No data yet.")).alias("maximum"),
         line("This week", "week").alias("week"),
         line("This year", "year").alias("year"),
+        *extra,
+    )
+
+
+def _lines(frame: DataFrame, keys: Sequence[str], order: Column, text: Column, name: str) -> DataFrame:
+    ranked = F.array_sort(F.collect_list(F.struct(order.alias("rank"), text.alias("text"))))
+    return frame.groupBy(*keys).agg(F.transform(ranked, lambda row: row["text"]).alias(name))
+
+
+def _streak_lines(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    runs = streaks(records, None, keys)
+    text = F.concat(
+        F.col("task_name"),
+        F.lit(" : "),
+        F.col("current_streak").cast("string"),
+        F.lit(" (max : "),
+        F.col("longest_streak").cast("string"),
+        F.lit(")"),
     )
+    return _lines(runs, keys, F.col("task_name"), text, "streaks")
+
+
+def _week_lines(records: DataFrame, as_of: dt.date, weeks: int, keys: Sequence[str]) -> DataFrame:
+    """Totals of the weeks before this one, the latest first; weeks without work are left out."""
+    monday = Period.week_around(as_of).first
+    span = Period.until(monday - dt.timedelta(weeks=weeks), monday)
+    week = F.date_sub("date", F.weekday("date")).alias("week")
+    sums = within_any(records, [span]).groupBy(*keys, week).agg(F.sum("elapsed_s").alias("total"))
+    sums = sums.filter(F.col("total").isNotNull())
+    text = F.concat(F.date_format("week", cal.DAY_FORMAT), F.lit(" : "), duration_text(F.col("total")))
+    return _lines(sums, keys, -F.unix_date("week"), text, "past_weeks")

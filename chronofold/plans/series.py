@@ -22,18 +22,30 @@ def sums(records: DataFrame, by: Sequence[str | Column], alias: str = "total_tim
 
 
 def with_share(
-    parts: DataFrame, whole_by: Sequence[str], part: str, whole: str, ratio: str = "ratio"
+    parts: DataFrame,
+    whole_by: Sequence[str],
+    part: str,
+    whole: str,
+    ratio: str = "ratio",
+    apart: bool = True,
 ) -> DataFrame:
     """Add the total of ``whole_by`` and each part's percentage of it.
 
     Without grouping columns the whole is one number, computed as a scalar subquery so that
-    the parts stay where they are instead of meeting in a single window partition.
+    the parts stay where they are instead of meeting in a single window partition. When people
+    are not kept apart (``apart`` is False) the parts of a group may be very many, so the wholes,
+    one row per period, are summed by themselves and joined.
     """
-    if whole_by:
-        total = F.sum(part).over(Window.partitionBy(*whole_by))
+    if whole_by and not apart:
+        wholes = parts.groupBy(*whole_by).agg(F.sum(part).alias(whole))
+        parts = parts.join(wholes, list(whole_by))
     else:
-        total = parts.select(F.sum(part)).scalar()
-    parts = parts.withColumn(whole, total)
+        total = (
+            F.sum(part).over(Window.partitionBy(*whole_by))
+            if whole_by
+            else parts.select(F.sum(part)).scalar()
+        )
+        parts = parts.withColumn(whole, total)
     return parts.withColumn(ratio, percent(F.col(part), F.col(whole)))
 
 

@@ -215,6 +215,20 @@ def write_dimension(frame: DataFrame, root: str, name: str) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+def within_any(records: DataFrame, periods: list) -> DataFrame:
+    """Rows whose date lies in one of the periods; what lies between them is not read."""
+    kept = F.lit(False)
+    for period in periods:
+        inside = period.contains(F.col("date"))
+        if "month" in records.columns:
+            if period.first is not None:
+                inside = inside & (F.col("month") >= period.first.strftime("%Y-%m"))
+            if period.last is not None:
+                inside = inside & (F.col("month") <= period.last.strftime("%Y-%m"))
+        kept = kept | inside
+    return records.filter(kept)
+
+
 def in_period(records: DataFrame, period) -> DataFrame:
     """Date filter plus, on a stored table, the matching month filter that prunes folders."""
     kept = records.filter(period.contains(F.col("date")))
