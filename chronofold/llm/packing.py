@@ -33,7 +33,7 @@ from chronofold.llm.tables import written
 from chronofold.llm.wordpieces import word_coder
 
 #: Pieces that one task numbers within a length.
-NUMBERED = 50_000
+NUMBERED = 1_000
 #: Lengths whose pairs are tried as the larger parts of patterns of three and four.
 PATTERN_LENGTHS = 160
 FIT_ROUNDS = 400
@@ -238,8 +238,10 @@ def pack(found: DataFrame, capacity: int, key: tuple[str, ...] = ("doc_id", "pie
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     histogram[counts["length"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     where = _ranges(plan(histogram, capacity))
-    lanes = 1 + int(histogram.max()) // NUMBERED
-    dealt = found.withColumn("_lane", F.pmod(F.xxhash64(*key), F.lit(lanes)))
+    lanes = [(n, int(histogram[n]) // NUMBERED + 1) for n in np.flatnonzero(histogram).tolist()]
+    lanes = spark.createDataFrame(lanes, "length long, _lanes long")
+    dealt = found.join(F.broadcast(lanes), "length")  # a row for each length, capacity at most
+    dealt = dealt.withColumn("_lane", F.pmod(F.xxhash64(*key), F.col("_lanes")))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_lane")) - F.col("n")
     bases = (
         dealt.groupBy("length", "_lane")
