@@ -86,9 +86,10 @@ def held_out(doc_id: Column) -> Column:
 
 def _hashes(entries: Iterator[str] | list[str]) -> np.ndarray:
     raw = [e.encode() for e in entries]
-    ends = np.cumsum([len(r) for r in raw]).astype(np.int64)
+    size = np.array([len(r) for r in raw], dtype=np.int64)
+    ends = np.cumsum(size)
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    return np.unique(byte_hashes(data, ends - [len(r) for r in raw], ends))
+    return np.unique(byte_hashes(data, ends - size, ends))
 
 
 def _masked(word: str) -> set[str]:
@@ -296,8 +297,7 @@ def fit(
         .agg(F.count("*").alias("n"))
         .collect()
     }
-    total = sum(counts.values())
-    rate = sum(n for (_, toxic), n in counts.items() if toxic) / total if total else 0.0
+    rate = float(rows.agg(F.avg("toxic")).first()[0] or 0.0)
     if not (counts.get((True, 0)) and counts.get((True, 1))):
         return Model(lexicon, None, None, rate)
     training = found.where("part > 0").withColumn("features", array_to_vector("features"))

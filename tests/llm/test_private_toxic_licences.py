@@ -1,0 +1,128 @@
+"""Pseudonyms, toxicity and licence scan."""
+
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from chronofold.llm import licences, pii, toxicity
+
+VALUES = [
+    "4111111111111111", "4111 1111 1111 1111", "9777946427004852", "+1 (017) 555-7713", "555-123-4567",
+    "(212) 555-1234", "+49 30 901820", "43.21.141.162", "0.0.0.0", "255.255.255.255", "123-45-6789",
+    "899-99-9999", "2024-02-29", "1800-01-01", "2199-12-31", "29.02.2024", "02/29/2024", "0000000000000",
+]
+KEPT = ["256.1.1.1", "000-45-6789", "666-45-6789", "2023-02-29", "1700-01-01"]
+
+
+def luhn(text):
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_pseudonyms_keep_the_format_and_can_be_undone(spark):
+    frame = spark.createDataFrame([(v,) for v in VALUES + KEPT], "v string")
+    frame = frame.withColumn("p", pii.pseudonym(F.col("v"), "k"))
+    frame = frame.withColumn("q", pii.pseudonym(F.col("v"), "other"))
+    rows = {r.v: r for r in frame.withColumn("r", pii.pseudonym(F.col("p"), "k", True)).collect()}
+    for v in VALUES:
+        row = rows[v]
+        assert row.r == v
+        assert row.p != v and row.q != row.p
+        shape = re.sub(r"\d+", "9", v) if "." in v else re.sub(r"\d", "9", v)
+        assert (re.sub(r"\d+", "9", row.p) if "." in v else re.sub(r"\d", "9", row.p)) == shape
+    for v in VALUES[:3] + ["0000000000000"]:
+        assert luhn(rows[v].p) == luhn(v)
+    assert rows["29.02.2024"].p.split(".")[::-1] == rows["2024-02-29"].p.split("-")
+    assert all(rows[v].p == v for v in KEPT)
+
+
+def test_small_domain_is_permuted(spark):
+    pairs = spark.range(77).select(
+        pii.permuted(F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(11), F.lit(7), "k", "x").alias("p")
+    )
+    found = {(r.p.a, r.p.b) for r in pairs.collect()}
+    assert found == {(a, b) for a in range(11) for b in range(7)}
+    # with an even number of rounds the halves are back in their places
+
+
+def test_texts_are_rewritten_in_place(documents):
+    texts = [
+        "Call +1 (017) 555-7713, mail und.34@mail7.example.com. IP 43.21.141.162 v4.0. 4111111111111111!!",
+        "4111111111111111", None, "", "version 3. of 4.0, 12 eggs", "x" * 70_000 + " 123-45-6789 é",
+        'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "\U0001f600 10.0.0.1\n10.0.0.1",
+    ]
+    docs = documents(*texts).selectExpr("*", "1 _parts", "2 _finds", "3 n_pii")
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    assert [rows[i].n_pii for i in range(8)] == [4, 1, 0, 0, 0, 1, 1, 2]
+    assert rows[0].text.startswith("Call +1 (") and "555-7713" not in rows[0].text
+    assert "und.34@" not in rows[0].text and "43.21.141.162 v4.0." not in rows[0].text
+    assert rows[0].text.endswith(f" v4.0. {rows[1].text}!!")  # equal values stay linked
+    assert rows[2].text is None and rows[3].text == "" and rows[4].text == texts[4]
+    assert rows[5].text[:70_001] == texts[5][:70_001] and rows[5].text.endswith(" é")
+    first, second = rows[7].text.removeprefix("\U0001f600 ").split("\n")
+    assert first == second != "10.0.0.1"
+    assert rows[0]._parts == 1 and rows[0]._finds == 2
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
+
+
+def _labelled(rng, n):
+    common = ["the", "river", "ran", "and", "you", "house", "green", "walk", "said", "blé", "straße"]
+    rude = ["stupid", "zorgul", "zorgan", "zorgeth", "idiot", "st*pid"]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(common) for _ in range(30)]
+        toxic = int(rng.random() < 0.3)
+        for at in rng.sample(range(30), 4 if toxic else 0):
+            words[at] = rng.choice(rude)
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_rows(spark, documents):
+    rows, labels = _labelled(random.Random(1), 1200)
+    rows += [(5000, None), (5001, ""), (5002, "!!! ??"), (5003, "clean " * 20_000)]
+    docs = documents(*rows).selectExpr("*", "1 raw", "2 features", "3 score", "4 probability")
+    truth = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, truth, toxicity.held_out)
+    got = {r.doc_id: r.score for r in model.score(docs).select("row.doc_id", "score").collect()}
+    assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
+    held = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    right = sum((got[i] >= 0.7) == bool(t) for i, t in held)
+    assert right / len(held) > 0.97
+    assert max(got[i] for i in (5000, 5001, 5002, 5003)) < 0.7
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1)]])
+def test_toxicity_without_both_labels(spark, documents, labels):
+    docs = documents((1, "a b"), (2, "c d"), (3, None))
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = [r.score for r in toxicity.fit(docs, truth).score(docs).collect()]
+    assert scores == [1.0 if labels == [(1, 1)] else 0.0] * 3
+    assert toxicity.fit(docs, truth).score(docs.limit(0)).count() == 0
+
+
+def test_licences(documents):
+    rng = random.Random(9)
+    noise = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(50)) for _ in range(40)]
+    texts = [
+        *noise,
+        "Intro line.\nLicensed under the Apache License, Version 2.0.",
+        noise[0] + " RELEASED!! UNDER!! THE!! MIT!! LICENSE!! " + noise[1],
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under CC BY-NC 4.0. " + noise[3] + "\nReleased under the MIT License.",
+        "He lost his driving license under the new rule.", None, "", "the the the",
+    ]
+    docs = documents(*texts).withColumn("finds", F.lit(1))
+    scanner = licences.fit(docs)
+    got = {r.doc_id: r for r in licences.families(licences.scan(docs, scanner)).collect()}
+    assert [got[i].families for i in range(40, 48)] == ["apache-2.0", "mit", "gpl", "cc-by-nc,mit", "", "", "", ""]
+    assert all(got[i].families == "" for i in range(40))
+    spans = {r.doc_id: r.finds for r in licences.scan(docs, scanner).collect()}
+    found = spans[42][0]
+    assert texts[42].encode()[found.begin : found.end].startswith(b"This work is licensed")
+    assert found.share >= 0.6 and 0.5 <= found.probability <= 1
+    assert licences.scan(docs.limit(0), scanner).count() == 0
