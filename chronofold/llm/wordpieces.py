@@ -32,6 +32,9 @@ _LOWER[65:91] += 32
 def _cut(data: np.ndarray, offsets: np.ndarray):
     """Lower-cased bytes, starts and ends of the segments, and each text's first segment."""
     found = words(data, offsets)
+    if not len(found.start):
+        none = np.zeros(0, dtype=np.int64)
+        return data, none, none, np.zeros(len(offsets), dtype=np.int64)
     kind = _KIND[data]
     lower = _LOWER[data]
     lead = np.flatnonzero(kind == _LEAD)

@@ -120,6 +120,18 @@ def test_stages_take_odd_rows(spark, documents, sf_dir):
     assert {r.doc_id for r in last(spark, odd, sf_dir).collect()} == {1, 2, 3, 4, 5}
 
 
+@pytest.mark.parametrize("texts", [["", None, ""], [" ", "\n\t", None], ["", "a", " "]])
+def test_tables_without_words(spark, documents, texts, tmp_path):
+    """Every operator on texts of nothing or hardly anything."""
+    documents(*texts).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, run in queries.queries().items():
+        if name != "op8_near_vectors":
+            assert run(spark, str(tmp_path)).count() == 3
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_queries_run(spark, sf_dir, name):
     frame = queries.queries()[name](spark, sf_dir)
