@@ -34,6 +34,26 @@ def weekly_totals(records: DataFrame, delay: str = "1 day", keys: Sequence[str]
     return _totals(records, window, "week_start", delay, keys)
 
 
+def missed_totals(
+    current: DataFrame, records: DataFrame, name: str, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Groups whose running total lacks rows that came behind the watermark, with their totals
+    from the stored records (columns as in ``current``; ``records`` carries the column ``name``).
+
+    Every row reaches the record table, also those a windowed total no longer takes, so this is
+    what a day's close corrects the running totals by.
+    """
+    group = [*keys, name]
+    true = records.groupBy(*group).agg(
+        F.sum("elapsed_s").alias("_total"), F.count(F.lit(1)).alias("_count")
+    )
+    joined = true.join(current, group, "left")
+    same = F.col("total").eqNullSafe(F.col("_total")) & F.col("count").eqNullSafe(F.col("_count"))
+    return joined.filter(~same).select(
+        *group, F.col("_total").alias("total"), F.col("_count").alias("count")
+    )
+
+
 def unique_records(records: DataFrame, key: str = "guid", delay: str = "1 day") -> DataFrame:
     """One row per key among the records that arrive within the delay of each other."""
     return records.withWatermark("event_time", delay).dropDuplicatesWithinWatermark([key])

@@ -137,3 +137,34 @@ def test_corrections_reach_stored_months_and_may_be_repeated(spark, tmp_path):
         late.merge_batch(spark, root, batch)
     rows = {r.record_id: (r.month, r.elapsed_s, r.log) for r in tables.read_records(spark, root).collect()}
     assert rows == {"a": ("2025-03", 3600, "x"), "b": ("2025-02", 60, "y"), "c": ("2025-01", 60, None)}
+
+
+def test_rows_behind_the_watermark_are_found_again(spark, stream_of):
+    batches = [
+        [("a", 1, "A", moment("20 09:00:00"), 60)],
+        [("b", 1, "A", moment("21 09:00:00"), 5)],
+        [("late", 1, "A", moment("02 09:00:00"), 7), ("late2", 1, "A", moment("20 10:00:00"), 1)],
+        [("c", 1, "A", moment("21 10:00:00"), 2)],
+    ]
+    stream = timed(stream_of(RECORD, *batches))
+    current = running.drain_updates(spark, running.daily_totals(stream), [*running.KEYS, "date"], "t")
+    stored = spark.createDataFrame([row for batch in batches for row in batch], RECORD)
+    stored = stored.withColumn("date", F.col("begin_ts").cast("date"))
+    missed = {str(r.date): (r.total, r["count"]) for r in running.missed_totals(current, stored, "date").collect()}
+    assert missed["2025-01-02"] == (7, 1) and "2025-01-21" not in missed
+
+
+def test_what_finds_no_partner_is_handed_out(spark, stream_of):
+    begin = [("a", moment("01 09:00:00")), ("far", moment("01 09:00:00")), ("none", moment("01 10:00:00"))]
+    later = [("z", moment("20 00:00:00"))]
+    begins = stream_of("guid string, b timestamp_ntz", begin, later, [("y", moment("21 00:00:00"))])
+    end = [("a", moment("01 10:00:00")), ("lost", moment("01 11:00:00")), ("far", moment("02 10:00:00"))]
+    ends = stream_of("guid string, e timestamp_ntz", end, [("q", moment("20 00:00:00"))], [("w", moment("21 00:00:00"))])
+    begins = begins.select("guid", event_time(F.col("b")).alias("begin_time"))
+    ends = ends.select("guid", event_time(F.col("e")).alias("end_time"))
+    paired = running.drain_appends(spark, pairing.paired_records(begins, ends), "t")
+    assert [r.guid for r in paired.collect()] == ["a"]
+    alone = running.drain_appends(spark, pairing.unpaired_beginnings(begins, ends), "t")
+    assert {"far", "none"} <= {r.guid for r in alone.collect()} and "a" not in {r.guid for r in alone.collect()}
+    lost = running.drain_appends(spark, pairing.unpaired_endings(begins, ends), "t")
+    assert {"far", "lost"} <= {r.guid for r in lost.collect()} and "a" not in {r.guid for r in lost.collect()}
