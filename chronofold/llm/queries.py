@@ -18,6 +18,7 @@ from chronofold.llm import (
     sentencepiece_bpe,
     token_counts,
     toxicity,
+    twins,
 )
 from chronofold.llm.files import tokenizer_bytes
 from chronofold.llm.ship import ship
@@ -108,8 +109,12 @@ _RUNNERS: dict[str, Runner] = {
     "op10_quality": op10_quality,
 }
 
-#: Only what DuckDB can run over the whole tables; the others are tested against brute force.
-_TWINS: dict[str, str] = {}
+#: What DuckDB can run over the whole tables; the others are tested against brute force.
+_TWINS: dict[str, str] = {
+    "op3_repeats": twins.REPEATS,
+    "op6_jaccard": twins.JACCARD,
+    "op10_quality": twins.QUALITY,
+}
 
 
 def _shipped(run: Runner) -> Runner:
