@@ -8,6 +8,7 @@ from chronofold.operators import charts, ratios, reports, weeks
 from chronofold.plans import period as periods
 from chronofold.plans.period import Period
 
+# Dates and results of the published cases, here and below.
 JANUARY = ("2025-01-01", "2025-01-08", "2025-01-15", "2025-01-22", "2025-01-29", "2025-01-31")
 
 
