@@ -9,9 +9,8 @@ Two texts link when 100 * |A & B| >= percent * |A | B|.
    last. Sets that link share a token among the first n - ceil(percent * n / 100) + 1 of each, so
    only these prefixes are shuffled, and rare tokens lead them. The counts steer cost only: any
    order gives the same links.
-3. *Groups.* Similar classes are gathered round leaders: in a few rounds each class is compared
-   with a few leaders of other groups it shares many prefix tokens with; classes that links connect
-   form a group.
+3. *Groups.* Similar classes are gathered round leaders: each class is compared with a few leaders
+   it shares many prefix tokens with; classes that links connect form a group.
 4. *Matrix.* A row (token, group) says that a member of the group has the token in its prefix; the
    group's sizes go with it. A class queries the other groups: the number of its prefix tokens in
    the group's union bounds its overlap with every member, and only groups within reach of the
@@ -48,8 +47,8 @@ from chronofold.llm.tables import written
 
 #: Most frequent tokens whose order is known; more or fewer change the cost, not the links.
 COMMON_TOKENS = 100_000
-#: Leaders that a class is compared with in a round, and rounds.
-LEADERS, ROUNDS = 4, 3
+#: Leaders that a class is compared with.
+LEADERS = 8
 #: Classes in a block of a group, and queries that one task puts to it.
 BLOCK, QUERIES = 256, 4096
 
@@ -187,21 +186,18 @@ def _suits(a: Column, b: Column, percent: int) -> Column:
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def _leaders(shared: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(cls, leader): per class the few leaders of other groups it shares most tokens with. A
-    token's leaders are the classes that come first by several hash orders, others in each turn."""
+def _leaders(shared: DataFrame, percent: int) -> DataFrame:
+    """(cls, leader): per class the few leaders it shares most tokens with. A token's leaders are
+    the classes that come first by several hash orders, so a token of few classes has few."""
     orders = [
-        F.min(
-            F.struct(F.xxhash64("cls", F.lit(turn * LEADERS + i)).alias("o"), "cls", "n", "root")
-        )
-        for i in range(LEADERS)
+        F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("o"), "cls", "n")) for i in range(LEADERS)
     ]
     heads = shared.groupBy("token").agg(F.array_distinct(F.array(*orders)).alias("heads"))
     # the count is of tokens that the leader leads, so half of what a link needs will do here
     pairs = (
         shared.join(heads, "token")
-        .select("cls", "n", "root", F.explode("heads").alias("head"))
-        .where(F.col("root") != F.col("head.root"))
+        .select("cls", "n", F.explode("heads").alias("head"))
+        .where(F.col("cls") != F.col("head.cls"))
         .groupBy("cls", "n", F.col("head.cls").alias("leader"), F.col("head.n").alias("m"))
         .agg(F.count("*").alias("c"))
         .where(_suits(F.col("n"), F.col("m"), percent))
@@ -389,17 +385,10 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         texts = base.join(ids, "doc_id", "left_semi")
         return written(texts.mapInArrow(_token_lists(k), "cls long, tokens array<long>"), "lists")
 
-    pairs = written(_leaders(shared.withColumn("root", F.col("cls")), percent, 0), "leaders")
+    pairs = written(_leaders(shared, percent), "leaders")
     both = pairs.select("cls").unionAll(pairs.select(F.col("leader").alias("cls")))
-    lists = lists_of(both)
-    links = written(_verified(pairs, lists, percent), "star")
-    sharing = written(shared.select("cls").distinct(), "sharing")
-    groups = _grouped(sharing, links)
-    for turn in range(1, ROUNDS):  # classes that their first leaders did not take in
-        listed = shared.join(groups, "cls").join(lists.select("cls").distinct(), "cls", "left_semi")
-        pairs = _leaders(_mixed(listed), percent, turn)
-        links = links.unionAll(written(_verified(pairs, lists, percent), "star"))
-        groups = _grouped(sharing, links)
+    links = written(_verified(pairs, lists_of(both), percent), "star")
+    groups = _grouped(shared.select("cls").distinct(), links)
     asked = written(_asked(shared, groups, percent), "asked")
     opened = groups.join(
         asked.select(F.col("group").alias("root")), "root", "left_semi"
