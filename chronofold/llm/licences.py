@@ -230,10 +230,11 @@ def _examples(negatives: list[str], seed: int = 11) -> list[tuple[int, np.ndarra
 def fit(docs: DataFrame, sample: int = SAMPLE, confirm: float = 0.6) -> Scanner:
     """A scanner that learnt the corpus's own words as unknown ones."""
     spark = docs.sparkSession
+    named = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    ids = named.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = (
-        docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
+        named.select("doc_id", "text")
+        .join(F.broadcast(ids.distinct()), "doc_id")  # ``sample`` ids at most
         .select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("text"))
         .where(~F.lower("text").rlike("licen[sc]|copyright|gnu|creative commons|warrant"))
         .select(F.substring("text", 1, 400).alias("text"))
