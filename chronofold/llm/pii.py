@@ -4,6 +4,12 @@ Found are e-mail addresses, IPv4 addresses, telephone numbers, social security n
 account and card numbers of 13 to 19 digits, and secrets of 32 to 64 hexadecimal digits. A value
 that does not validate (octets over 255, no such day, no such area number) stays as it is.
 
+Digit groups joined by single blanks or hyphens are read from the left. A group of 13 to 19 digits
+is a number by itself. Several groups are one only if their check digit is valid (Luhn): 4-4-4-4 and
+4-6-5 digits anywhere among the groups, groups of other lengths from the first one on, as few of
+them as validate. So a card keeps its pseudonym whatever digits stand next to it, and lists of years
+and rows of a table stay as they are, but for the one in ten that validates by chance.
+
 A value is read as a pair (a, b) of numbers below (p, q) and runs through ROUNDS rounds that add
 a keyed hash of one half to the other half, modulo p or q in turn. That is a permutation of all p * q
 values, so different values stay different, equal ones get the same pseudonym in every text, and
@@ -40,14 +46,18 @@ _PHONE = (
 )
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 _DATE = r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}\.\d{2}\.\d{4}(?![\d])|\d{2}/\d{2}/\d{4}(?![\d/])"
-_ACCOUNT = r"\d(?:[ -]?\d){12,18}(?![\d])"
 _SECRET = r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"
 
 #: A value begins where no letter, digit or joining sign stands before it.
-_FIND = (
+_NAMED = (
     r"(?<![\p{L}\p{N}._%+@-])(?:" + "|".join((_EMAIL, _SECRET, _IP, _DATE, _SSN)) + ")"
-    r"|(?<![\p{L}\p{N}+])(?:" + "|".join((_PHONE, _ACCOUNT)) + ")"
+    rf"|(?<![\p{{L}}\p{{N}}+])(?:{_PHONE})"
 )
+#: Digit groups of 13 digits or more up to where another value begins, taken apart by ``_cards``.
+_GROUPS = rf"(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_NAMED})\d++)*+"
+_FIND = rf"{_NAMED}|(?<![\p{{L}}\p{{N}}+])(?:{_GROUPS})"
+#: Lengths of the groups of a card, and the digits of an account number.
+_SHAPES, _SHORTEST, _LONGEST = ((4, 4, 4, 4), (4, 6, 5)), 13, 19
 _DAYS_P, _DAYS_Q = 189, 773
 _AREAS, _REST = 898, 99 * 9999
 
@@ -285,25 +295,114 @@ def pseudonym(value: Column, key: str, restore: bool = False) -> Column:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _segment(text: Column, found: bool) -> Column:
+    return F.struct(text.alias("s"), F.lit(found).alias("found"))
+
+
+def _taken(groups: Column, i: Column) -> Column:
+    """How many groups, from the i-th on, are an account or card number; 0 if none."""
+    long = F.length(_digits(groups[i - 1])).between(_SHORTEST, _LONGEST)
+    near = F.transform(F.slice(groups, i, F.lit(_LONGEST)), _digits)
+
+    def valid(window: Column, k: Column) -> Column:
+        digits = F.array_join(F.slice(window, F.lit(1), k), "")
+        fits = F.length(digits).between(_SHORTEST, _LONGEST)
+        # shorter or longer digits are not summed
+        sums = _let(F.when(fits, digits), lambda d: F.pmod(_luhn(d), F.lit(10)) == 0)
+        return (k <= F.size(window)) & fits & sums
+
+    def several(window: Column) -> Column:
+        lengths = F.transform(window, lambda g: F.length(g))
+        taken = F.when(F.lit(False), F.lit(0))
+        for shape in _SHAPES:
+            k = F.lit(len(shape))
+            same = F.slice(lengths, F.lit(1), k) == F.array(*[F.lit(n) for n in shape])
+            taken = taken.when(same & valid(window, k), k)
+        free = F.filter(F.sequence(F.lit(2), F.lit(_LONGEST)), lambda k: valid(window, k))
+        free = F.when(F.size(free) > 0, free[0])
+        return taken.when(i == 1, F.coalesce(free, F.lit(0))).otherwise(F.lit(0))
+
+    return F.when(long, F.lit(1)).when(i < F.size(groups), _let(near, several)).otherwise(0)
+
+
+def _cards(value: Column) -> Column:
+    """Segments of a value of ``_GROUPS``: the numbers among its groups, and what is left."""
+
+    def cut(groups: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(groups))
+        taken = F.transform(places, lambda i: F.struct(i.alias("i"), _taken(groups, i).alias("k")))
+        none = F.lit([]).cast("array<struct<i:int,k:int,after:int>>")
+        start = F.struct(F.lit(1).alias("next"), none.alias("chosen"))
+
+        def choose(state: Column, at: Column) -> Column:
+            one = F.struct(at["i"].alias("i"), at["k"].alias("k"), state["next"].alias("after"))
+            more = F.struct(
+                (at["i"] + at["k"]).alias("next"),
+                F.concat(state["chosen"], F.array(one)).alias("chosen"),
+            )
+            return F.when((at["k"] > 0) & (at["i"] >= state["next"]), more).otherwise(state)
+
+        def part(first: Column, n: Column) -> Column:
+            return F.array_join(F.slice(groups, first, n), "")
+
+        def segments(state: Column) -> Column:
+            def pair(x: Column) -> Column:
+                own = part(x["i"], x["k"])
+                sign = F.regexp_extract(own, "^[ -]?", 0)
+                before = F.concat(part(x["after"], x["i"] - x["after"]), sign)
+                return F.array(
+                    _segment(before, False), _segment(F.regexp_replace(own, "^[ -]", ""), True)
+                )
+
+            pairs = F.flatten(F.transform(state["chosen"], pair))
+            rest = part(state["next"], F.size(groups) + 1 - state["next"])
+            return F.concat(pairs, F.array(_segment(rest, False)))
+
+        return _let(F.aggregate(taken, start, choose), segments)
+
+    return _let(F.regexp_extract_all(value, F.lit(r"[ -]?\d+"), 0), cut)
+
+
 def _free(frame: DataFrame, name: str) -> str:
     while name in frame.columns:
         name += "_"
     return name
 
 
+def _segments(found: Column, parts: Column) -> Column:
+    """All segments of a text whose finds are ``found`` and what stands round them ``parts``."""
+
+    def split(value: Column) -> Column:
+        one = value.rlike(r"[^0-9 -]")
+        for pattern in (_DATE, _SSN, _PHONE):
+            one = one | value.rlike(rf"^(?:{pattern})$")
+        return F.when(one, F.array(_segment(value, True))).otherwise(_cards(value))
+
+    rest = F.slice(parts, F.lit(2), F.size(found))
+    after = F.zip_with(
+        found, rest, lambda value, text: F.concat(split(value), F.array(_segment(text, False)))
+    )
+    return F.concat(F.array(_segment(parts[0], False)), F.flatten(after))
+
+
 def _rewritten(docs: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
     parts, finds = _free(docs, "_parts"), _free(docs, "_finds")
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(_FIND), 0))
     split = docs.withColumn(finds, found)
-    number = F.coalesce(F.size(F.col(finds)), F.lit(0))
-    number = F.when(number > 0, number).otherwise(0)
-    split = split.withColumn(parts, F.when(number > 0, F.split("text", _FIND, -1)))
-    after = F.zip_with(
-        F.transform(F.col(finds), change),
-        F.slice(F.col(parts), F.lit(2), F.greatest(number, F.lit(1))),
-        lambda new, rest: F.concat(new, rest),
+    some = F.coalesce(F.size(F.col(finds)), F.lit(0)) > 0
+    split = split.withColumn(parts, F.when(some, F.split("text", _FIND, -1)))
+    split = split.withColumn(parts, F.when(some, _segments(F.col(finds), F.col(parts))))
+    number = F.size(F.filter(F.col(parts), lambda x: x["found"]))
+    number = F.when(some, number).otherwise(0)
+    new = F.transform(
+        F.col(parts), lambda x: F.when(x["found"], change(x["s"])).otherwise(x["s"])
     )
-    text = F.concat(F.col(parts)[0], F.array_join(after, ""))
+    text = F.array_join(new, "")
     return split.withColumns(
         {"text": F.when(number > 0, text).otherwise(F.col("text")), "n_pii": number.cast("long")}
     ).drop(parts, finds)

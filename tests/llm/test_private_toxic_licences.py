@@ -68,6 +68,31 @@ def test_texts_are_rewritten_in_place(documents):
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def test_cards_keep_their_pseudonym_next_to_other_digits(documents):
+    card = "4111 1111 1111 1111"
+    texts = [
+        card, f"{card} 123", "4111111111111111 12/25", f"12 {card}", f"{card} 2024-02-29", f"{card} {card}",
+        "2019 2020 2021 2022 2023", "1234 5678 9012 3456", "2019 2020 2021 2022 43.21.141.162",
+        "4111-1111-1111-1111-123", "3782 822463 10005 1234", "41111 111 11111 111 99",
+        "12345678 555-123-4567", "1 " * 200_000, "4111111111111111", "41111 111 11111 111",
+    ]
+    rows = {r.doc_id: r for r in pii.pseudonymise(documents(*texts), "k").collect()}
+    new = rows[0].text
+    bare = rows[14].text
+    assert bare == new.replace(" ", "") != texts[14]
+    assert rows[1].text == f"{new} 123" and rows[2].text == f"{bare} 12/25"
+    assert rows[3].text == f"12 {new}" and rows[5].text == f"{new} {new}"
+    assert rows[4].text.startswith(new + " ") and not rows[4].text.endswith("2024-02-29")
+    assert [rows[i].text for i in (6, 7)] == texts[6:8]
+    assert rows[8].text.startswith("2019 2020 2021 2022 ") and "43.21." not in rows[8].text
+    assert rows[9].text == new.replace(" ", "-") + "-123"
+    assert rows[10].text.endswith(" 1234") and not rows[10].text.startswith("3782")
+    assert rows[11].text == rows[15].text + " 99" and rows[15].text.replace(" ", "") == bare
+    assert rows[12].text.startswith("12345678 ") and not rows[12].text.endswith("555-123-4567")
+    assert len(rows[13].text) == 400_000
+    assert [rows[i].n_pii for i in range(13)] == [1, 1, 1, 1, 2, 2, 0, 0, 1, 1, 1, 1, 1]
+
+
 def _labelled(rng, n):
     common = ["the", "river", "ran", "and", "you", "house", "green", "walk", "said", "blé", "straße"]
     rude = ["stupid", "zorgul", "zorgan", "zorgeth", "idiot", "st*pid"]
