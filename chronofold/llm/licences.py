@@ -155,10 +155,23 @@ class Scanner:
     confirm: float
 
     def __post_init__(self) -> None:
-        self.triples = {
-            name: [np.unique(_runs(_of(t), 3)) for t in texts] for name, texts in TEMPLATES.items()
-        }
-        self.known = np.unique(np.concatenate([t for ts in self.triples.values() for t in ts]))
+        runs: dict[int, list] = {}  # by length, (template, distinct runs)
+        self.family: list[int] = []  # of each template
+        for number, name in enumerate(FAMILIES, start=1):
+            for text in TEMPLATES[name]:
+                whole = _of(text)
+                k = min(len(whole), 3)
+                runs.setdefault(k, []).append((len(self.family), np.unique(_runs(whole, k))))
+                self.family.append(number)
+        self.known = {k: np.unique(np.concatenate([r for _, r in rs])) for k, rs in runs.items()}
+        self.first, total = {}, 0  # rows of each length's runs in the matrix
+        for k, known in self.known.items():
+            self.first[k], total = total, total + len(known)
+        self.has = np.zeros((total, len(self.family)), dtype=bool)  # (run, template)
+        for k, rs in runs.items():
+            for template, own in rs:
+                self.has[self.first[k] + np.searchsorted(self.known[k], own), template] = True
+        self.runs_of = self.has.sum(axis=0)
 
     def probabilities(self, hashes: np.ndarray) -> np.ndarray:
         columns = _columns(hashes)
@@ -167,33 +180,62 @@ class Scanner:
         e = np.exp(logit - logit.max())
         return e / e.sum()
 
-    def judge(self, hashes: np.ndarray) -> tuple[str, float, float] | None:
-        """Family, its probability and the best template's share of triples."""
+    def judge(self, hashes: np.ndarray, shares: np.ndarray) -> tuple[str, float, float] | None:
+        """Family, its probability and the best template's share of runs in the stretch."""
         p = self.probabilities(hashes)
         best = int(p.argmax())
         if best == UNKNOWN or p[best] < self.least:
             return None
-        family, own = FAMILIES[best - 1], np.unique(_runs(hashes, 3))
-        share = max(float(np.isin(t, own).mean()) for t in self.triples[family])
-        return (family, float(p[best]), share) if share >= self.confirm else None
-
-    def paragraphs(self, hashes: np.ndarray, owner: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of words round template triples."""
-        at = np.arange(max(len(hashes) - 2, 0))
-        at = at[owner[at] == owner[at + 2]] if len(at) else at
-        value = run_hashes(hashes, at, 3)
-        place = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
-        at = at[self.known[place] == value]
+        share = float(shares[best])
+        return (FAMILIES[best - 1], float(p[best]), share) if share >= self.confirm else None
+
+    def shares(self, place: np.ndarray) -> np.ndarray:
+        """Per class, the best template's share of its runs among these; 0 for the unknown one."""
+        share = self.has[np.unique(place)].sum(axis=0) / self.runs_of
+        best = np.zeros(len(FAMILIES) + 1)
+        np.maximum.at(best, self.family, share)
+        return best
+
+    def paragraphs(
+        self, hashes: np.ndarray, owner: np.ndarray
+    ) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
+        """Stretches of words round template runs: their paragraphs and their shares."""
+        every, places, ends = [], [], []
+        for k, known in self.known.items():
+            at = np.arange(max(len(hashes) - k + 1, 0))
+            at = at[owner[at] == owner[at + k - 1]] if len(at) else at
+            value = run_hashes(hashes, at, k)
+            place = np.minimum(np.searchsorted(known, value), len(known) - 1)
+            hit = known[place] == value
+            every.append(at[hit])
+            places.append(self.first[k] + place[hit])
+            ends.append(at[hit] + k)
+        at, place, stop = (np.concatenate(x) for x in (every, places, ends))
         if not len(at):
-            return []
+            return
+        order = np.argsort(at, kind="stable")
+        at, place, stop = at[order], place[order], stop[order]
         new = np.concatenate([[True], (np.diff(at) > GAP) | (owner[at[1:]] != owner[at[:-1]])])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
+        last = np.append(first[1:], len(at))
         low = np.searchsorted(owner, owner[at[first]], side="left")
         high = np.searchsorted(owner, owner[at[first]], side="right")
         begin = np.maximum(at[first] - MARGIN, low)
-        end = np.minimum(at[last] + 3 + MARGIN, high)
-        return list(zip(begin.tolist(), end.tolist(), strict=True))
+        for i, (f, t) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            shares = self.shares(place[f:t])
+            end = int(min(stop[f:t].max() + MARGIN, high[i]))
+            marks = sorted({int(begin[i]), end})
+            yield list(zip(marks[:-1], marks[1:], strict=True)), shares
+
+    def found(
+        self, hashes: np.ndarray, parts: list[tuple[int, int]], shares: np.ndarray
+    ) -> list[tuple[int, int, tuple[str, float, float]]]:
+        """Finds in the paragraphs of a stretch, or else the one of the whole stretch."""
+        for spans in (parts, [(parts[0][0], parts[-1][1])]):
+            judged = [(lo, hi, self.judge(hashes[lo:hi], shares)) for lo, hi in spans]
+            if any(find for _, _, find in judged) or len(parts) == 1:
+                break
+        return [x for x in judged if x[2]]
 
 
 def _examples(negatives: list[str], seed: int = 11) -> list[tuple[int, np.ndarray]]:
@@ -284,11 +326,10 @@ def _scan(scanner: Scanner):
             hashes, owner, start, end = _bare(data, offsets)
             finds: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             tried = np.zeros(batch.num_rows, dtype=np.int64)
-            for lo, hi in scanner.paragraphs(hashes, owner):
-                row = int(owner[lo])
-                tried[row] += 1
-                found = scanner.judge(hashes[lo:hi])
-                if found:
+            for parts, shares in scanner.paragraphs(hashes, owner):
+                row = int(owner[parts[0][0]])
+                tried[row] += len(parts)
+                for lo, hi, found in scanner.found(hashes, parts, shares):
                     place = {"begin": start[lo] - offsets[row], "end": end[hi - 1] - offsets[row]}
                     names = ("family", "probability", "share")
                     finds[row].append(place | dict(zip(names, found, strict=True)))

@@ -151,3 +151,26 @@ def test_licences(documents):
     assert texts[42].encode()[found.begin : found.end].startswith(b"This work is licensed")
     assert found.share >= 0.6 and 0.5 <= found.probability <= 1
     assert licences.scan(docs.limit(0), scanner).count() == 0
+
+
+@pytest.fixture(scope="module")
+def noise():
+    rng = random.Random(9)
+    return [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(50)) for _ in range(40)]
+
+
+def _families(documents, noise, texts):
+    docs = documents(*noise, *texts)
+    rows = licences.families(licences.scan(docs, licences.fit(docs))).collect()
+    found = {r.doc_id: (r.families, r.n_licences) for r in rows}
+    return [found[len(noise) + i] for i in range(len(texts))]
+
+
+def test_spdx_lines_alone(documents, noise):
+    lines = {
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "# SPDX-License-Identifier: BSD-3-Clause": "bsd",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "/* SPDX-License-Identifier: MIT */": "mit",
+    }
+    texts = [*lines, *[f"{line}\n{noise[2]}" for line in lines], "SPDX-License-Identifier: X-1"]
+    want = [(name, 1) for name in lines.values()] * 2 + [("", 0)]
+    assert _families(documents, noise, texts) == want
