@@ -196,6 +196,21 @@ class Scanner:
         np.maximum.at(best, self.family, share)
         return best
 
+    def cuts(self, at: np.ndarray, place: np.ndarray, shares: np.ndarray) -> list[int]:
+        """Words where the runs of a confirmed family change to those of another."""
+        confirmed = np.flatnonzero(shares >= self.confirm)
+        if len(confirmed) < 2:
+            return []
+        own = np.stack([self.has[place][:, np.equal(self.family, f)].any(axis=1) for f in confirmed])
+        telling = np.flatnonzero(own.sum(axis=0) == 1)
+        whose = own[:, telling].argmax(axis=0)
+        found = []
+        for i in np.flatnonzero(np.diff(whose)):
+            between = at[telling[i] : telling[i + 1] + 1]
+            gaps = np.diff(between)
+            found.append(int(between[len(gaps) - int(gaps[::-1].argmax())]))  # the last widest
+        return found
+
     def paragraphs(
         self, hashes: np.ndarray, owner: np.ndarray
     ) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
@@ -224,7 +239,7 @@ class Scanner:
         for i, (f, t) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
             shares = self.shares(place[f:t])
             end = int(min(stop[f:t].max() + MARGIN, high[i]))
-            marks = sorted({int(begin[i]), end})
+            marks = sorted({int(begin[i]), *self.cuts(at[f:t], place[f:t], shares), end})
             yield list(zip(marks[:-1], marks[1:], strict=True)), shares
 
     def found(

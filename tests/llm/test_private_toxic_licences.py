@@ -166,6 +166,15 @@ def _families(documents, noise, texts):
     return [found[len(noise) + i] for i in range(len(texts))]
 
 
+def test_notices_next_to_each_other(documents, noise):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    gpl = licences.TEMPLATES["gpl"][1]
+    lgpl = licences.TEMPLATES["lgpl"][1]
+    texts = [f"{mit} {apache}", f"{apache}\n{mit}", f"{noise[0]} {mit}\n{apache} {noise[1]}", lgpl, f"{lgpl}. {apache}", f"{gpl}\n{mit}"]
+    want = [("apache-2.0,mit", 2)] * 3 + [("lgpl", 1), ("apache-2.0,lgpl", 2), ("gpl,mit", 2)]
+    assert _families(documents, noise, texts) == want
+
+
 def test_spdx_lines_alone(documents, noise):
     lines = {
         "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "# SPDX-License-Identifier: BSD-3-Clause": "bsd",
