@@ -285,10 +285,13 @@ def _asked(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         (F.col("others") == F.col("members")) & (F.col("group") < F.col("root"))
     )
     n = F.col("n")
-    # sizes of members that can link; the need is smallest at the ends of that span
+    # sizes of members that can link; the need grows up to n and falls above, but for dips of one
+    # that its roundings make there, so it is that at an end of the span or, in between, one less
     low = F.greatest("least", F.ceil(percent * n / F.lit(100)))
     high = F.least("most", F.floor(100 * n / F.lit(percent)))
-    need = F.least(_least(n, low, percent), _least(n, high, percent))
+    ends = F.least(_least(n, low, percent), _least(n, high, percent))
+    between = high - F.greatest(low, n) >= 2
+    need = F.greatest(ends - F.when(between, 1).otherwise(0), F.lit(1))
     # a member that links has a size that suits and all the tokens it shares, so rows whose members
     # are all too small or too large for the query count for none that links
     suits = (100 * n >= percent * F.col("least")) & (100 * F.col("most") >= percent * n)

@@ -61,6 +61,43 @@ def test_threshold_is_exact(documents):
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2}
 
 
+def test_groups_of_mixed_sizes_are_opened_for_the_least_need(spark, documents):
+    """Leaders have linked nothing with A. Tokens are numbered as they are ordered."""
+    a_rare, b_rare, common = range(5), range(10, 21), range(100, 195)
+    sets = {
+        1: [*a_rare, *common],  # A
+        2: [*b_rare, *common],  # B: 95 of 111 tokens are common to both
+        3: [*b_rare, *common[:92]],
+        4: [*b_rare, 30, *common],
+    }
+    assert [len(s) for s in sets.values()] == [100, 106, 103, 107]
+    shared = [
+        (token, cls, len(s)) for cls, s in sets.items() for token in s[: len(s) + 1 - -(-85 * len(s) // 100)]
+    ]
+    documents()
+    asked = jaccard._asked(
+        spark.createDataFrame(shared, "token long, cls long, n long"),
+        spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 2)], "cls long, root long"),
+        85,
+    )
+    assert [tuple(r) for r in asked.collect()] == [(1, 2, 3)]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_need_of_a_span_is_that_of_its_ends_or_one_less(percent):
+    def least(a, b):
+        behind = -(-percent * max(a, b) // 100) - 1
+        return max(-(-percent * (a + b) // (100 + percent)) - behind, 1)
+
+    for n in range(1, 140):
+        high_most = 100 * n // percent
+        for low in range(-(-percent * n // 100), high_most + 1):
+            for high in range(low, high_most + 1):
+                ends = min(least(n, low), least(n, high))
+                need = max(ends - (high - max(low, n) >= 2), 1)
+                assert need <= min(least(n, m) for m in range(low, high + 1))
+
+
 def test_empty_tables_null_ids_and_extra_columns(spark, documents, corpus):
     empty = documents(*corpus).limit(0)
     assert jaccard.similar(empty).count() == 0
