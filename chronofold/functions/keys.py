@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 GUID_LENGTH = 26
 
 
-#: Keys tried for one set of values before giving up.
+#: Keys tried for one set of values in a round; names that find none free go to another round.
 GENERATIONS = 64
 
 
@@ -53,9 +53,28 @@ def with_free_keys(rows: DataFrame, names: Sequence[str], taken: DataFrame, key:
     parts = [F.col(name) for name in names]
     first = rows.select(*names, F.lit(0).alias("_g"))
     held = taken.select(key)
-    clash = first.withColumn(key, stable_id(*parts)).join(held, key, "left_semi").select(*names)
-    later = clash.withColumn("_g", F.explode(F.sequence(F.lit(1), F.lit(GENERATIONS))))
-    candidates = first.unionByName(later)
+
+    def clashing(asked: DataFrame) -> DataFrame:
+        """Rows of (names, _g) whose key of that generation is held."""
+        keyed = asked.withColumn(key, stable_id(*parts, generation=F.col("_g")))
+        return keyed.join(held, key, "left_semi").select(*names, "_g")
+
+    def tried(asked: DataFrame) -> DataFrame:
+        """The next GENERATIONS generations after each row's."""
+        after = F.sequence(F.col("_g") + 1, F.col("_g") + GENERATIONS)
+        return asked.withColumn("_g", F.explode(after))
+
+    candidates, waiting = first, clashing(first)
+    while True:
+        later = tried(waiting)
+        candidates = candidates.unionByName(later)
+        # every generation of the round is held: the name's last one says where to go on
+        full = clashing(later).groupBy(*names).agg(
+            F.count("*").alias("_n"), F.max("_g").alias("_g")
+        )
+        waiting = full.where(F.col("_n") == GENERATIONS).select(*names, "_g")
+        if waiting.isEmpty():
+            break
     free = candidates.withColumn(key, stable_id(*parts, generation=F.col("_g"))).join(
         held, key, "left_anti"
     )

@@ -1,7 +1,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from chronofold.functions import keys
 from chronofold.operators import ingest, quality
 
 TASKS = "task_id long, task_name string, subtask string, guid string"
@@ -227,3 +229,19 @@ def test_orphans(spark, tasks, tags):
     assert sorted((r.record_id, r.problem) for r in rows) == [
         ("b", "unknown task"), ("c", "unknown tag"), ("d", "unknown tag"), ("d", "unknown task"),
     ]
+
+
+@pytest.mark.parametrize("generations", [1, 3])
+def test_names_renamed_often_still_get_a_key(spark, monkeypatch, generations):
+    monkeypatch.setattr(keys, "GENERATIONS", generations)
+    name, other = F.lit("New Task"), F.lit(None).cast("string")
+    held = spark.range(6).select(
+        keys.stable_id(name, other, generation=F.col("id")).alias("task_id"),
+        F.concat(F.lit("Old "), F.col("id").cast("string")).alias("task_name"),
+        other.alias("subtask"),
+        F.lit("g").alias("guid"),
+    )
+    asked = spark.createDataFrame([("new task", None), ("fresh", None)], "task_name string, subtask string")
+    added = {r.task_name: r.task_id for r in ingest.new_tasks(asked, held).collect()}
+    want = spark.range(1).select(keys.stable_id(name, other, generation=F.lit(6)), keys.stable_id(F.lit("Fresh"), other))
+    assert (added["New Task"], added["Fresh"]) == tuple(want.first()) and len(added) == 2
