@@ -1,9 +1,10 @@
 """Texts as flat numpy arrays: words, lines and their 64-bit hashes without a Python object each.
 
 A batch of texts is one UTF-8 buffer and its offsets. A word is a maximal run of bytes other than
-0x20 and 0x09 to 0x0D, which is the same as a run of such characters. Every span gets a 64-bit
-hash from prefix sums of a polynomial modulo 2^64 over random byte values, followed by a mixing
-step; equal hashes are taken for equal spans throughout.
+0x20 and 0x09 to 0x0D, which is the same as a run of such characters. Every span gets a hash from
+prefix sums of a polynomial modulo the prime 2^61 - 1, followed by a mixing step. Two different
+spans of n elements agree for at most n of the 2^61 bases, whatever they hold; where a false match
+would change an exact result, the spans themselves are compared as well.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ PIECE_BYTES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
-_MASK = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,7 +31,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_PRIME = (1 << 61) - 1
+_P = np.uint64(_PRIME)
+_U = [np.uint64(i) for i in range(65)]
+_LOW29, _LOW30 = np.uint64((1 << 29) - 1), np.uint64((1 << 30) - 1)
+_LOW31, _LOW32 = np.uint64((1 << 31) - 1), np.uint64((1 << 32) - 1)
+#: Sums of a byte value and half a power stay below 2^64 for spans up to this length.
+_SPAN = 1 << 22
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo 2^61 - 1."""
+    x = (x & _P) + (x >> _U[61])
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for numbers below it."""
+    a_high, a_low = a >> _U[31], a & _LOW31
+    b_high, b_low = b >> _U[31], b & _LOW31
+    middle = a_low * b_high + a_high * b_low
+    return reduced(
+        ((a_high * b_high) << _U[1])
+        + (middle >> _U[30])
+        + ((middle & _LOW30) << _U[31])
+        + a_low * b_low
+    )
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -46,28 +73,58 @@ def is_space() -> np.ndarray:
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _power_row(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.uint64)
+    have, step = 1, base
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = product(out[:more], np.uint64(step))
+        have, step = have + more, step * step % _PRIME
+    return out
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n; kept for the next piece unless very long."""
+    """base^i and base^-i modulo 2^61 - 1 for i < n; kept for the next piece unless very long."""
     if base in _POWERS and len(_POWERS[base][0]) >= n:
         return _POWERS[base]
-    size = max(n, 1 << 16)
-    pair = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        out = np.full(size, b, dtype=np.uint64)
-        out[0] = 1
-        pair.append(np.multiply.accumulate(out))
+    size = 1 << max(16, (n - 1).bit_length())
+    base_ = base % _PRIME
+    pair = (_power_row(base_, size), _power_row(pow(base_, -1, _PRIME), size))
     if size <= 4 * PIECE_BYTES:
-        _POWERS[base] = (pair[0], pair[1])
-    return pair[0], pair[1]
+        _POWERS[base] = pair
+    return pair
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for every span."""
+    """Hash of values[start:end] for every span; values are bytes or unsigned 64-bit numbers."""
     forward, back = _powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * forward[: len(values)], out=sums[1:])
-    raw = (sums[end] - sums[start]) * back[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(_BASE))
+    forward = forward[: len(values)]
+    small = values.dtype.itemsize == 1
+    if small:
+        values = values.astype(np.uint64) + _U[1]  # a span's length shows in its sum
+        low, high = values * (forward & _LOW32), values * (forward >> _U[32])
+    else:
+        term = product(reduced(values), forward)
+        low, high = term & _LOW32, term >> _U[32]
+    lows = np.zeros(len(values) + 1, dtype=np.uint64)
+    highs = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(low, out=lows[1:])  # may wrap round; differences are right all the same
+    np.cumsum(high, out=highs[1:])
+
+    def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        upper = reduced(highs[b] - highs[a])
+        # 2^32 * upper, as 2^61 is 1
+        folded = (upper >> _U[29]) + ((upper & _LOW29) << _U[32])
+        return reduced(folded + reduced(lows[b] - lows[a]))
+
+    if small and len(start) and int((end - start).max()) > _SPAN:
+        total, at = np.zeros(len(start), dtype=np.uint64), start
+        while (at < end).any():
+            to = np.minimum(at + _SPAN, end)
+            total, at = reduced(total + sums(at, to)), to
+    else:
+        total = sums(start, end)
+    return mix(product(total, back[start]))
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -104,11 +161,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def word_hashes(data: np.ndarray, found: Words) -> np.ndarray:
-    return span_hashes(_BYTE_VALUE[data], found.start, found.end, _BASE)
+    return span_hashes(data, found.start, found.end, _BASE)
 
 
 def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE_VALUE[data], start, end, _BASE)
+    return span_hashes(data, start, end, _BASE)
 
 
 def run_starts(counts: np.ndarray, k: int) -> np.ndarray:
@@ -129,6 +186,19 @@ def sequence_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return span_hashes(hashes, first[:-1], first[1:], _WORD_BASE)
 
 
+def same_spans(
+    a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray
+) -> np.ndarray:
+    """Whether a[a_start : a_start + length] equals b[b_start : b_start + length], for every span."""
+    same = np.ones(len(length), dtype=bool)
+    filled = np.flatnonzero(length > 0)
+    if len(filled):
+        size = length[filled]
+        equal = a[ranges(a_start[filled], size)] == b[ranges(b_start[filled], size)]
+        same[filled] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return same
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

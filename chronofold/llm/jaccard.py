@@ -10,7 +10,9 @@ Two texts link when 100 * |A & B| >= percent * |A | B|.
    only these prefixes are shuffled, and rare tokens lead them. The counts steer cost only: any
    order gives the same links.
 3. *Groups.* Similar classes are gathered round leaders: each class is compared with a few leaders
-   it shares many prefix tokens with; classes that links connect form a group.
+   it shares many prefix tokens with. Classes that links connect form a part. A class without a
+   link joins the group of the leader it shares most with, so the stragglers of a large group of
+   near copies are together in one group and not in groups of their own.
 4. *Matrix.* A row (token, group) says that a member of the group has the token in its prefix; the
    group's sizes go with it. A class queries the other groups: the number of its prefix tokens in
    the group's union bounds its overlap with every member, and only groups within reach of the
@@ -18,8 +20,9 @@ Two texts link when 100 * |A & B| >= percent * |A | B|.
    members' tokens, which bounds the overlap once more before members are compared one by one.
 
 A group queries only groups that are larger (or as large, with a smaller root), which covers each
-pair of groups once, and a block answers with one link, since its members are connected already.
-So neither a group of copies nor one of near copies is ever expanded into pairs.
+pair of groups once; a straggler also queries its own group, whose other members are connected
+already. A block answers with a forest: a link between sets that are not connected yet. So neither
+a group of copies nor one of near copies is ever expanded into pairs.
 """
 
 from __future__ import annotations
@@ -187,8 +190,9 @@ def _suits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _leaders(shared: DataFrame, percent: int) -> DataFrame:
-    """(cls, leader): per class the few leaders it shares most tokens with. A token's leaders are
-    the classes that come first by several hash orders, so a token of few classes has few."""
+    """(cls, place, leader): per class the few leaders it shares most tokens with, best first. A
+    token's leaders are the classes that come first by several hash orders, so a token of few
+    classes has few."""
     orders = [
         F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("o"), "cls", "n")) for i in range(LEADERS)
     ]
@@ -207,7 +211,7 @@ def _leaders(shared: DataFrame, percent: int) -> DataFrame:
     return (
         pairs.groupBy("cls")
         .agg(F.slice(best, 1, LEADERS)["leader"].alias("leader"))
-        .select("cls", F.explode("leader").alias("leader"))
+        .select("cls", F.posexplode("leader").alias("place", "leader"))
     )
 
 
@@ -239,6 +243,8 @@ def _open(percent: int):
             union = np.unique(flat)
             asked = queries.column("tokens").combine_chunks()
             cls = queries.column("cls").to_numpy()
+            # connected sets as known here; a link is handed out only if it connects two of them
+            theirs, ours = members.column("part").to_numpy().copy(), queries.column("part").to_numpy().copy()
             for i in range(queries.num_rows):
                 own = asked[i].values.to_numpy()
                 at = np.minimum(np.searchsorted(union, own), len(union) - 1)
@@ -250,40 +256,38 @@ def _open(percent: int):
                 high = np.searchsorted(flat, own, side="right")
                 common = np.bincount(owner[ranges(low, high - low)], minlength=len(sizes))
                 hit = np.flatnonzero(_links(common, n, sizes, percent))
-                if len(hit):
-                    found_a.append(cls[i])
-                    found_b.append(names[hit[0]])
+                sets, first = np.unique(theirs[hit], return_index=True)
+                for other, one in zip(sets.tolist(), hit[first].tolist(), strict=True):
+                    if other != ours[i]:
+                        found_a.append(cls[i])
+                        found_b.append(names[one])
+                        theirs[theirs == other] = ours[i]
+                        ours[ours == other] = ours[i]
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return run
 
 
-def _mixed(entries: DataFrame) -> DataFrame:
-    """Entries of the tokens that several groups have."""
-    tokens = (
-        entries.groupBy("token")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .where(F.col("lo") != F.col("hi"))
-        .select("token")
-    )
-    return entries.join(tokens, "token", "left_semi")
-
-
 def _asked(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(cls, group, others) for queries whose prefix is within reach of a group's union."""
+    """(cls, group, others) for queries whose prefix is within reach of a group's union. Without a
+    ``part`` in ``groups`` each group is one part, so none has stragglers."""
+    if "part" not in groups.columns:
+        groups = groups.withColumn("part", F.col("root"))
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    placed = groups.join(sizes, "root").select("cls", "root", "members")
-    entries = _mixed(
-        written(
-            shared.join(placed, "cls").select("token", "cls", "n", "root", "members"), "matrix"
-        )
+    placed = groups.join(sizes, "root")
+    entries = written(
+        shared.join(placed, "cls").select("token", "cls", "n", "root", "part", "members"), "matrix"
     )
-    rows = entries.groupBy(
+    cells = entries.groupBy(
         "token", F.col("root").alias("group"), F.col("members").alias("others")
-    ).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    ).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("held"))
     larger = (F.col("others") > F.col("members")) | (
         (F.col("others") == F.col("members")) & (F.col("group") < F.col("root"))
     )
+    # a straggler and a member it links with share tokens that two members hold
+    own = (
+        (F.col("group") == F.col("root")) & (F.col("part") != F.col("root")) & (F.col("held") > 1)
+    )
     n = F.col("n")
     # sizes of members that can link; the need grows up to n and falls above, but for dips of one
     # that its roundings make there, so it is that at an end of the span or, in between, one less
@@ -296,8 +300,8 @@ def _asked(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     # are all too small or too large for the query count for none that links
     suits = (100 * n >= percent * F.col("least")) & (100 * F.col("most") >= percent * n)
     return (
-        entries.join(rows, "token")
-        .where(larger & suits)
+        entries.join(cells, "token")
+        .where((larger | own) & suits)
         .groupBy("cls", "n", "group", "others")
         .agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
         .where((low <= high) & (F.col("c") >= need))
@@ -308,7 +312,7 @@ def _asked(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 def _between_groups(
     asked: DataFrame, groups: DataFrame, lists: DataFrame, percent: int
 ) -> DataFrame:
-    """Links between classes of different groups, at least one where there are any."""
+    """Links that connect parts, within a group and between groups; all that is needed of them."""
     load = asked.groupBy("group").agg(
         F.ceil(F.first("others") / BLOCK).cast("long").alias("blocks"),
         F.ceil(F.count("*") / QUERIES).cast("long").alias("lanes"),
@@ -319,17 +323,18 @@ def _between_groups(
         asked.join(load, "group")
         .withColumn("lane", F.pmod(F.xxhash64("cls"), F.col("lanes")))
         .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        .join(groups.select("cls", "part"), "cls")
         .join(lists, "cls")
-        .select("group", "block", "lane", "cls", "tokens")
+        .select("group", "block", "lane", "cls", "part", "tokens")
     )
     members = (
-        groups.select("cls", F.col("root").alias("group"))
+        groups.select("cls", F.col("root").alias("group"), "part")
         .join(load, "group")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
         .withColumn("lane", F.explode(F.sequence(zero, F.col("lanes") - 1)))
         .join(lists, "cls")
-        .select("group", "block", "lane", "cls", "tokens")
-        .toDF("group", "block", "lane", "cls", "tokens")  # columns apart from the queries' own
+        .select("group", "block", "lane", "cls", "part", "tokens")
+        .toDF("group", "block", "lane", "cls", "part", "tokens")  # columns apart from the queries' own
     )
     key = ("group", "block", "lane")
     return queries.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(
@@ -337,11 +342,24 @@ def _between_groups(
     )
 
 
-def _grouped(shared_classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(cls, root) for every class that shares a token; alone, it is its own root."""
-    roots = components(links, "groups").withColumnRenamed("node", "cls")
-    joined = shared_classes.join(roots, "cls", "left")
-    return written(joined.select("cls", F.coalesce("root", "cls").alias("root")), "grouped")
+def _grouped(shared_classes: DataFrame, links: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(cls, part, root) for every class that shares a token: the part that links connect (alone, it
+    is its own), and the group, which is that part or, for a class alone, its best leader's."""
+    parts = written(components(links, "groups"), "parts")
+    joined = shared_classes.join(parts.toDF("cls", "linked"), "cls", "left")
+    best = leaders.where("place = 0").select("cls", "leader")
+    near = best.join(parts.toDF("leader", "led"), "leader", "left").select(
+        "cls", F.coalesce("led", "leader").alias("led")
+    )
+    alone = joined.join(near, "cls", "left")
+    return written(
+        alone.select(
+            "cls",
+            F.coalesce("linked", "cls").alias("part"),
+            F.coalesce("linked", "led", "cls").alias("root"),
+        ),
+        "grouped",
+    )
 
 
 def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -391,7 +409,7 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     pairs = written(_leaders(shared, percent), "leaders")
     both = pairs.select("cls").unionAll(pairs.select(F.col("leader").alias("cls")))
     links = written(_verified(pairs, lists_of(both), percent), "star")
-    groups = _grouped(shared.select("cls").distinct(), links)
+    groups = _grouped(shared.select("cls").distinct(), links, pairs)
     asked = written(_asked(shared, groups, percent), "asked")
     opened = groups.join(
         asked.select(F.col("group").alias("root")), "root", "left_semi"

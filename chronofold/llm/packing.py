@@ -14,7 +14,7 @@ of n per length. Pieces are numbered within their length in salted groups, so a
 many pieces share is numbered in parallel.
 
 Null text counts as empty: one piece, the end id. Rows with a null id are left out; a repeated row
-is packed again. No rows: no rows.
+is packed again. Bytes that are not valid UTF-8 are read as U+FFFD. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -224,13 +224,17 @@ def tokens(
     docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int, with_ids: bool = False
 ) -> DataFrame:
     """Pieces of every text: their place, length and checksum, and the ids when asked for."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-        F.col("doc_id").isNotNull()
-    )
+    base = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text")
+    ).where(F.col("doc_id").isNotNull())
     schema = _PIECES + (", ids array<int>" if with_ids else "")
     return base.mapInArrow(_tokenised(tokenizer_json, capacity, end_id, with_ids), schema)
 
 
+#: Ranges a length, on average, up to which the plan is broadcast; a larger one is joined by shuffle.
+RANGES = 64
+
+
 def pack(found: DataFrame, capacity: int, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``found`` (with ``length`` from 1 to capacity) with ``sequence_id`` and ``offset``."""
     spark = found.sparkSession
@@ -256,10 +260,10 @@ def pack(found: DataFrame, capacity: int, key: tuple[str, ...] = ("doc_id", "pie
     )
     schema = "length long, _from long, _to long, _sequence long, offset long"
     ranges = spark.createDataFrame(where, schema)
-    if len(where) > capacity * 64:
-        raise RuntimeError("a plan has a few ranges for each length")
+    if len(where) <= capacity * RANGES:
+        ranges = F.broadcast(ranges)
     return (
-        numbered.join(F.broadcast(ranges), "length")  # bounded by the capacity, not by the rows
+        numbered.join(ranges, "length")
         .where(F.col("_n").between(F.col("_from"), F.col("_to")))
         .withColumn("sequence_id", F.col("_sequence") + F.col("_n") - F.col("_from"))
         .select(*found.columns, "sequence_id", "offset")

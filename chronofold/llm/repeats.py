@@ -18,7 +18,9 @@ text with a smaller id; windows are judged on the input, not on what is left.
 
 A shard with many passages or texts is split by both, so no task holds more than a bounded part
 of a passage shared by very many texts. Null text: no words. Shorter texts than a window keep all.
-Ids are unique; rows with a null id are left out. Equal texts keep the one with the smallest id.
+Rows with a null id are left out. Rows that share an id are judged one by one and remove nothing from
+each other; equal ones lose the same words. Of equal texts the one with the smallest id stays. Bytes
+that are not valid UTF-8 are read as U+FFFD. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from chronofold.llm.flat import (
     ranges,
     run_hashes,
     run_starts,
+    same_spans,
     signed,
     word_hashes,
     words,
@@ -214,6 +217,7 @@ class _Shard:
         keep = np.ones(len(window), dtype=bool)
         keep[1:] = window[1:] != window[:-1]
         self.window, self.first = window[keep], first[keep]
+        self.hashes, self.place = hashes, at[order][keep]
         begins = np.cumsum(counts) - counts
         blocks = counts // self.block
         start = np.repeat(begins, blocks) + self.block * ranges(np.zeros_like(blocks), blocks)
@@ -235,7 +239,8 @@ class _Shard:
                 np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1
             )
             numbers = np.where(self.vocabulary[place] == hashes, place + 1, 0)
-            ids, rows, starts = _ids(part), [], []
+            ids, rows, which, starts = _ids(part), [], [], []
+            marks = part.column("mark").to_numpy(zero_copy_only=False)
             for i in range(part.num_rows):
                 lo, hi = int(found.first[i]), int(found.first[i + 1])
                 if hi - lo < self.width:
@@ -254,15 +259,26 @@ class _Shard:
                 value = run_hashes(hashes[lo:hi], window, self.width)
                 spot = np.minimum(np.searchsorted(self.window, value), len(self.window) - 1)
                 hit = (self.window[spot] == value) & (self.first[spot] < ids[i])
+                hit[hit] = self._same(hashes, lo + window[hit], spot[hit])
                 if hit.any():
                     rows.append(ids[i])
+                    which.append(marks[i])
                     starts.append(window[hit])
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), pa.array(starts, pa.list_(pa.int64()))],
-                    ["doc_id", "starts"],
+                    [
+                        pa.array(rows, pa.int64()),
+                        pa.array(which, pa.int64()),
+                        pa.array(starts, pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "mark", "starts"],
                 )
 
+    def _same(self, hashes: np.ndarray, at: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        """Whether windows agree word by word with the confirmed ones of the same hash."""
+        width = np.full(len(at), self.width)
+        return same_spans(hashes, at, self.hashes, self.place[spot], width)
+
 
 def _locate(width: int):
     """Rows come by shard, its passages before its texts."""
@@ -296,6 +312,11 @@ def _locate(width: int):
 _KEY = ("shard", "by_passage", "by_text")
 
 
+def _mark() -> Column:
+    """Tells texts that share an id apart."""
+    return F.xxhash64("text").alias("mark")
+
+
 def _below(count: str) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
 
@@ -328,27 +349,27 @@ def _routed(texts: DataFrame, passages: DataFrame) -> DataFrame:
         own.join(loads, "shard")
         .withColumn("by_passage", salt)
         .withColumn("by_text", F.explode(_below("lanes")))
-        .select(*_KEY, F.lit(0).alias("kind"), "doc_id", "text")
+        .select(*_KEY, F.lit(0).alias("kind"), "doc_id", _mark(), "text")
     )
     targets = (
         went.join(loads, "shard")
         .withColumn("by_text", F.pmod(F.xxhash64("doc_id"), F.col("lanes")))
         .withColumn("by_passage", F.explode(_below("ways")))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct(*_KEY)).alias("to"))
+        .agg(F.collect_set(F.struct(*_KEY)).alias("to"))  # once, also for texts that share an id
     )
     theirs = (
         texts.select("doc_id", "text")
         .join(targets, "doc_id")
         .select("doc_id", "text", F.explode("to").alias("to"))
-        .select(*[F.col(f"to.{k}") for k in _KEY], F.lit(1).alias("kind"), "doc_id", "text")
+        .select(*[F.col(f"to.{k}") for k in _KEY], F.lit(1).alias("kind"), "doc_id", _mark(), "text")
     )
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         own.unionByName(theirs)
         .repartition(max(count, shards), *_KEY)
         .sortWithinPartitions(*_KEY, "kind")
-        .select(*_KEY, "kind", "doc_id", "text")
+        .select(*_KEY, "kind", "doc_id", "mark", "text")
     )
 
 
@@ -407,7 +428,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, rejoin: bool = True) -> Dat
     whole = docs.where(F.col("doc_id").isNotNull()).select(
         F.struct(F.lit(0).alias("_"), *rest).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        "text",
+        F.make_valid_utf8("text").alias("text"),
     )
     base = whole.select("doc_id", "text")
     anchors = written(
@@ -447,9 +468,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, rejoin: bool = True) -> Dat
         "passages",
     )
     located = _routed(texts, passages).mapInArrow(
-        _locate(width), "doc_id long, starts array<long>"
+        _locate(width), "doc_id long, mark long, starts array<long>"
     )
-    spans = located.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    spans = located.groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
     schema = T.StructType(
         [
             whole.schema["row"],
@@ -457,7 +478,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, rejoin: bool = True) -> Dat
             *[T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")],
         ]
     )
-    joined = whole.join(written(spans, "spans"), "doc_id", "left")
+    joined = whole.withColumn("mark", _mark()).join(
+        written(spans, "spans"), ["doc_id", "mark"], "left"
+    )
     return joined.mapInArrow(_removed(width, rejoin), schema)
 
 

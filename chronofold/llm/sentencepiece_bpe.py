@@ -8,7 +8,9 @@ pair is left. Where a merged piece could form an even better one (``unsafe``), o
 pair of the segment is merged, which is the library's order step by step.
 
 Characters outside the vocabulary become byte pieces. Decoding puts the pieces' bytes in a row,
-spaces for space marks, without the first of them. Null counts as empty; empty has no ids.
+spaces for space marks, without the first of them. Null counts as empty; empty has no ids. Each row
+is coded by itself and whole, however long; repeated rows and null ids too. Bytes that are not
+valid UTF-8 are read as U+FFFD. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -227,8 +229,11 @@ class Coder:
         cut = np.concatenate([[True], self.model.cuts(whole)]) | front
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(whole))
+        code_points = whole.astype(np.uint32)
         key = span_hashes(mix(whole.astype(np.uint64) + np.uint64(1)), begin, end, 0x9E3779B97F4A7C15)
-        at, length = self.cache.look_up(key, lambda rows: [whole[begin[r] : end[r]] for r in rows])
+        at, length = self.cache.look_up(
+            key, code_points, begin, end, lambda rows: [whole[begin[r] : end[r]] for r in rows]
+        )
         first = np.searchsorted(begin, np.append(start, len(whole)))
         own = np.zeros(len(offsets), dtype=np.int64)
         own[1:][filled] = np.diff(totals(length, first))
@@ -286,7 +291,7 @@ def _round_trip(model: bytes):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text"))
 
 
 def encoded(docs: DataFrame, model: bytes) -> DataFrame:

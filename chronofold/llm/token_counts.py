@@ -10,7 +10,9 @@ The rules of the tokenizer hold exactly: scores add up in double precision from
 sums the piece that begins first wins, a character that is no piece by itself may stand as unknown
 for the least score less 10, and neighbouring unknowns are one token.
 
-Null text counts as empty: no tokens. Each row is counted by itself.
+Null text counts as empty: no tokens. Each row is counted by itself, repeated rows and null ids too.
+A very long word is counted whole, one step a character. Bytes that are not valid UTF-8 are read as
+U+FFFD. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,8 +128,11 @@ class UnigramCounter:
         start = chars[:-1][text] + np.cumsum(bare) - bare
         begin = np.flatnonzero(whole == _MARK)
         end = np.append(begin[1:], len(whole))
+        code_points = whole.astype(np.uint32)
         key = span_hashes(mix(whole.astype(np.uint64) + np.uint64(1)), begin, end, _BASE)
-        place, _ = self.cache.look_up(key, lambda rows: [whole[begin[r] : end[r]] for r in rows])
+        place, _ = self.cache.look_up(
+            key, code_points, begin, end, lambda rows: [whole[begin[r] : end[r]] for r in rows]
+        )
         first = np.searchsorted(begin, np.append(start, len(whole)))
         out = np.zeros(len(filled), dtype=np.int64)
         out[filled] = np.diff(totals(self.cache.ids[place], first))
@@ -158,5 +163,5 @@ def _counted(vocabulary: Vocabulary):
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every row."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text"))
     return base.mapInArrow(_counted(vocabulary), "doc_id long, n_bytes long, n_tokens long")

@@ -89,7 +89,7 @@ class WordCoder:
         raw = lower.tobytes()
         keys = byte_hashes(lower, begin, end)
         start, length = self.cache.look_up(
-            keys, lambda rows: [raw[begin[r] : end[r]].decode() for r in rows]
+            keys, lower, begin, end, lambda rows: [raw[begin[r] : end[r]].decode() for r in rows]
         )
         return self.cache.gather(start, length), totals(length, first)
 
