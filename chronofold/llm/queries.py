@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import (
     jaccard,
+    lexical,
     licences,
     near_vectors,
     packing,
     pii,
+    prefix_trie,
     quality,
+    quality_trees,
     repeats,
     sentencepiece_bpe,
     token_counts,
@@ -96,6 +99,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
+
+
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_trees.fit(docs, labels, held_out=quality_trees.held_out)
+    return model.score(docs.select("doc_id", "text")).select(
+        "row.doc_id",
+        quality_trees.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 _RUNNERS: dict[str, Runner] = {
     "op1_pii": op1_pii,
     "op2_licences": op2_licences,
@@ -107,6 +129,9 @@ _RUNNERS: dict[str, Runner] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_search": op11_search,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality_trees": op13_quality_trees,
 }
 
 #: What DuckDB can run over the whole tables; the others are tested against brute force.
@@ -114,6 +139,8 @@ _TWINS: dict[str, str] = {
     "op3_repeats": twins.REPEATS,
     "op6_jaccard": twins.JACCARD,
     "op10_quality": twins.QUALITY,
+    "op11_search": twins.SEARCH,
+    "op12_prefix_trie": twins.PREFIX_TRIE,
 }
 
 

@@ -78,3 +78,51 @@ QUALITY = rf"""with w as (select doc_id, source, coalesce(text, '') as text,
            not (few_words or repeats) and not coalesce(host_rejected, false) as kept,
            coalesce(host_rejected, false) as host_rejected
     from c left join bad using (host)"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""with t as (select doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as term from documents),
+    tf as (select doc_id, term, count(*) as tf from t group by all),
+    n as (select doc_id, count(*) as n from t group by 1),
+    all_ as (select count(*) as docs, cast(sum(n) as bigint) as length from n),
+    df as (select term, count(*) as df from tf group by 1),
+    i as (select item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as term from benchmark),
+    q as (select item_id, term, count(*) as times from i group by all),
+    s as (select item_id, doc_id, cast(sum(times * cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+                 * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // length))))) as bigint) as score
+          from q join tf using (term) join df using (term) join n using (doc_id), all_ group by all),
+    r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank,
+                 doc_id, score from s where score > 0)
+    select * from r where rank <= 10"""
+
+_DIGEST = """sha256(cast(strlen(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, ''))"""
+#: CRC-32 of a number's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::ubigint],
+        list_transform(string_split(cast(c as varchar), ''), lambda d: ascii(d)::ubigint)),
+        lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(8), lambda i: i::ubigint)),
+            lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)))))"""
+
+PREFIX_TRIE = f"""with t as (select conv_id as c, {_DIGEST} as d, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as words,
+              row_number() over (partition by conv_id order by turn nulls first, {_DIGEST}) - 1 as pos
+         from conversations where conv_id is not null),
+    k as (select c, count(*) as own, c - c % 20 as base, cast({_CRC} % 4 as bigint) as h from t group by c),
+    m as (select k.*, least(k.h, coalesce(g.own, 0)) as head from k left join k g on g.c = k.base),
+    r as (select m.c, t.pos, t.d, t.words from m join t on t.c = m.base where t.pos < m.h
+          union all
+          select m.c, t.pos - m.h + m.head, t.d, t.words from m join t on t.c = m.c where t.pos >= m.h),
+    p as (select c, pos + 1 as depth, words, string_agg(d, '') over (partition by c order by pos) as path from r
+          union all select c, 0, 0, '' from k),
+    top as (select c, max(depth) as length from p group by 1),
+    node as (select path, depth, min(p.c) as conv_id, count(*) as n, min(words) as words,
+                    string_agg(cast(p.c as varchar), ',' order by p.c) filter (where length = depth) as ends
+             from p join top using (c) group by 1, 2),
+    kids as (select left(path, length(path) - 64) as path, count(*) as n_children from node where depth > 0 group by 1),
+    full_ as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (path)),
+    up as (select p.path, sum(case when f.n_children = 0 then 1 else 0 end) as n_leaves,
+                  sum((f.n - 1) * f.words) as saved
+           from full_ f join p on p.c = f.conv_id and p.depth <= f.depth group by 1)
+    select f.conv_id, f.depth, parent.conv_id as parent_conv_id, f.n as n_convs, f.n_children,
+           cast(up.n_leaves as bigint) as n_leaves, cast(up.saved as bigint) as saved_tokens,
+           sha256(coalesce(f.ends, '')) as ends_sha256
+    from full_ f join up using (path)
+    left join node parent on f.depth > 0 and parent.path = left(f.path, length(f.path) - 64)"""

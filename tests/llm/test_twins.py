@@ -13,7 +13,8 @@ def test_twin(spark, sf_dir, name):
     folder = os.environ.get("TWIN_DIR", sf_dir)
     frame = queries.queries()[name](spark, folder)
     base = duckdb.connect()
-    base.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        base.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
     twin = base.sql(queries.oracle_sql()[name])
     columns = sorted(frame.columns)
     assert columns == sorted(twin.columns)
