@@ -124,7 +124,7 @@ def stream_dedup(spark, sf_dir):
 def stream_late(spark, sf_dir):
     """Events enter as old records, documents then edit those they share a number with."""
     root = scratch_dir(spark, "stream-late")
-    write_records(spark.createDataFrame([], schema.RECORDS), root)
+    first = write_records(spark.createDataFrame([], schema.RECORDS), root)
     records = shape_events(_stream(spark, sf_dir, "events"))
     seconds = F.make_dt_interval(secs=F.col("elapsed_s").cast("decimal(18,6)"))
     none = F.lit(None)
@@ -160,5 +160,5 @@ def stream_late(spark, sf_dir):
         none.cast("long").alias("tag_id"),
         F.col("text").alias("log"),
     )
-    late.drain_corrections(spark, old.unionByName(edits), root, f"{root}/state")
-    return total_time(read_records(spark, root), keys=("user_id", "date"))
+    last = late.drain_corrections(spark, old.unionByName(edits), root, first, f"{root}/state")
+    return total_time(read_records(spark, root, last), keys=("user_id", "date"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions.durations import whole_div
@@ -17,7 +17,7 @@ from chronofold.plans.selection import (
     select_records,
     where,
 )
-from chronofold.sources.tables import WorkLog
+from chronofold.sources.tables import FIRST, WorkLog, read_worklog, records_of
 
 RECORD_COLUMNS = (
     "record_id",
@@ -86,6 +86,16 @@ def by_keys(log: WorkLog, wanted: DataFrame) -> DataFrame:
     return record_columns(join_tags(join_tasks(found, log.tasks), log.tags))
 
 
+def find_by_keys(
+    spark: SparkSession, root: str, wanted: DataFrame, version: str = FIRST
+) -> DataFrame:
+    """``by_keys`` on a stored table: only the buckets of the keys and the months that hold them
+    are opened, and within these only row groups whose filters may hold one of a few keys."""
+    log = read_worklog(spark, root, version)
+    found = records_of(spark, root, version, wanted.select("record_id"))
+    return record_columns(join_tags(join_tasks(found, log.tasks), log.tags))
+
+
 def as_json(records: DataFrame) -> DataFrame:
     """One JSON text per record."""
     fields: list[Column] = [F.col(name) for name in records.columns]

@@ -2,23 +2,46 @@
 
 Records are partitioned by calendar month, so every date range becomes a partition range,
 and each file is sorted by user and date, so row groups can be skipped on either.
+
+A table has versions. A merge is a join, written to folders of its own under a new version's name:
+the months that it changes (``records/version=7/month=2025-01``), the buckets of the narrow table
+that says which month a record lies in (``places``), the months of the daily totals. Last comes the
+version's listing, one row for each month or bucket with the version whose folder holds it. Nothing
+is overwritten that a reader may be reading, and a version without its listing does not exist, so
+a job that dies leaves nothing to repair: it is run again under the same name. Whoever
+runs the merge hands the new name to the readers; one job writes at a time.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofold.functions.calendar import MONTH_FORMAT
 from chronofold.sources import schema
-from chronofold.sources.session import drop_scratch, scratch_dir
 
-_STORED_RECORDS = T.StructType([*schema.RECORDS.fields, T.StructField("month", T.StringType())])
+FIRST = "0"
+#: Buckets of ``places``. A lookup opens those of its ids, a merge rewrites those of its records.
+BUCKETS = 256
+#: Ids up to which a lookup names them in the scan, so that row groups are skipped as well.
+NAMED = 1000
+
+_MONTH = T.StructField("month", T.StringType())
+_VERSION = T.StructField("version", T.StringType())
+_STORED_RECORDS = T.StructType([*schema.RECORDS.fields, _MONTH])
+_PLACES = T.StructType(
+    [
+        T.StructField("record_id", T.StringType()),
+        T.StructField("at", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
+_RECORD_ORDER = ("user_id", "date", "record_id")
+_LISTING = "name string, value string, at string"
 
 
 @dataclass(frozen=True)
@@ -30,129 +53,225 @@ class WorkLog:
     tags: DataFrame
 
 
-def read_records(spark: SparkSession, root: str) -> DataFrame:
-    """The records; months that an upsert is just replacing are read from where it staged them."""
-    stored, pending = _stored(spark, root), _pending(spark, root)
-    if pending is None:
-        return stored
-    staged = spark.read.schema(_STORED_RECORDS).parquet(f"{pending['stage']}/months")
-    return stored.filter(~F.col("month").isin(pending["months"])).unionByName(staged)
-
-
-def _stored(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_STORED_RECORDS).parquet(f"{root}/records")
-
-
-def read_worklog(spark: SparkSession, root: str) -> WorkLog:
+def listing(spark: SparkSession, root: str, version: str) -> dict[str, dict[str, str]]:
+    """For each part of a version (records, places, daily) its months or buckets and the version
+    whose folder holds each: as many entries as there are months and buckets."""
+    rows = spark.read.schema(_LISTING).parquet(f"{root}/versions/version={version}").collect()
+    parts: dict[str, dict[str, str]] = {}
+    for row in rows:
+        parts.setdefault(row["name"], {})[row["value"]] = row["at"]
+    return parts
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """The names of all versions that can be read."""
+    read = spark.read.schema(f"{_LISTING}, version string").parquet(f"{root}/versions")
+    return read.select("version").distinct()
+
+
+def read_part(
+    spark: SparkSession,
+    root: str,
+    version: str,
+    name: str,
+    columns: T.StructType,
+    by: str,
+    only: Iterable[str] | None = None,
+) -> DataFrame:
+    """A part of a version as one scan of the folders that hold it, or of some of them."""
+    where = listing(spark, root, version).get(name, {})
+    wanted = sorted(where if only is None else set(only) & set(where))
+    if not wanted:
+        return spark.createDataFrame([], columns)
+    folder = f"{root}/{name}"
+    paths = [f"{folder}/version={where[value]}/{by}={value}" for value in wanted]
+    full = T.StructType([*columns.fields, _VERSION])
+    read = spark.read.schema(full).option("basePath", folder).parquet(*paths)
+    return read.select(*columns.names)
+
+
+def read_records(
+    spark: SparkSession, root: str, version: str = FIRST, months: Iterable[str] | None = None
+) -> DataFrame:
+    return read_part(spark, root, version, "records", _STORED_RECORDS, "month", months)
+
+
+def read_worklog(spark: SparkSession, root: str, version: str = FIRST) -> WorkLog:
     return WorkLog(
-        records=read_records(spark, root),
+        records=read_records(spark, root, version),
         tasks=spark.read.schema(schema.TASKS).parquet(f"{root}/tasks"),
         tags=spark.read.schema(schema.TAGS).parquet(f"{root}/tags"),
     )
 
 
-def write_months(
-    frame: DataFrame, path: str, order: tuple[str, ...], months: list[str] | None = None
+def write_part(
+    frame: DataFrame, root: str, version: str, name: str, by: str, order: tuple[str, ...]
 ) -> None:
-    """Write a frame with a ``month`` column as one folder per month.
+    """Write a part's changed months or buckets, one folder each, under the version's name.
 
     Rebalancing lets Spark cut a busy month into several even files and join the small ones,
-    by their measured size. With ``months`` only those are replaced; the ones among them that
-    got no row are emptied.
+    by their measured size. Record ids get Bloom filters, since files are not sorted by them.
     """
-    sorted_rows = frame.hint("rebalance", "month").sortWithinPartitions("month", *order)
-    writer = sorted_rows.write.mode("overwrite").partitionBy("month")
-    if months is None:
-        writer.parquet(path)
-        return
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    filled = {row.month for row in frame.select("month").distinct().collect()}
-    for month in set(months) - filled:
-        # Overwriting by partition leaves alone a month without rows.
-        nothing = frame.drop("month").limit(0)
-        nothing.write.mode("overwrite").parquet(f"{path}/month={month}")
+    sorted_rows = frame.hint("rebalance", by).sortWithinPartitions(by, *order)
+    writer = sorted_rows.write.mode("overwrite").partitionBy(by)
+    if "record_id" in frame.columns:
+        writer = writer.option("parquet.bloom.filter.enabled#record_id", "true").option(
+            "parquet.bloom.filter.adaptive.enabled", "true"
+        )
+    writer.parquet(f"{root}/{name}/version={version}")
+
+
+def publish(
+    spark: SparkSession,
+    root: str,
+    version: str,
+    before: dict[str, dict[str, str]],
+    changed: dict[str, Iterable[str]],
+    filled: dict[str, Iterable[str]],
+) -> None:
+    """Write the listing of a version: that of the one before, but for the months and buckets that
+    have changed. Those that are not filled any more have no folder and leave it."""
+    parts = {name: dict(values) for name, values in before.items()}
+    for name, values in changed.items():
+        kept = {v: at for v, at in parts.get(name, {}).items() if v not in set(values)}
+        parts[name] = kept | dict.fromkeys(filled.get(name, ()), version)
+    rows = [(name, value, at) for name, values in parts.items() for value, at in values.items()]
+    frame = spark.createDataFrame(rows, _LISTING).coalesce(1)
+    frame.write.mode("overwrite").parquet(f"{root}/versions/version={version}")
 
 
-_RECORD_ORDER = ("user_id", "date", "record_id")
+def values_of(frame: DataFrame, column: str) -> list[str]:
+    """The months or buckets of a frame: a list as long as the calendar, or the buckets, at most."""
+    return sorted(str(row[0]) for row in frame.select(column).distinct().collect())
+
 
+def _bucket(record_id: Column) -> Column:
+    return F.pmod(F.xxhash64(record_id), F.lit(BUCKETS)).cast("int")
 
-def write_records(records: DataFrame, root: str) -> None:
+
+def write_records(records: DataFrame, root: str, version: str = FIRST) -> str:
+    """Write all records as a version without a predecessor, and return its name."""
+    spark = records.sparkSession
     with_month = records.withColumn("month", F.date_format("date", MONTH_FORMAT))
-    write_months(with_month, f"{root}/records", _RECORD_ORDER)
-    _write_places(read_records(records.sparkSession, root), root, "overwrite")
+    write_part(with_month, root, version, "records", "month", _RECORD_ORDER)
+    path = f"{root}/records/version={version}"
+    stored = spark.read.schema(_STORED_RECORDS).parquet(path)
+    places = stored.select("record_id", F.col("month").alias("at"), _bucket(F.col("record_id")).alias("bucket"))
+    write_part(places, root, version, "places", "bucket", ("record_id",))
+    buckets = spark.read.schema(_PLACES).parquet(f"{root}/places/version={version}")
+    filled = {"records": values_of(stored, "month"), "places": values_of(buckets, "bucket")}
+    publish(spark, root, version, {}, filled, filled)
+    return version
+
+
+def _named(ids: DataFrame) -> list[str] | None:
+    """The ids themselves when they are few."""
+    rows = ids.select("record_id").distinct().limit(NAMED + 1).collect()
+    return [row[0] for row in rows] if len(rows) <= NAMED else None
 
 
-def _write_places(records: DataFrame, root: str, mode: str) -> None:
-    """The months a record has been stored in: a narrow table that upserts look ids up in. It may
-    name months that a record has left, which costs a look, never a row."""
-    records.select("record_id", "month").write.mode(mode).parquet(f"{root}/places")
+def _with_ids(frame: DataFrame, ids: DataFrame, named: list[str] | None) -> DataFrame:
+    if named is not None:
+        frame = frame.where(F.col("record_id").isin(named))
+    return frame.join(ids.select("record_id").distinct(), "record_id", "left_semi")
 
 
-def _months_of(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
-    """Months that may hold these ids, from the narrow table alone."""
-    if not exists(spark, f"{root}/places"):
-        _write_places(_stored(spark, root), root, "overwrite")
-    places = spark.read.schema("record_id string, month string").parquet(f"{root}/places")
-    return places.join(ids, "record_id", "left_semi").select("month")
+def places_of(
+    spark: SparkSession, root: str, version: str, ids: DataFrame, named: list[str] | None = None
+) -> DataFrame:
+    """``record_id, at, bucket`` of the stored ones among these ids; reads their buckets alone."""
+    buckets = values_of(ids.select(_bucket(F.col("record_id")).alias("bucket")), "bucket")
+    places = read_part(spark, root, version, "places", _PLACES, "bucket", buckets)
+    return _with_ids(places, ids, named)
 
 
-def edited_records(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
-    """Stored records with these ids, read from the months that may hold them."""
-    months = [row.month for row in _months_of(spark, root, ids).distinct().collect()]
-    stored = read_records(spark, root).filter(F.col("month").isin(months))
-    return stored.join(ids.distinct(), "record_id", "left_semi")
+def records_of(spark: SparkSession, root: str, version: str, ids: DataFrame) -> DataFrame:
+    """Stored records with these ids, read from the months that hold them and no others."""
+    named = _named(ids)
+    months = values_of(places_of(spark, root, version, ids, named), "at")
+    return _with_ids(read_records(spark, root, version, months), ids, named)
 
 
 def upsert_records(
-    spark: SparkSession, root: str, changed: DataFrame, batch: str | None = None
+    spark: SparkSession,
+    root: str,
+    changed: DataFrame,
+    before: str,
+    version: str,
+    run: str | None = None,
 ) -> list[str]:
-    """Write full rows over the stored ones with the same ``record_id``, or add them.
-
-    Rows without a key or a date go to ``rejected_records`` under the name of the batch. Of several
-    rows with one key the greatest counts. Only months that hold or get one of the records are
-    read and rewritten; they are found in a narrow table of keys. Their new content is staged, and
-    the table notes where before the first old file goes. A job that dies at any point leaves a
-    table that reads whole, and ``recover`` or the next upsert completes it. Returns the months, a
-    list as long as the calendar at most.
+    """Write full rows over the stored ones with the same ``record_id``, or add them: the content
+    of ``version``, which follows on ``before`` and is not listed yet (see ``publish``).
+
+    Rows without a key or a date go to ``rejected_records`` under the run's name (the version's,
+    unless given). Of several rows with one key the greatest counts. Only months that hold or get
+    one of the records are read and written. Returns these months.
     """
-    recover(spark, root)
-    stage = scratch_dir(spark, "upsert")
     names = [field.name for field in schema.RECORDS.fields]
     incoming = changed.select(*names).withColumn("month", F.date_format("date", MONTH_FORMAT))
-    incoming.write.parquet(f"{stage}/incoming")
-    incoming = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/incoming")
+    staged = f"{root}/changes/version={version}"
+    incoming.write.mode("overwrite").parquet(f"{staged}/incoming")
+    incoming = spark.read.schema(_STORED_RECORDS).parquet(f"{staged}/incoming")
     complete = F.col("record_id").isNotNull() & F.col("date").isNotNull()
     rejected = incoming.filter(~complete).select(
         *names,
         F.when(F.col("record_id").isNull(), F.lit("no key")).otherwise(F.lit("no date")).alias("problem"),
     )
     if not rejected.isEmpty():
-        rejected.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch or uuid.uuid4().hex}")
+        folder = f"{root}/rejected/run={run or version}/version={version}"
+        rejected.write.mode("overwrite").parquet(folder)
     rest = [n for n in (*names, "month") if n != "record_id"]
     unique = incoming.filter(complete).groupBy("record_id").agg(F.max(F.struct(*rest)).alias("_row"))
-    unique.select("record_id", *[f"_row.{n}" for n in rest]).write.parquet(f"{stage}/changed")
-    changed = spark.read.schema(_STORED_RECORDS).parquet(f"{stage}/changed")
-    ids = changed.select("record_id")
-    touched = _months_of(spark, root, ids).unionByName(changed.select("month")).distinct()
-    months = sorted(row.month for row in touched.collect())
-    if months:
-        stored = read_records(spark, root).filter(F.col("month").isin(months))
-        kept = stored.join(ids, "record_id", "left_anti")
-        kept.unionByName(changed).write.parquet(f"{stage}/months")
-        _write_places(changed, root, "append")
-        _note(spark, root, {"stage": stage, "months": months})
-        recover(spark, root)
-    drop_scratch(spark, stage)
+    unique = unique.select("record_id", *[f"_row.{n}" for n in rest])
+    unique.write.mode("overwrite").parquet(f"{staged}/rows")
+    rows = spark.read.schema(_STORED_RECORDS).parquet(f"{staged}/rows")
+    ids = rows.select("record_id")
+    known = places_of(spark, root, before, ids)
+    months = sorted({*values_of(known, "at"), *values_of(rows, "month")})
+    if not months:
+        return []
+    kept = read_records(spark, root, before, months).join(ids, "record_id", "left_anti")
+    write_part(kept.unionByName(rows), root, version, "records", "month", _RECORD_ORDER)
+    now = rows.select("record_id", F.col("month").alias("at"), _bucket(F.col("record_id")).alias("bucket"))
+    old = read_part(spark, root, before, "places", _PLACES, "bucket", values_of(now, "bucket"))
+    places = old.join(ids, "record_id", "left_anti").unionByName(now)  # a row for each record
+    write_part(places, root, version, "places", "bucket", ("record_id",))
+    return months
+
+
+def written_records(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """The months that a merge has written, whole, whether it is listed yet or not."""
+    return spark.read.schema(_STORED_RECORDS).parquet(f"{root}/records/version={version}")
+
+
+def filled_parts(spark: SparkSession, root: str, version: str) -> dict[str, list[str]]:
+    """The months and buckets that a merge has written."""
+    places = spark.read.schema(_PLACES).parquet(f"{root}/places/version={version}")
+    return {
+        "records": values_of(written_records(spark, root, version), "month"),
+        "places": values_of(places, "bucket"),
+    }
+
+
+def merge_records(
+    spark: SparkSession, root: str, changed: DataFrame, before: str, version: str
+) -> list[str]:
+    """``upsert_records`` as a version of its own; returns the months that changed."""
+    months = upsert_records(spark, root, changed, before, version)
+    filled = filled_parts(spark, root, version) if months else {}
+    changed_parts = {"records": months, "places": filled.get("places", ())}
+    publish(spark, root, version, listing(spark, root, before), changed_parts, filled)
     return months
 
 
 def rejected_records(spark: SparkSession, root: str) -> DataFrame:
-    """Rows that upserts could not store, with their ``problem`` and ``batch``."""
+    """Rows that merges could not store, with their ``problem``, ``run`` and ``version``."""
     kept = T.StructType(
         [
             *schema.RECORDS.fields,
             T.StructField("problem", T.StringType()),
-            T.StructField("batch", T.StringType()),
+            T.StructField("run", T.StringType()),
+            _VERSION,
         ]
     )
     if not exists(spark, f"{root}/rejected"):
@@ -160,55 +279,9 @@ def rejected_records(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(kept).parquet(f"{root}/rejected")
 
 
-def recover(spark: SparkSession, root: str) -> None:
-    """Complete an upsert that was cut off while it replaced months; can be repeated."""
-    pending = _pending(spark, root)
-    if pending is None:
-        return
-    staged = spark.read.schema(_STORED_RECORDS).parquet(f"{pending['stage']}/months")
-    write_months(staged, f"{root}/records", _RECORD_ORDER, pending["months"])
-    _path(spark, root, _NOTE).delete()
-
-
-_NOTE = "pending-upsert.json"
-
-
-@dataclass(frozen=True)
-class _File:
-    """One small file of a table, by the file system that Spark reads it with."""
-
-    system: object
-    path: object
-
-    def delete(self) -> None:
-        self.system.delete(self.path, False)
-
-
-def _path(spark: SparkSession, root: str, name: str) -> _File:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    return _File(path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    file = _path(spark, path, ".")
-    return file.system.exists(file.path.getParent())
-
-
-def _note(spark: SparkSession, root: str, content: dict) -> None:
-    """Written under another name first, so it is there whole or not at all."""
-    part, whole = _path(spark, root, f"{_NOTE}.part"), _path(spark, root, _NOTE)
-    out = part.system.create(part.path, True)
-    out.write(bytearray(json.dumps(content).encode()))
-    out.close()
-    part.system.rename(part.path, whole.path)
-
-
-def _pending(spark: SparkSession, root: str) -> dict | None:
-    file = _path(spark, root, _NOTE)
-    if not file.system.exists(file.path):
-        return None
-    rows = spark.read.text(f"{root}/{_NOTE}", wholetext=True).collect()
-    return json.loads(rows[0].value)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def write_dimension(frame: DataFrame, root: str, name: str) -> None:

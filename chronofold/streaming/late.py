@@ -1,88 +1,102 @@
 """Corrections: old records entered late and edits of stored ones.
 
 They may reach back further than any watermark, so they bypass the windowed aggregations:
-every micro-batch is merged into the record table, and totals are read from there.
+every micro-batch is merged into the record table as a version of its own, and totals are read
+from there.
 """
 
 from __future__ import annotations
 
-import uuid
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronofold.operators.ingest import apply_edits, change_outcome, last_per_key
+from chronofold.operators.ingest import apply_edits, last_per_key
 from chronofold.plans import daily
-from chronofold.sources import schema
-from chronofold.sources.session import drop_scratch
-from chronofold.sources.tables import edited_records, upsert_records
+from chronofold.sources import schema, tables
 
 _FIELDS = [field.name for field in schema.RECORDS.fields]
-
-
-def merge_batch(spark: SparkSession, root: str, batch: DataFrame, number: int | None = None) -> None:
-    """Merge one batch of rows with ``operation`` (``old`` or ``edit``) and ``seq``.
-
-    Edits of records that are not stored yet wait in ``pending_edits`` and are tried again with
-    every batch. Stored daily totals of the months that changed are refreshed. Merging the same
-    batch again leaves the table as it is, so a retried micro-batch is safe.
+_PENDING = T.StructType(
+    [
+        *[T.StructField(f.name, f.dataType) for f in schema.RECORDS.fields],
+        T.StructField("seq", T.LongType()),
+    ]
+)
+
+
+def merge_batch(
+    spark: SparkSession,
+    root: str,
+    batch: DataFrame,
+    before: str,
+    version: str,
+    run: str | None = None,
+) -> str:
+    """The version that follows on ``before`` by one batch of rows with ``operation`` (``old`` or
+    ``edit``) and ``seq``; returns its name.
+
+    Old records come first, then edits of what is stored. Edits of records that are not stored
+    yet wait in ``pending_edits`` and are tried again with every batch. Daily totals, where they
+    are kept, are made anew for the months that changed. Running it again writes the same version.
     """
-    name = uuid.uuid4().hex if number is None else str(number)
     batch = batch.persist()
     try:
-        old = last_per_key(batch.filter("operation = 'old'"), "record_id", "seq")
-        months = upsert_records(spark, root, old.select(*_FIELDS), f"{name}-old")
-        columns = [c for c in batch.columns if c != "operation"]
-        edits = batch.filter("operation = 'edit'").select(*columns)
-        waiting = pending_edits(spark, root)
-        if waiting is not None:
-            edits = edits.unionByName(waiting.select(*columns))
+        old = last_per_key(batch.filter("operation = 'old'"), "record_id", "seq").select(*_FIELDS)
+        edits = batch.filter("operation = 'edit'").select(*_FIELDS, F.col("seq").cast("long"))
+        edits = edits.unionByName(pending_edits(spark, root, before))
         edits = last_per_key(edits, "record_id", "seq").persist()
-        stored = edited_records(spark, root, edits.select("record_id"))
-        affected = stored.select(*_FIELDS)
-        months += upsert_records(spark, root, apply_edits(affected, edits), f"{name}-edit")
-        known = change_outcome(
-            edited_records(spark, root, edits.select("record_id")), edits
-        ).filter("outcome = 'unknown'")
-        _keep_pending(spark, root, edits.join(known, "record_id", "left_semi").select(*columns))
+        stored = tables.records_of(spark, root, before, edits.select("record_id")).select(*_FIELDS)
+        stored = stored.join(old, "record_id", "left_anti")
+        base = old.unionByName(stored)
+        months = tables.upsert_records(spark, root, apply_edits(base, edits), before, version, run)
+        waiting = edits.join(base.select("record_id"), "record_id", "left_anti")
+        waiting = waiting.filter(F.col("record_id").isNotNull()).select(*_PENDING.names)
+        waiting.write.mode("overwrite").parquet(f"{root}/pending/version={version}")
         edits.unpersist()
-        if months and daily.stored(spark, root):
-            daily.refresh(spark, root, sorted(set(months)))
     finally:
         batch.unpersist()
+    parts = tables.listing(spark, root, before)
+    filled = tables.filled_parts(spark, root, version) if months else {}
+    changed = {"records": months, "places": filled.get("places", ())}
+    if months and "daily" in parts:
+        changed["daily"] = months
+        whole = tables.written_records(spark, root, version)
+        filled["daily"] = daily.write(whole, root, version)
+    changed["pending"] = filled["pending"] = [_WHOLE]
+    tables.publish(spark, root, version, parts, changed, filled)
+    return version
 
 
-def pending_edits(spark: SparkSession, root: str) -> DataFrame | None:
-    """Edits whose record has not come yet; None when there never were any."""
-    versions = _versions(spark, root)
-    return spark.read.parquet(f"{root}/pending/{versions[-1]}") if versions else None
+_WHOLE = "all"
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pending")
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return []
-    names = [entry.getPath().getName() for entry in system.listStatus(folder)]
-    done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(n for n in names if system.exists(done(f"{root}/pending/{n}/_SUCCESS")))
+def pending_edits(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """Edits whose record has not come yet."""
+    at = tables.listing(spark, root, version).get("pending", {}).get(_WHOLE)
+    if at is None:
+        return spark.createDataFrame([], _PENDING)
+    return spark.read.schema(_PENDING).parquet(f"{root}/pending/version={at}")
 
 
-def _keep_pending(spark: SparkSession, root: str, edits: DataFrame) -> None:
-    """Write the next version; the one before stays readable until this one is complete."""
-    versions = _versions(spark, root)
-    if not versions and edits.isEmpty():
-        return
-    number = int(versions[-1]) + 1 if versions else 0
-    edits.write.mode("overwrite").parquet(f"{root}/pending/{number:012d}")
-    for old in versions:
-        drop_scratch(spark, f"{root}/pending/{old}")
+def drain_corrections(
+    spark: SparkSession, stream: DataFrame, root: str, before: str, state: str
+) -> str:
+    """Run a stream of corrections over everything available; returns the last version.
 
-
-def drain_corrections(spark: SparkSession, stream: DataFrame, root: str, state: str) -> None:
-    """Run a stream of corrections over everything available."""
+    Versions are named by the stream's own id, which its checkpoint keeps, and the number of the
+    micro-batch: a retried one writes the same version again, and another stream, or one whose
+    checkpoint is new, writes others. Its first micro-batch follows on ``before``.
+    """
+    known = threading.Event()
+    started = {}
 
     def merge(batch: DataFrame, number: int) -> None:
-        merge_batch(spark, root, batch, number)
+        known.wait()
+        run = started["run"]
+        last = _last_version(spark, root, run, number)
+        merge_batch(spark, root, batch, last or before, _name(run, number), run)
 
     run = (
         stream.writeStream.foreachBatch(merge)
@@ -90,4 +104,19 @@ def drain_corrections(spark: SparkSession, stream: DataFrame, root: str, state:
         .trigger(availableNow=True)
         .start()
     )
+    started["run"] = str(run.id)
+    known.set()
     run.awaitTermination()
+    return _last_version(spark, root, started["run"], None) or before
+
+
+def _name(run: str, number: int) -> str:
+    return f"{run}-{number:09d}"
+
+
+def _last_version(spark: SparkSession, root: str, run: str, number: int | None) -> str | None:
+    """The newest version of a stream, before that of a micro-batch when its number is given."""
+    own = tables.versions(spark, root).filter(F.col("version").startswith(f"{run}-"))
+    if number is not None:
+        own = own.filter(F.col("version") < _name(run, number))
+    return own.agg(F.max("version")).first()[0]

@@ -116,7 +116,7 @@ def test_records_past_their_plan_are_closed(spark, stream_of):
 
 def test_corrections_reach_stored_months_and_may_be_repeated(spark, tmp_path):
     root = str(tmp_path / "table")
-    tables.write_records(spark.createDataFrame([], schema.RECORDS), root)
+    version = tables.write_records(spark.createDataFrame([], schema.RECORDS), root)
     columns = "operation string, seq int, " + ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in schema.RECORDS.fields
     )
@@ -133,12 +133,41 @@ def test_corrections_reach_stored_months_and_may_be_repeated(spark, tmp_path):
         [entry("edit", 3, "a", (3, 5), (10, 0), None), entry("old", 4, "c", (1, 6), (9, 1), None), entry("edit", 5, "zz", (1, 1), (9, 1), "nobody")],
         columns,
     )
-    for batch in (first, second, second):
-        late.merge_batch(spark, root, batch)
-    rows = {r.record_id: (r.month, r.elapsed_s, r.log) for r in tables.read_records(spark, root).collect()}
+    for number, batch in enumerate((first, second, second)):
+        version = late.merge_batch(spark, root, batch, version, f"m{number}")
+    rows = {r.record_id: (r.month, r.elapsed_s, r.log) for r in tables.read_records(spark, root, version).collect()}
     assert rows == {"a": ("2025-03", 3600, "x"), "b": ("2025-02", 60, "y"), "c": ("2025-01", 60, None)}
 
 
+def test_a_second_stream_keeps_what_the_first_one_rejected(spark, stream_of, tmp_path):
+    """Both streams number their micro-batches from 0; a restarted stream goes on from its own."""
+    root = str(tmp_path / "table")
+    version = tables.write_records(spark.createDataFrame([], schema.RECORDS), root)
+    columns = "operation string, seq int, " + ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in schema.RECORDS.fields
+    )
+
+    def entry(operation, key, day, log=None):
+        date = day and dt.date(2025, *day)
+        begin = dt.datetime.combine(date or dt.date(2025, 1, 1), dt.time(9))
+        return (operation, 1, key, 1, 1, date, begin, begin + dt.timedelta(minutes=1), 60, None, log)
+
+    one = stream_of(columns, [entry("old", "a", None), entry("old", "b", (1, 5))], [entry("edit", "late", (1, 7), "e")])
+    two = stream_of(columns, [entry("old", "c", None)], [entry("old", "late", (1, 6), "l"), entry("edit", "never", (1, 1))])
+    version = late.drain_corrections(spark, one, root, version, str(tmp_path / "one"))
+    again = late.drain_corrections(spark, one, root, "0", str(tmp_path / "one"))
+    assert again == version  # nothing new has come
+    middle = [r.record_id for r in late.pending_edits(spark, root, version).collect()]
+    version = late.drain_corrections(spark, two, root, version, str(tmp_path / "two"))
+    rejected = tables.rejected_records(spark, root).collect()
+    assert sorted((r.record_id, r.problem) for r in rejected) == [("a", "no date"), ("c", "no date")]
+    assert len({r.run for r in rejected}) == 2
+    assert middle == ["late"]
+    assert [r.record_id for r in late.pending_edits(spark, root, version).collect()] == ["never"]
+    rows = {r.record_id: (str(r.date), r.log) for r in tables.read_records(spark, root, version).collect()}
+    assert rows == {"b": ("2025-01-05", None), "late": ("2025-01-07", "e")}
+
+
 def test_rows_behind_the_watermark_are_found_again(spark, stream_of):
     batches = [
         [("a", 1, "A", moment("20 09:00:00"), 60)],
