@@ -7,11 +7,14 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.selection import order_log
+from catalog.selection import order_log, star_schema
 from catalog.sqltext import iso
-from catalog.views import RL, RO, document_records, table
+from catalog.views import RE, RL, RO, document_records, event_records, table
 from chronofold.functions.text import join_log_pieces, split_task_text, title_case
 from chronofold.operators import search
+from chronofold.sources import schema
+from chronofold.sources.session import scratch_dir
+from chronofold.sources.tables import write_dimension, write_records
 
 _ASCII_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FOUND = f"""{RL}, f as (select record_id, user_id, task_name, subtask, date, tag, elapsed_s, log from rl
@@ -65,6 +68,18 @@ def search_page_after(spark, sf_dir):
     return search.page_after(found, dt.date(2024, 7, 1), 182, 15).select("record_id", "date")
 
 
+@query(
+    "search_page_last",
+    f"""with {_FOUND}, n as (select count(*) as n from f)
+        select record_id, {iso('f.date')} as date from f
+        order by f.date desc, record_id limit 20 offset (select greatest(cast(ceil(n / 20.0) as bigint) - 1, 0) * 20 from n)""",
+)
+def search_page_last(spark, sf_dir):
+    """The last page by its number: rows are ranked once, then a page opens only its range."""
+    pages = search.ranked(search.search(document_records(spark, sf_dir), _REQUEST))
+    return pages.page(max(pages.pages(20), 1), 20).select("record_id", "date")
+
+
 @query("page_count", f"with {_FOUND} select cast(ceil(count(*) / 20.0) as bigint) as pages from f")
 def page_count(spark, sf_dir):
     found = search.search(document_records(spark, sf_dir), _REQUEST)
@@ -84,6 +99,26 @@ def records_by_guid(spark, sf_dir):
     )
 
 
+@query(
+    "records_stored",
+    f"""with {RE} select cast(record_id as varchar) as record_id, user_id, task_name, subtask, {iso('date')} as date,
+            strftime(begin_ts, '%Y-%m-%d %H:%M:%S') as begin_ts, tag, elapsed_s
+        from re where record_id in (select conv_id from conversations)""",
+)
+def records_stored(spark, sf_dir):
+    """Events in a stored table, those that conversations name looked up by their key."""
+    log = star_schema(event_records(spark, sf_dir))
+    root = scratch_dir(spark, "stored")
+    nothing = {"end_ts": "timestamp_ntz", "log": "string"}
+    records = log.records.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+    records = records.withColumn("record_id", F.col("record_id").cast("string"))
+    write_records(records.select(*[f.name for f in schema.RECORDS.fields]), root)
+    write_dimension(log.tasks, root, "tasks")
+    write_dimension(log.tags, root, "tags")
+    wanted = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("record_id"))
+    return search.find_by_keys(spark, root, wanted).drop("end_ts", "log")
+
+
 @query(
     "records_json",
     f"""with {RL} select record_id, cast(to_json(struct_pack(record_id := record_id,

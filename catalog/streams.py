@@ -16,8 +16,8 @@ from chronofold.functions.keys import stable_id
 from chronofold.operators.totals import total_time
 from chronofold.sources import schema
 from chronofold.sources.session import scratch_dir
-from chronofold.sources.tables import read_records, write_records
-from chronofold.streaming import late, pairing, running
+from chronofold.sources.tables import read_records, rejected_records, write_records
+from chronofold.streaming import late, matching, pairing, running
 from chronofold.streaming.clock import event_time
 
 
@@ -77,6 +77,47 @@ def stream_open(spark, sf_dir):
     return rows.select("guid", "user_id", _epoch("begin_time"), _epoch("end_time"), "state")
 
 
+# Two plan lengths: tagged records plan for 8 hours, others for 25 hours.
+_PLAN = "case when tag is null then 90000 else 28800 end"
+
+
+@query(
+    "stream_planned",
+    f"""with {RE}, p as (select cast(record_id as varchar) as guid, user_id, begin_ts, tag, elapsed_s, {_PLAN} as plan,
+            case when tag is null then elapsed_s + 90000 - 3600 else elapsed_s end as taken from re),
+        w as (select least(max(begin_ts), max(begin_ts + to_seconds(taken))) - interval 1 hour as mark from p),
+        x as (select p.*, mark, taken is not null and taken <= plan as done from p, w)
+        select guid, user_id, cast(epoch(begin_ts) as bigint) as begin_time,
+               cast(epoch(begin_ts) as bigint) + case when done then taken else plan end as end_time,
+               case when not done then plan when taken = 0 then 86400 else taken end as elapsed_s,
+               case when done then 'finished' else 'expired' end as state
+        from x where done or begin_ts + to_seconds(plan) < mark
+        union all
+        select guid, null, null, cast(epoch(begin_ts) as bigint) + taken, null, 'no beginning'
+        from x where taken > plan and begin_ts + to_seconds(taken) < mark""",
+)
+def stream_planned(spark, sf_dir):
+    """Untagged records take a day longer than they say, some of them longer than 25 hours."""
+    tagged = F.col("tag").isNotNull()
+    begins = _records(spark, sf_dir).select(
+        F.col("record_id").alias("guid"),
+        "user_id",
+        F.col("event_time").alias("begin_time"),
+        F.when(tagged, 28_800).otherwise(90_000).alias("plan"),
+    )
+    longer = F.when(tagged, 0).otherwise(90_000 - 3600)
+    seconds = F.make_dt_interval(secs=(F.col("elapsed_s") + longer).cast("decimal(18,6)"))
+    ends = (
+        _records(spark, sf_dir)
+        .filter(F.col("elapsed_s").isNotNull())
+        .select(F.col("record_id").alias("guid"), (F.col("event_time") + seconds).alias("end_time"))
+    )
+    found = matching.matched_records(begins, ends, planned=F.col("plan"))
+    with matching.timer_state(spark):
+        rows = running.drain_appends(spark, found, "stream-planned")
+    return rows.select("guid", "user_id", _epoch("begin_time"), _epoch("end_time"), "elapsed_s", "state")
+
+
 @query(
     "stream_daily",
     f"""with {RE} select user_id, task_name, {iso('date')} as date, {total()} as total,
@@ -125,29 +166,39 @@ def stream_late(spark, sf_dir):
     """Events enter as old records, documents then edit those they share a number with."""
     root = scratch_dir(spark, "stream-late")
     first = write_records(spark.createDataFrame([], schema.RECORDS), root)
+    both = _entered(spark, sf_dir, F.col("date")).unionByName(_edits(spark, sf_dir))
+    last = late.drain_corrections(spark, both, root, first, f"{root}/state")
+    return total_time(read_records(spark, root, last), keys=("user_id", "date"))
+
+
+def _entered(spark, sf_dir, date):
+    """Events as old records."""
     records = shape_events(_stream(spark, sf_dir, "events"))
     seconds = F.make_dt_interval(secs=F.col("elapsed_s").cast("decimal(18,6)"))
-    none = F.lit(None)
-    old = records.select(
+    return records.select(
         F.lit("old").alias("operation"),
         F.lit(0).alias("seq"),
         F.col("record_id").cast("string").alias("record_id"),
         "user_id",
         stable_id(F.col("task_name"), F.col("subtask")).alias("task_id"),
-        "date",
+        date.alias("date"),
         "begin_ts",
         (F.col("begin_ts") + seconds).alias("end_ts"),
         "elapsed_s",
         stable_id(F.col("tag")).alias("tag_id"),
-        none.cast("string").alias("log"),
+        F.lit(None).cast("string").alias("log"),
     )
-    chars = F.col("n_chars")
+
+
+def _edits(spark, sf_dir):
+    """Documents as edits of the records they share a number with."""
+    none, chars = F.lit(None), F.col("n_chars")
 
     def later(moment, count):
         return moment + F.make_dt_interval(secs=count.cast("decimal(18,6)"))
 
     begin = later(moment_lit(dt.datetime(2024, 1, 3, 23, 0)), chars % 3000)
-    edits = _stream(spark, sf_dir, "documents").select(
+    return _stream(spark, sf_dir, "documents").select(
         F.lit("edit").alias("operation"),
         F.lit(1).alias("seq"),
         F.col("doc_id").cast("string").alias("record_id"),
@@ -160,5 +211,23 @@ def stream_late(spark, sf_dir):
         none.cast("long").alias("tag_id"),
         F.col("text").alias("log"),
     )
-    last = late.drain_corrections(spark, old.unionByName(edits), root, first, f"{root}/state")
-    return total_time(read_records(spark, root, last), keys=("user_id", "date"))
+
+
+@query(
+    "stream_rejected",
+    f"""with {RE} select cast(record_id as varchar) as record_id, 'no date' as outcome from re where subtask is null
+        union all
+        select cast(doc_id as varchar), 'waits' from documents
+        where doc_id not in (select record_id from re where subtask is not null)""",
+)
+def stream_rejected(spark, sf_dir):
+    """Events without a subtask come without a date and are rejected. A second stream, of edits,
+    keeps them; edits of what is not stored wait."""
+    root = scratch_dir(spark, "stream-rejected")
+    first = write_records(spark.createDataFrame([], schema.RECORDS), root)
+    dated = F.when(F.col("subtask").isNotNull(), F.col("date"))
+    stored = late.drain_corrections(spark, _entered(spark, sf_dir, dated), root, first, f"{root}/old")
+    last = late.drain_corrections(spark, _edits(spark, sf_dir), root, stored, f"{root}/edits")
+    rejected = rejected_records(spark, root).select("record_id", F.col("problem").alias("outcome"))
+    waiting = late.pending_edits(spark, root, last).select("record_id", F.lit("waits").alias("outcome"))
+    return rejected.unionByName(waiting)

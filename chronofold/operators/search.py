@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions.durations import whole_div
+from chronofold.plans.numbering import Ranked, rank
 from chronofold.plans.period import SEARCH_ORDER
 from chronofold.plans.selection import (
     RecordFilter,
@@ -61,7 +62,8 @@ def _newest_first() -> tuple[Column, Column]:
 
 def page(found: DataFrame, number: int, page_size: int) -> DataFrame:
     """Page ``number`` (from 1), newest first. Each partition keeps only its leading rows, so
-    nothing is sorted in full; the cost grows with the page number, see ``page_after``."""
+    nothing is sorted in full; the cost grows with the page number, see ``page_after`` and
+    ``ranked``."""
     if number < 1 or page_size < 1:
         raise ValueError("page number and size start at 1")
     return found.orderBy(*_newest_first()).offset((number - 1) * page_size).limit(page_size)
@@ -74,6 +76,12 @@ def page_after(found: DataFrame, last_date: dt.date, last_id, page_size: int) ->
     return found.filter(older).orderBy(*_newest_first()).limit(page_size)
 
 
+def ranked(found: DataFrame) -> Ranked:
+    """The rows ranked newest first and written once: ``.page(number, size)`` opens the range
+    of one page, so a far page costs what the first one does."""
+    return rank(found, _newest_first())
+
+
 def page_with_count(found: DataFrame, number: int, page_size: int) -> DataFrame:
     """A page whose rows also tell how many pages there are."""
     pages = page_count(found.select("record_id"), page_size).scalar()
