@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.selection import order_log
+from catalog.selection import order_log, star_schema
 from catalog.sqltext import dhms, hms, iso, total
 from catalog.views import (
     EVENTS_AS_OF,
@@ -19,8 +19,13 @@ from catalog.views import (
 )
 from chronofold.functions.durations import elapsed_seconds
 from chronofold.operators import streaks, totals
+from chronofold.plans import runs
 from chronofold.plans.period import Period
 from chronofold.plans.selection import RecordFilter, select_records
+from chronofold.sources import schema
+from chronofold.sources.session import kept, scratch_dir
+from chronofold.sources.tables import write_dimension, write_records
+from chronofold.streaming import late
 
 _SPAN = Period.between("1996-02-10", "2000-11-20")
 _SPAN_SQL = "date between date '1996-02-10' and date '2000-11-20'"
@@ -263,6 +268,31 @@ def streaks_all(spark, sf_dir):
     return streaks.streaks(event_records(spark, sf_dir))
 
 
+@query("streaks_months", f"with {RO}" + _STREAK_SQL.format(where="").replace("from re", "from ro"))
+def streaks_months(spark, sf_dir):
+    """Streaks from one row for each month of a user and task."""
+    by = ("user_id", "task_name")
+    return runs.streaks_of_runs(kept(runs.month_runs(order_records(spark, sf_dir), by), "runs"), by)
+
+
+@query("streaks_stored", f"with {RE}" + _STREAK_SQL.format(where=""))
+def streaks_stored(spark, sf_dir):
+    """Tagged events are stored with their runs; a merge of the untagged ones makes the runs of
+    the months that it changes anew."""
+    log = star_schema(event_records(spark, sf_dir))
+    root = scratch_dir(spark, "streaks")
+    write_dimension(log.tasks, root, "tasks")
+    write_dimension(log.tags, root, "tags")
+    nothing = {"end_ts": "timestamp_ntz", "log": "string"}
+    records = log.records.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+    records = records.withColumn("record_id", F.col("record_id").cast("string"))
+    records = records.select(*[f.name for f in schema.RECORDS.fields])
+    first = write_records(records.filter("tag_id is not null"), root)
+    rest = records.filter("tag_id is null").withColumns({"operation": F.lit("old"), "seq": F.lit(1)})
+    last = late.merge_batch(spark, root, rest, runs.keep(spark, root, first, "runs"), "rest")
+    return runs.stored_streaks(spark, root, last)
+
+
 @query("streak_by_pattern", f"with {RE}" + _STREAK_SQL.format(where="where task_name ilike 'S%_P'"))
 def streak_by_pattern(spark, sf_dir):
     return streaks.streaks(event_records(spark, sf_dir), pattern="S%_P")

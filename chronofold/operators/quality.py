@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.calendar import moment_lit
 from chronofold.functions.keys import GUID_LENGTH
+from chronofold.sources.session import kept
 
 # The operations a batch may carry, and what each of them needs.
 INSERTS = ("old", "begin")
@@ -74,21 +75,30 @@ def name_problem(name: Column, required: bool = False) -> Column:
 
 
 def orphans(records: DataFrame, tasks: DataFrame, tags: DataFrame) -> DataFrame:
-    """Records whose task or tag does not exist, a row for each missing key; one scan of the records.
+    """Records whose task or tag does not exist, a row for each missing key.
 
-    Both dimensions are lists of keys, far smaller than the records.
+    The keys in use shrink to distinct ones on the map side, in one scan of two columns, so no busy
+    key fills a task, and only these meet the dimensions. What is missing is a short list as a
+    rule, whose measured size lets Spark match the records with it where they are.
     """
-    task = tasks.select("task_id", F.lit(True).alias("_task")).distinct()
-    tag = tags.select("tag_id", F.lit(True).alias("_tag")).distinct()
-    joined = records.join(task, "task_id", "left").join(tag, "tag_id", "left")
-    no_task = F.col("task_id").isNotNull() & F.col("_task").isNull()
-    no_tag = F.col("tag_id").isNotNull() & F.col("_tag").isNull()
+    known = _keys(tasks, "task_id").unionByName(_keys(tags, "tag_id"))
+    missing = kept(_keys(records, "task_id", "tag_id").join(known, ["_kind", "_key"], "left_anti"), "missing")
+    joined = records
+    for key in ("task_id", "tag_id"):
+        lost = missing.where(F.col("_kind") == key).select(F.col("_key").alias(key), F.lit(True).alias(f"_no_{key}"))
+        joined = joined.join(lost, key, "left")
     problems = F.array_compact(
         F.array(
-            F.when(no_task, F.lit("unknown task")),
-            F.when(no_tag, F.lit("unknown tag")),
+            F.when(F.col("_no_task_id"), F.lit("unknown task")),
+            F.when(F.col("_no_tag_id"), F.lit("unknown tag")),
         )
     )
-    return joined.filter(no_task | no_tag).select(
-        *records.columns, F.explode(problems).alias("problem")
-    )
+    found = joined.filter(F.col("_no_task_id") | F.col("_no_tag_id"))
+    return found.select(*records.columns, F.explode(problems).alias("problem"))
+
+
+def _keys(frame: DataFrame, *names: str) -> DataFrame:
+    """The distinct keys of some columns, with the column that each comes from."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("_kind"), F.col(n).alias("_key")) for n in names])
+    rows = frame.select(*names).distinct().select(F.inline(pairs))
+    return rows.where(F.col("_key").isNotNull()).distinct()

@@ -29,6 +29,7 @@ from chronofold.plans.daily import record_count
 from chronofold.plans.period import Period
 from chronofold.plans.selection import RecordFilter, join_tasks, select_records
 from chronofold.plans.series import USER
+from chronofold.sources.session import kept
 from chronofold.sources.tables import WorkLog, within_any
 
 # The largest unit a span's total is written in, and the chart titles.
@@ -55,6 +56,20 @@ def summaries(
     return _days(wanted, keys).groupBy(*keys).agg(*_summary_columns(spans, as_of))
 
 
+def _shared(
+    records: DataFrame, keys: Sequence[str], spans: Sequence[Period | None] | None = None
+) -> DataFrame:
+    """Sums by user, day and task, from one scan of the records (of these spans), for all parts of
+    a report. They are narrow and at most a row for each task of a day, so that the parts, which
+    each read them again, cost little next to the scan."""
+    if spans is not None:
+        records = within_any(records, [span for span in spans if span is not None])
+    sums = records.groupBy(*keys, "date", "task_name").agg(
+        F.sum("elapsed_s").alias("elapsed_s"), record_count(records).alias("record_count")
+    )
+    return kept(sums, "report")
+
+
 def _days(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     return records.groupBy(*keys, "date").agg(
         record_count(records).alias("_count"), F.sum("elapsed_s").alias("_total")
@@ -127,6 +142,7 @@ def page_day(
 ) -> DataFrame:
     """Summary of the day and its task shares, largest first."""
     span = Period.day(day or as_of)
+    records = _shared(records, keys, [span, Period.year(as_of)])
     shares = task_ratio_formatted(records, span, keys)
     entry = F.struct("task", "time", "formatted", "ratio")
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("_rank"), F.col("task"), entry.alias("_entry"))))
@@ -148,6 +164,7 @@ def _chart_page(
     line_period: Period | None,
     known_until: int | None,
 ) -> DataFrame:
+    """The parts of a page from ``records``, which ``_shared`` has made."""
     pair = charts.chart_pair(records, grain, span, line_period, known_until, keys)
     columns = [*keys]
     page = pair
@@ -173,15 +190,16 @@ def page_week(
 ) -> DataFrame:
     """Seven days: shares per task and day, total per day. No summary without a date."""
     span = Period.week_around(week or as_of)
+    resume = Period.week_from(week) if week else None
     return _chart_page(
-        records,
+        _shared(records, keys, [span, resume, Period.year(as_of) if week else None]),
         "week",
         "day",
         span,
         cal.week_labels(cal.date_lit(span.first)),
         as_of,
         keys,
-        Period.week_from(week) if week else None,
+        resume,
         None,
         charts.known_places("day", span, as_of),
     )
@@ -200,7 +218,7 @@ def page_month(
         line_period = Period.until(span.first, as_of)
         known = charts.known_places("week", span, line_period.last)
     return _chart_page(
-        records,
+        _shared(records, keys, [span, Period.year(as_of) if month else None]),
         "month",
         "week",
         span,
@@ -218,6 +236,7 @@ def page_year(
 ) -> DataFrame:
     """Twelve months: shares per task and month, total per month, and the weekly bars."""
     span = Period.year(year or as_of)
+    records = _shared(records, keys, [span, Period.year(as_of)])
     page = _chart_page(
         records,
         "year",
@@ -288,12 +307,15 @@ def custom_report(
     chosen = select_records(log, wanted)
     if "task_name" not in chosen.columns:
         chosen = join_tasks(chosen, log.tasks)
-    # Everything but the logs is sums of this one aggregate, which Spark computes once a plan.
+    # Everything but the logs is sums of this one aggregate.
     records = chosen.groupBy(*keys, "date", "task_name", "subtask").agg(
         F.sum("elapsed_s").alias("elapsed_s"), record_count(chosen).alias("record_count")
     )
+    elements = request.get("stats", ())
+    if len(elements) > 1:
+        records = kept(records, "report")
     report = {}
-    for element in request.get("stats", ()):
+    for element in elements:
         kind = element["element"]
         if kind == "timer-info":
             report[kind] = records.groupBy(*keys).agg(
@@ -369,6 +391,7 @@ def text_summary(
         "week": periods.this_week(as_of),
         "year": periods.this_year(as_of),
     }
+    records = _shared(records, keys)
     day, total = F.col("date"), F.col("_total")
     lines = _days(records, keys).groupBy(*keys).agg(
         *_summary_columns(spans, as_of),

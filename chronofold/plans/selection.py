@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.text import contains_text
@@ -66,7 +66,25 @@ def join_tasks(records: DataFrame, tasks: DataFrame, how: str = "inner") -> Data
 
 
 def join_tags(records: DataFrame, tags: DataFrame, how: str = "left") -> DataFrame:
-    return records.join(tags.select("tag_id", "tag"), "tag_id", how)
+    """With the tag's name. Records without a tag, which may be most of them, are not sent to one
+    task to find that they match nothing: in a shuffle they are spread by a key of their own."""
+    if how != "left":
+        return records.where(F.col("tag_id").isNotNull()).join(
+            tags.select("tag_id", "tag"), "tag_id", how
+        )
+    lone = F.coalesce(F.col("tag_id"), _spread_null(records)).alias("_tag_key")
+    names = tags.select(F.col("tag_id").alias("_tag_key"), "tag")
+    joined = records.select("*", F.col("tag_id").isNull().alias("_no_tag"), lone)
+    joined = joined.join(names, "_tag_key", "left")
+    tag = F.when(~F.col("_no_tag"), F.col("tag")).alias("tag")
+    rest = [c for c in records.columns if c != "tag_id"]
+    return joined.select("tag_id", *rest, tag)
+
+
+def _spread_null(records: DataFrame) -> Column:
+    """A number below 0 that differs from record to record; keys are 0 and above."""
+    other = [c for c in ("record_id", "user_id", "date") if c in records.columns]
+    return -1 - F.pmod(F.xxhash64(*other), F.lit(1 << 40))
 
 
 def select_records(log: WorkLog, wanted: RecordFilter, with_names: bool = False) -> DataFrame:

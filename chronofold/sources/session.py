@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "chronofold", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -38,6 +38,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return tempfile.mkdtemp(prefix=f"{purpose}-")
 
 
+def kept(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder: what several parts of a result are made of is
+    computed once, and no lost executor makes it run again."""
+    spark = frame.sparkSession
+    path = scratch_dir(spark, purpose)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder nobody reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
