@@ -57,13 +57,12 @@ def summaries(
 
 
 def _shared(
-    records: DataFrame, keys: Sequence[str], spans: Sequence[Period | None] | None = None
+    records: DataFrame, keys: Sequence[str], spans: Sequence[Period]
 ) -> DataFrame:
-    """Sums by user, day and task, from one scan of the records (of these spans), for all parts of
-    a report. They are narrow and at most a row for each task of a day, so that the parts, which
+    """Sums by user, day and task, from one scan of the records of these spans, for all parts of
+    a page. They are narrow and at most a row for each task of a day, so that the parts, which
     each read them again, cost little next to the scan."""
-    if spans is not None:
-        records = within_any(records, [span for span in spans if span is not None])
+    records = within_any(records, list(spans))
     sums = records.groupBy(*keys, "date", "task_name").agg(
         F.sum("elapsed_s").alias("elapsed_s"), record_count(records).alias("record_count")
     )
@@ -164,7 +163,6 @@ def _chart_page(
     line_period: Period | None,
     known_until: int | None,
 ) -> DataFrame:
-    """The parts of a page from ``records``, which ``_shared`` has made."""
     pair = charts.chart_pair(records, grain, span, line_period, known_until, keys)
     columns = [*keys]
     page = pair
@@ -191,8 +189,10 @@ def page_week(
     """Seven days: shares per task and day, total per day. No summary without a date."""
     span = Period.week_around(week or as_of)
     resume = Period.week_from(week) if week else None
+    if resume is not None:  # two parts
+        records = _shared(records, keys, [span, resume, Period.year(as_of)])
     return _chart_page(
-        _shared(records, keys, [span, resume, Period.year(as_of) if week else None]),
+        records,
         "week",
         "day",
         span,
@@ -217,8 +217,10 @@ def page_month(
     if month is None:
         line_period = Period.until(span.first, as_of)
         known = charts.known_places("week", span, line_period.last)
+    else:  # two parts
+        records = _shared(records, keys, [span, Period.year(as_of)])
     return _chart_page(
-        _shared(records, keys, [span, Period.year(as_of) if month else None]),
+        records,
         "month",
         "week",
         span,
@@ -391,7 +393,6 @@ def text_summary(
         "week": periods.this_week(as_of),
         "year": periods.this_year(as_of),
     }
-    records = _shared(records, keys)
     day, total = F.col("date"), F.col("_total")
     lines = _days(records, keys).groupBy(*keys).agg(
         *_summary_columns(spans, as_of),

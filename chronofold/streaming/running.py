@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.sources.session import scratch_dir
+from chronofold.sources.session import kept, scratch_dir
+from chronofold.sources.tables import exists
 from chronofold.streaming.clock import wall_date
 
 KEYS = ("user_id", "task_name")
@@ -81,16 +82,22 @@ def drain_appends(spark: SparkSession, stream: DataFrame, purpose: str) -> DataF
 
 
 def drain_updates(
-    spark: SparkSession, stream: DataFrame, keys: Sequence[str], purpose: str
+    spark: SparkSession,
+    stream: DataFrame,
+    keys: Sequence[str],
+    purpose: str,
+    root: str | None = None,
 ) -> DataFrame:
     """Run an aggregation over everything available and read its current totals.
 
     Each micro-batch writes the groups it changed under its own number, replacing a failed
     attempt of the same number. The current value of a group is the one with the highest
-    number, so groups whose window is still open are part of the answer.
+    number, so groups whose window is still open are part of the answer. With a ``root`` of its own
+    the stream goes on from there the next time, and ``correct_totals`` can be run between.
     """
-    root = scratch_dir(spark, purpose)
-    _empty_table(spark, stream, f"{root}/versions/batch=-1")
+    root = root or scratch_dir(spark, purpose)
+    if not exists(spark, f"{root}/versions"):
+        _empty_table(spark, stream, f"{root}/versions/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/versions/batch={number}")
@@ -103,7 +110,37 @@ def drain_updates(
         .start()
     )
     run.awaitTermination()
-    versions = spark.read.parquet(f"{root}/versions")
-    values = [name for name in stream.columns if name not in keys]
-    current = versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_current"))
-    return current.select(*keys, "_current.*")
+    return current_totals(spark, root, keys)
+
+
+def current_totals(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """The newest value of every group: of the last micro-batch that changed it, or of a
+    correction made after that one."""
+    versions = spark.read.parquet(f"{root}/versions").withColumn("_round", F.lit(0))
+    values = [name for name in versions.columns if name not in (*keys, "batch", "_round")]
+    if exists(spark, f"{root}/corrections"):
+        made = spark.read.schema(versions.drop("_round").schema).parquet(f"{root}/corrections")
+        versions = versions.unionByName(made.withColumn("_round", F.lit(1)))
+    newest = F.max_by(F.struct(*values), F.struct("batch", "_round"))
+    return versions.groupBy(*keys).agg(newest.alias("_current")).select(*keys, "_current.*")
+
+
+def correct_totals(
+    spark: SparkSession, root: str, records: DataFrame, name: str, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Merge what came behind the watermark into the stored totals, and read them.
+
+    To be run between two runs of the stream, at a day's close say. The groups whose totals
+    lack rows are written after the last micro-batch; a group that rows were too late for is
+    closed, so no later micro-batch writes it again. Running it again changes nothing.
+    """
+    group = [*keys, name]
+    missed = missed_totals(current_totals(spark, root, group), records, name, keys)
+    last = spark.read.parquet(f"{root}/versions").agg(F.max("batch")).first()[0]
+    staged = kept(missed, "missed")  # the totals are read again below, and may not be written meanwhile
+    before = f"{root}/corrections/batch={last}"
+    if exists(spark, before):
+        earlier = spark.read.schema(staged.schema).parquet(before).join(staged, group, "left_anti")
+        staged = kept(staged.unionByName(earlier), "missed")
+    staged.write.mode("overwrite").parquet(before)
+    return current_totals(spark, root, group)

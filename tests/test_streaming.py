@@ -197,3 +197,37 @@ def test_what_finds_no_partner_is_handed_out(spark, stream_of):
     assert {"far", "none"} <= {r.guid for r in alone.collect()} and "a" not in {r.guid for r in alone.collect()}
     lost = running.drain_appends(spark, pairing.unpaired_endings(begins, ends), "t")
     assert {"far", "lost"} <= {r.guid for r in lost.collect()} and "a" not in {r.guid for r in lost.collect()}
+
+
+def test_corrections_are_merged_into_stored_totals_between_runs(spark, tmp_path):
+    """A late row is counted at the day's close; the stream goes on from its checkpoint, and a
+    second close finds nothing more to do."""
+    folder, root = tmp_path / "in", str(tmp_path / "totals")
+    stored = []
+
+    def arrive(*rows):
+        number = len(list(folder.iterdir())) if folder.exists() else 0
+        frame = spark.createDataFrame(list(rows), RECORD)
+        frame.coalesce(1).write.parquet(str(folder / str(number)))
+        stored.extend(rows)
+
+    def drain():
+        reader = spark.readStream.schema(RECORD.replace(" ntz", "")).option("maxFilesPerTrigger", 1)
+        totals = running.daily_totals(timed(reader.parquet(f"{folder}/*")))
+        return running.drain_updates(spark, totals, [*running.KEYS, "date"], "t", root)
+
+    def close():
+        records = spark.createDataFrame(stored, RECORD).withColumn("date", F.col("begin_ts").cast("date"))
+        frame = running.correct_totals(spark, root, records, "date")
+        return {str(r.date)[8:]: (r.total, r["count"]) for r in frame.collect()}
+
+    arrive(("a", 1, "A", moment("02 09:00:00"), 60))
+    arrive(("b", 1, "A", moment("21 09:00:00"), 5))
+    arrive(("b2", 1, "A", moment("21 09:30:00"), 0))
+    arrive(("late", 1, "A", moment("02 10:00:00"), 7), ("later", 1, "A", moment("03 10:00:00"), 9))
+    assert {str(r.date)[8:]: r.total for r in drain().collect()} == {"02": 60, "21": 5}
+    assert close() == {"02": (67, 2), "03": (9, 1), "21": (5, 2)}
+    assert close() == {"02": (67, 2), "03": (9, 1), "21": (5, 2)}
+    arrive(("c", 1, "A", moment("21 11:00:00"), 2), ("last", 1, "A", moment("03 11:00:00"), 1))
+    drain()
+    assert close() == {"02": (67, 2), "03": (10, 2), "21": (7, 3)}
