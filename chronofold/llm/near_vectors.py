@@ -12,7 +12,8 @@ Equal vectors of one label are one class with a count, so copies are never paire
 share a bin. A bin is dealt to blocks, and its queries to lanes, by its size; a task compares one
 block with one lane, sums links per query and passes on a spanning forest of its links, never the
 pairs. Vectors that are null, zero, or hold null or non-finite components, and
-rows without a label, link with nothing. Only vectors of the table's most usual length are coded;
+rows without a label, link with nothing. Labels may be of any type. Rows that share a vec_id are vectors of
+their own; rows with a null vec_id are left out, other columns are ignored. No vectors: no rows. Only vectors of the table's most usual length are coded;
 others are compared within their own length and label exactly, block by block.
 """
 
@@ -34,7 +35,8 @@ ROTATIONS = 50
 #: Vectors of a bin in a block, and queries in a lane; buckets up to SHARED share a bin.
 BLOCK, LANE, SHARED = 1024, 2048, 128
 
-_CODED = "vec_id long, label int, dims int, weight long, unit array<double>, code array<int>"
+#: ``vec_id`` is the number of a class here and in all steps up to the last.
+_CODED = "vec_id long, {label}, dims int, weight long, unit array<double>, code array<int>"
 
 
 def learn(sample: np.ndarray, bits: int, seed: int = 7) -> np.ndarray:
@@ -82,23 +84,24 @@ def _coded(matrix: np.ndarray | None):
                     pa.array(units, pa.list_(pa.float64())),
                     pa.array(codes, pa.list_(pa.int32())),
                 ],
-                [c.split()[0] for c in _CODED.split(", ")],
+                ["vec_id", "label", "dims", "weight", "unit", "code"],
             )
 
     return run
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """Rows that can link, as ``vec_id, label, embedding`` (doubles)."""
+def _marked(vectors: DataFrame) -> DataFrame:
+    """``vec_id, label, embedding`` (doubles), and whether the row can link."""
     values = F.col("embedding").cast("array<double>")
     finite = F.forall(
         values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     )
-    return (
-        vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull())
-        .select(F.col("vec_id").cast("long"), F.col("label").cast("int"), values.alias("embedding"))
-        .where(F.col("embedding").isNotNull() & finite)
-        .where(F.exists("embedding", lambda x: x != 0))
+    links = F.col("label").isNotNull() & finite & F.exists(values, lambda x: x != 0)
+    return vectors.where(F.col("vec_id").isNotNull()).select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        "label",
+        values.alias("embedding"),
+        F.coalesce(links, F.lit(False)).alias("links"),
     )
 
 
@@ -246,17 +249,20 @@ def _linked(coded: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE) -> DataFrame:
     """Per row: ``vec_id, n_links, component_id, kept``."""
-    usable = _usable(vectors)
+    marked = _marked(vectors)
+    usable = marked.where("links").drop("links")
     classes = usable.groupBy("label", "embedding").agg(
-        F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")
+        F.min("vec_id").alias("least"), F.count("*").alias("weight")
     )
+    # numbers that the written table keeps; two vectors may share a vec_id
+    classes = classes.withColumn("vec_id", F.monotonically_increasing_id())
     classes = written(classes, "vectors")
     usual = classes.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     matrix = None
     if usual is not None:
         chosen = (
             classes.where(F.size("embedding") == usual["n"])
-            .orderBy(F.xxhash64("vec_id"), "vec_id")
+            .orderBy(F.xxhash64("least"), "least", F.xxhash64("embedding"))
             .limit(sample)
             .select("embedding")
             .toPandas()  # at most ``sample`` rows
@@ -264,7 +270,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
         rows = np.array(chosen["embedding"].tolist(), dtype=np.float64)
         rows /= np.abs(rows).max(axis=1, keepdims=True)
         matrix = learn(rows / np.linalg.norm(rows, axis=1, keepdims=True), WORDS * WORD_BITS)
-    coded = written(classes.mapInArrow(_coded(matrix), _CODED), "codes")
+    label = classes.schema["label"].dataType.simpleString()
+    schema = _CODED.format(label=f"label {label}")
+    coded = written(classes.drop("least").mapInArrow(_coded(matrix), schema), "codes")
     linked = written(_linked(coded, threshold), "linked")
     counts = linked.groupBy("vec_id").agg(F.sum("links").alias("links"))
     ties = linked.where(F.col("vec_id") != F.col("other"))
@@ -275,18 +283,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
         .select(
             "label",
             "embedding",
+            "least",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("root", "vec_id").alias("component_id"),
+            F.coalesce("root", "vec_id").alias("root"),
         )
     )
+    known = written(known, "known")
+    lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(lowest, "root").select("label", "embedding", "n_links", "component_id")
     own = usable.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where(F.col("vec_id").isNotNull())
-    return (
-        rest.join(own.distinct(), "vec_id", "left")
-        .select(
-            "vec_id",
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component_id", "vec_id").alias("component_id"),
-        )
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rest = marked.where("not links").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
+    return own.unionByName(rest).select(
+        "vec_id",
+        F.col("n_links").cast("long").alias("n_links"),
+        "component_id",
+        (F.col("vec_id") == F.col("component_id")).alias("kept"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,14 @@ _PII_KEY = "not-a-secret"
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get("chronofold.pii.key", _PII_KEY)
+    """The session's key. Without one, pseudonyms are made for tests only, and a warning says so."""
+    key = spark.conf.get("chronofold.pii.key", None)
+    if key is None:
+        warnings.warn(
+            "chronofold.pii.key is not set: these pseudonyms are for tests, anyone can reverse them",
+            stacklevel=2,
+        )
+    return key or _PII_KEY
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
