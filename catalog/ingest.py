@@ -15,6 +15,8 @@ from catalog.views import RE, RO, event_records, guid_sql, table
 from chronofold.functions.calendar import moment_lit
 from chronofold.functions.keys import stable_guid, stable_id
 from chronofold.operators import ingest
+from chronofold.plans import uses
+from chronofold.sources.session import kept
 
 _NOW = dt.datetime(2024, 1, 31, 9, 30, 0)
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -166,29 +168,54 @@ def rename_and_add_again(spark, sf_dir):
     "change_outcome",
     f"""with {RE} select doc_id as record_id,
           case when record_id is null then 'unknown' else 'applied' end as outcome
-        from documents left join (select record_id from re where record_id % 2 = 0) on record_id = doc_id""",
+        from documents left join (select record_id from re where subtask is not null) on record_id = doc_id""",
 )
 def change_outcome(spark, sf_dir):
-    """What becomes of edits when every second record is stored."""
-    stored = event_log(spark, sf_dir).records.filter(F.col("record_id") % 2 == 0)
+    """What becomes of edits when only records with a subtask are stored."""
+    stored = event_records(spark, sf_dir).filter(F.col("subtask").isNotNull())
     edits = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"))
     return ingest.change_outcome(stored, edits)
 
 
 @query(
     "tag_ids_from_text",
-    f"""select distinct {key_sql("trim(source)")} as tag_id, source as tag,
-               {guid_sql("trim(source)")} as guid from documents""",
+    f"""with w as (select doc_id as record_id, '  ' || source || ' ' as tag_text from documents
+          union all select c_custkey, c_mktsegment from customer
+          union all select s_suppkey, '  ' from supplier)
+        select record_id, tag_text, nullif(trim(tag_text), '') as tag,
+               case when trim(tag_text) <> '' then {key_sql("trim(tag_text)")} end as tag_id from w""",
 )
 def tag_ids_from_text(spark, sf_dir):
-    """Tags written as text: those the batch names for the first time are created."""
-    tags = table(spark, sf_dir, "events").select(
-        F.lit(0).cast("long").alias("tag_id"), F.lit("").alias("tag"), F.lit("").alias("guid")
-    ).filter(F.lit(False))
-    named = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("  "), "source", F.lit(" ")).alias("tag_text")
+    """Records whose tag is written as text: the market segments are known as tags, the sources
+    are named for the first time and created, blanks are no tag. The batch with its ``tag_id``."""
+    customers = table(spark, sf_dir, "customer")
+    segment = F.col("c_mktsegment")
+    tags = customers.select(segment.alias("tag")).distinct().select(
+        stable_id(F.col("tag")).alias("tag_id"), "tag", stable_guid(F.col("tag")).alias("guid")
     )
-    return ingest.tag_ids_from_text(named, tags)[0]
+    named = (
+        table(spark, sf_dir, "documents")
+        .select(F.col("doc_id").alias("record_id"), F.concat(F.lit("  "), "source", F.lit(" ")).alias("tag_text"))
+        .unionByName(customers.select(F.col("c_custkey").alias("record_id"), segment.alias("tag_text")))
+        .unionByName(
+            table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.lit("  ").alias("tag_text"))
+        )
+    )
+    return ingest.tag_ids_from_text(named, tags)[1]
+
+
+@query(
+    "deletable_by_uses",
+    f"""with {RE}, {RO}, w as (select distinct task_name, subtask, 'blocked' as outcome from re
+          union all select distinct task_name, subtask, 'deleted' from ro)
+        select {guid_sql('task_name', 'subtask')} as guid, outcome from w""",
+)
+def deletable_by_uses(spark, sf_dir):
+    """Deletions checked against the monthly reference counts that a merge keeps, no records read."""
+    events, orders = event_log(spark, sf_dir), order_log(spark, sf_dir)
+    tasks = events.tasks.unionByName(orders.tasks)
+    counts = kept(uses.month_uses(events.records), "uses")
+    return ingest.deletion_outcome(tasks, "task_id", tasks.select("guid"), uses.used(counts, "task_id"))
 
 
 @query(

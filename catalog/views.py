@@ -54,6 +54,7 @@ _SCHEMAS = {
     "c_mktsegment string",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
     "p_retailprice double",
+    "supplier": "s_suppkey long",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "conversations": "conv_id long, turn long, role string, text string",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofold.operators.ingest import apply_edits, last_per_key
-from chronofold.plans import daily, runs
+from chronofold.plans import daily, runs, uses
 from chronofold.sources import schema, tables
 
 _FIELDS = [field.name for field in schema.RECORDS.fields]
@@ -38,8 +38,8 @@ def merge_batch(
     ``edit``) and ``seq``; returns its name.
 
     Old records come first, then edits of what is stored. Edits of records that are not stored
-    yet wait in ``pending_edits`` and are tried again with every batch. Daily totals and runs of
-    days, where they are kept, are made anew for the months that changed. Running it again writes the same version.
+    yet wait in ``pending_edits`` and are tried again with every batch. Daily totals, runs of
+    days and reference counts, where they are kept, are made anew for the months that changed. Running it again writes the same version.
     """
     batch = batch.persist()
     try:
@@ -60,7 +60,7 @@ def merge_batch(
     parts = tables.listing(spark, root, before)
     filled = tables.filled_parts(spark, root, version) if months else {}
     changed = {"records": months, "places": filled.get("places", ())}
-    for name, summed in (("daily", daily), ("runs", runs)):
+    for name, summed in (("daily", daily), ("runs", runs), ("uses", uses)):
         if months and name in parts:
             changed[name] = months
             whole = tables.written_records(spark, root, version)

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.operators import quality, reports, streaks
-from chronofold.plans import runs
+from chronofold.operators import ingest, quality, reports, streaks
+from chronofold.plans import runs, uses
 from chronofold.plans.selection import join_tags
 from chronofold.sources import schema, tables
 from chronofold.streaming import late
@@ -78,12 +78,20 @@ def test_a_merge_makes_only_its_months_anew(spark, tmp_path):
     tables.write_records(frame, root)
     tables.write_dimension(spark.createDataFrame([(1, "A", None, "g")], schema.TASKS), root, "tasks")
     tables.write_dimension(spark.createDataFrame([], schema.TAGS), root, "tags")
-    runs.keep(spark, root, "0", "r")
+    runs.keep(spark, root, uses.keep(spark, root, "0", "u"), "r")
     assert _rows(runs.stored_streaks(spark, root, "r")) == [(1, "A", 2, 1, False)]
     bridge = spark.createDataFrame([entry("x", dt.date(2024, 1, 31))], schema.RECORDS)
     batch = bridge.withColumns({"operation": F.lit("old"), "seq": F.lit(1)})
     late.merge_batch(spark, root, batch, "r", "s")
     assert _rows(runs.stored_streaks(spark, root, "s")) == [(1, "A", 4, 1, False)]
+    counts = {(r.kind, r.key, r.month): r.records for r in uses.read(spark, root, "s").collect()}
+    assert counts == {("task_id", 1, "2024-01"): 2, ("task_id", 1, "2024-02"): 2, ("task_id", 1, "2024-05"): 1}
+    tasks = spark.createDataFrame([(1, "A", None, "g"), (2, "B", None, "h")], schema.TASKS)
+    wanted = spark.createDataFrame([("g",), ("h",), ("none",)], "guid string")
+    by_counts = ingest.deletion_outcome(tasks, "task_id", wanted, uses.used(uses.read(spark, root, "s"), "task_id"))
+    by_records = ingest.deletion_outcome(tasks, "task_id", wanted, tables.read_records(spark, root, "s"))
+    assert _rows(by_counts) == _rows(by_records) == [("g", "blocked"), ("h", "deleted"), ("none", "unknown")]
+    assert uses.used(uses.read(spark, root, "s"), "tag_id").collect() == []
     assert tables.listing(spark, root, "s")["runs"] == {"2024-01": "s", "2024-02": "r", "2024-05": "r"}
     assert runs.stored_streaks(spark, root, "s", "b%").collect() == []
 
