@@ -10,6 +10,7 @@ from catalog.ingest import _known_tasks, event_log
 from catalog.registry import query
 from catalog.views import RE, table
 from chronofold.operators import quality
+from chronofold.sources import schema
 
 _NOW = dt.datetime(2024, 1, 25, 12, 0, 0)
 
@@ -123,3 +124,25 @@ def dq_orphans(spark, sf_dir):
         log.records, _known_tasks(log.tasks), log.tags.filter(F.col("tag") != "tag3")
     )
     return found.select("record_id", "problem")
+
+
+@query(
+    "client_batch",
+    """select upper(md5(cast(event_id as varchar))) as guid, user_id, event_type as operation,
+              strftime(ts, '%Y-%m-%d') as date, strftime(ts, '%H:%M:%S') as time_beginning, props as log
+       from events""",
+)
+def client_batch(spark, sf_dir):
+    """A batch with a client's spelling of the columns, and fields that nobody asked for."""
+    ts = F.col("ts")
+    sent = table(spark, sf_dir, "events").select(
+        F.col("value").alias("clientVersion"),
+        F.col("props").alias("log"),
+        F.date_format(ts, "HH:mm:ss").alias("timeBeginning"),
+        F.date_format(ts, "yyyy-MM-dd").alias("date"),
+        F.col("event_type").alias("operation"),
+        F.col("user_id").alias("userId"),
+        F.upper(F.md5(F.col("event_id").cast("string"))).alias("guid"),
+        F.lit(True).alias("darkMode"),
+    )
+    return schema.known_columns(schema.snake_case_columns(sent))

@@ -16,6 +16,7 @@ from catalog.views import (
     RO,
     event_records,
     order_records,
+    table,
 )
 from chronofold.functions.durations import elapsed_seconds
 from chronofold.operators import streaks, totals
@@ -314,3 +315,71 @@ def fmt_duration(spark, sf_dir):
         duration_text(seconds, "day").alias("days"),
         split_text(duration_text(seconds, "day")).alias("parts"),
     )
+
+
+@query(
+    "row_counts",
+    f"""with {RE}, c as (select 'records' as table_name, count(*) as count from re
+          union all select 'tasks', (select count(*) from (select distinct task_name, subtask from re))
+          union all select 'tags', count(distinct tag) from re
+          union all select 'settings', count(*) from re where task_name = 'settings')
+        select *, count = 0 as is_empty from c""",
+)
+def row_counts(spark, sf_dir):
+    """Tables are counted to find the empty ones; no record is of the task ``settings``."""
+    records = event_records(spark, sf_dir)
+    return totals.row_counts(
+        {
+            "records": records,
+            "tasks": records.select("task_name", "subtask").distinct(),
+            "tags": records.select("tag").distinct().filter(F.col("tag").isNotNull()),
+            "settings": records.filter(F.col("task_name") == "settings"),
+        }
+    )
+
+
+_REQUESTS = """q as (select o_orderkey as request_id, o_custkey as user_id, cast(o_orderdate as date) as d,
+    left(o_orderpriority, 1) as kind, o_orderstatus as status from orders),
+  s as (select request_id, user_id,
+      case when kind <> '3' and status = 'P' then 'several spans'
+           when kind = '5' and status = 'F' then 'half a span'
+           when kind = '1' and status = 'F' then 'bad date' end as problem,
+      case kind when '2' then date_trunc('month', d) when '3' then date_trunc('year', d) else d end as a,
+      case kind when '1' then d when '2' then last_day(d)
+           when '3' then date_trunc('year', d) + interval 1 year - interval 1 day
+           when '4' then d + interval 6 day else d + interval 100 day end as b from q),
+  r as (select request_id, user_id, problem,
+      case when problem is null then cast(a as date) end as first,
+      case when problem is null then cast(b as date) end as last from s)"""
+
+
+@query(
+    "requests_answered",
+    f"""with {RO}, {_REQUESTS}
+        , t as (select r.*, count(ro.record_id) as n, coalesce({total('ro.elapsed_s')}, 0) as seconds
+          from r left join ro on ro.user_id = r.user_id and ro.date between r.first and r.last group by all)
+        select request_id, user_id, strftime(first, '%Y-%m-%d') as first,
+               strftime(last, '%Y-%m-%d') as last, problem,
+               case when problem is null then n end as count,
+               case when problem is null then seconds end as total_time
+        from t""",
+)
+def requests_answered(spark, sf_dir):
+    """One request an order: a day, month, year, week or range by its priority, some of them faulty."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    kind = F.substring("o_orderpriority", 1, 1)
+    status = F.col("o_orderstatus")
+    slashed = F.translate(day, "-", "/")
+    requests = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.col("o_custkey").alias("user_id"),
+        F.when(kind == "1", F.when(status == "F", slashed).otherwise(day)).alias("day"),
+        F.when(kind == "2", F.substring(day, 1, 7)).alias("month"),
+        F.when((kind == "3") | (status == "P"), F.substring(day, 1, 4)).alias("year"),
+        F.when(kind == "4", day).alias("week_start"),
+        F.when(kind == "4", F.date_add(day.cast("date"), 6).cast("string")).alias("week_end"),
+        F.when(kind == "5", day).alias("range_beginning"),
+        F.when((kind == "5") & (status != "F"), F.date_add(day.cast("date"), 100).cast("string")).alias("range_ending"),
+    )
+    answered = totals.totals_of_requests(order_records(spark, sf_dir), requests)
+    return answered.select("request_id", "user_id", "first", "last", "problem", "count", "total_time")

@@ -7,15 +7,17 @@ result row, because formatting a date costs several times as much as truncating
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import calendar as cal
 from chronofold.functions.durations import duration_text
 from chronofold.plans.daily import open_count, record_count
 from chronofold.plans.period import Period
+from chronofold.plans.requests import with_span
 from chronofold.plans.series import USER, by_user, ordered, sums
 from chronofold.sources.tables import in_period
 
@@ -185,3 +187,54 @@ def year_report(
     if min_days is not None:
         report = report.filter(F.col("days_done") > min_days)
     return report.withColumn("total", duration_text(F.col("total_time"), "day"))
+
+
+def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of each table, and whether it is empty; an empty table has its row too."""
+    counts = [
+        frame.groupBy().agg(F.count(F.lit(1)).alias("count")).select(
+            F.lit(name).alias("table_name"), "count", (F.col("count") == 0).alias("is_empty")
+        )
+        for name, frame in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def totals_of_requests(
+    records: DataFrame, requests: DataFrame, keys: Sequence[str] = USER
+) -> DataFrame:
+    """``with_span(requests)`` and the ``count`` and ``total_time`` of each request's own records.
+
+    Every request is two look-ups in the running sums of its keys, at its last day and at the day
+    before its first, so long spans cost what short ones do. The running sums have one row for each
+    day worked or asked for, however many records or requests there are. A request with a problem
+    has NULL sums, one without records 0, and so has one that ends before it begins. Records without
+    a date are in no span.
+    """
+    if not keys:
+        raise ValueError("requests are matched to records by at least one key")
+    asked = with_span(requests).withColumn("before", F.date_sub("first", 1))
+    daily = records.filter(F.col("date").isNotNull()).select(
+        *keys, "date", F.lit(1).cast("long").alias("count"), F.coalesce("elapsed_s", F.lit(0)).alias("total")
+    )
+    nothing = [F.lit(0).cast("long").alias(name) for name in ("count", "total")]
+    dates = asked.filter(F.col("problem").isNull()).select(
+        *keys, F.explode(F.array("before", "last")).alias("date"), *nothing
+    )
+    days = daily.unionByName(dates).groupBy(*keys, "date").agg(
+        F.sum("count").alias("count"), F.sum("total").alias("total")
+    )
+    so_far = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    running = days.select(
+        *keys, "date", F.struct(F.sum("count").over(so_far).alias("count"), F.sum("total").over(so_far).alias("total")).alias("sums")
+    )
+    for day, name in (("last", "_until"), ("before", "_before")):
+        side = running.select(*keys, F.col("date").alias(day), F.col("sums").alias(name))
+        asked = asked.join(side, [*keys, day], "left")
+
+    def within(value: str) -> Column:
+        found = F.coalesce(F.col(f"_until.{value}") - F.col(f"_before.{value}"), F.lit(0))
+        return F.when(F.col("problem").isNull(), F.greatest(found, F.lit(0)).cast("long"))
+
+    shown = [*requests.columns, "first", "last", "problem"]
+    return asked.select(*shown, within("count").alias("count"), within("total").alias("total_time"))
