@@ -65,11 +65,6 @@ def ordered(frame: DataFrame, keys: Sequence[str], *order: str | Column) -> Data
     return frame.orderBy(*order)
 
 
-# Up to this many labels a series is spread by a pivot; a plan with one column per label
-# stays small. Longer series are looked up in a map of the places that occur.
-_PIVOT_LABELS = 128
-
-
 def spread(
     frame: DataFrame,
     by: Sequence[str],
@@ -86,26 +81,6 @@ def spread(
     if size <= 0:
         raise ValueError("a series needs at least one place")
     known = size if known_until is None else min(known_until, size)
-    build = _spread_by_pivot if size <= _PIVOT_LABELS else _spread_by_map
-    return build(frame, by, size, values, known)
-
-
-def _spread_by_pivot(frame, by, size, values, known):
-    aggregates = [value.alias(name) for name, (value, _) in values.items()]
-    wide = frame.groupBy(*by).pivot("place", list(range(size))).agg(*aggregates)
-
-    def array(name: str, fill: str) -> Column:
-        suffix = f"_{name}" if len(values) > 1 else ""
-        items = [
-            f"coalesce(`{place}{suffix}`, {fill})" if place < known else f"nullif({fill}, {fill})"
-            for place in range(size)
-        ]
-        return F.expr(f"array({', '.join(items)})").alias(name)
-
-    return wide.select(*by, *[array(name, fill) for name, (_, fill) in values.items()])
-
-
-def _spread_by_map(frame, by, size, values, known):
     aggregates = [value.alias(name) for name, (value, _) in values.items()]
     narrow = frame.groupBy(*by, "place").agg(*aggregates)
     maps = narrow.groupBy(*by).agg(

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.operators import charts, ratios, reports, streaks, totals, weeks
 from chronofold.plans import series
@@ -145,17 +146,22 @@ def test_week_totals_are_gap_free(spark, records, rows):
     assert got == {(u, w): sums[u, w] for u in range(1, 16) for w in range(1, 7)}
 
 
-def test_long_series_take_the_map_path_to_the_same_result(records, monkeypatch):
-    def both():
-        return (
-            sorted(map(repr, charts.line_chart(records, "day", SPAN, dt.date(2024, 1, 20)).collect())),
-            sorted(map(repr, charts.stacked_chart(records, "day", SPAN).collect())),
-            sorted(map(repr, charts.chart_pair(records, "day", SPAN).collect())),
-        )
-
-    by_pivot = both()
-    monkeypatch.setattr(series, "_PIVOT_LABELS", 10)
-    assert both() == by_pivot
+@pytest.mark.parametrize("size", [7, 128, 129, 1000])
+def test_series_of_any_length_are_spread_alike(records, rows, size):
+    first = START
+    place = F.date_diff("date", F.lit(first))
+    placed = records.withColumn("place", place).filter(place.between(0, size - 1))
+    values = {"total": (F.sum("elapsed_s"), "0L"), "n": (F.count(F.lit(1)), "0L")}
+    got = {r.user_id: (r.total, r.n) for r in series.spread(placed, ["user_id"], size, values, size - 2).collect()}
+    want = defaultdict(lambda: ([0] * size, [0] * size))
+    for r in rows:
+        at = (r[5] - first).days if r[5] else -1
+        if 0 <= at < size:
+            want[r[1]][0][at] += r[6] or 0
+            want[r[1]][1][at] += 1
+    for total, n in want.values():
+        total[-2:] = n[-2:] = [None, None]
+    assert got == dict(want)
 
 
 def test_chart_pair_agrees_with_its_parts(records):
