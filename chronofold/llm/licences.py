@@ -5,13 +5,17 @@ further away than GAP words starts another. Nothing else can be confirmed later,
 classified. Its words (lower case, letters and digits only) give sparse hashed features, the
 distinct runs of one, two and three words, for a multinomial logistic regression over the licence
 families and an unknown class. The regression learns from the templates, worn in several ways, from
-sentences that only speak of licences, and from a bounded sample of the corpus (``sample``
-documents, those with the smallest hash of their id) whose paragraphs hold no template words.
+sentences that only speak of licences, and from a bounded sample of the corpus: of the ``sample``
+documents with the smallest hash of their id, ``sample`` pieces that speak of licences and four times
+as many of any kind, chosen by hash from all their lines, a piece being a line or STRETCH characters
+of a longer one. Pieces that hold a good part of a template are left out.
 
 A quarter of the examples is held back: a temperature is fitted to them, and the least probability
 a family needs is set so that no more than FALSE_ALARMS of the held-back unknown ones pass. A
 prediction counts when a template of the family has at least ``confirm`` of its word triples in the
-paragraph. All else is unknown and not reported.
+paragraph, and as many of those that no other family has, so that families whose notices differ in a
+word are told apart. A paragraph whose every grant is denied ("is not licensed under") is no notice.
+All else is unknown and not reported.
 
 Null text and text without words: no finds, a row with zeros all the same. Rows are scanned one by
 one, whole texts, repeated rows alike. No documents: no rows.
@@ -36,6 +40,8 @@ GAP = 30
 MARGIN = 6
 BUCKETS = 1 << 14
 FALSE_ALARMS = 0.002
+STRETCH = 400
+PART = 0.3  # of a template's runs, from which on a piece of the corpus is no unknown example
 
 #: Usual notices of each family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -43,63 +49,122 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "licensed under the GNU Affero General Public License version 3",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
         "License as published by the Free Software Foundation",
+        "AGPLv3 licensed",
+        "SPDX-License-Identifier AGPL-3.0-only",
+        "SPDX-License-Identifier AGPL-3.0-or-later",
     ),
     "apache-2.0": (
         "licensed under the Apache License Version 2.0",
         "you may not use this file except in compliance with the License you may obtain a copy of "
         "the License at http www apache org licenses LICENSE-2.0",
         "released under the Apache License 2.0",
+        "uses the Apache License 2.0",
+        "License Apache-2.0",
         "SPDX-License-Identifier Apache-2.0",
     ),
     "bsd": (
         "released under the BSD License",
+        "licensed under the 2-clause BSD License",
         "licensed under the 3-clause BSD License",
         "redistribution and use in source and binary forms with or without modification are "
         "permitted provided that the following conditions are met",
+        "SPDX-License-Identifier BSD-2-Clause",
         "SPDX-License-Identifier BSD-3-Clause",
     ),
     "cc-by": (
         "licensed under CC BY 4.0",
         "this work is licensed under a Creative Commons Attribution 4.0 International License",
+        "SPDX-License-Identifier CC-BY-4.0",
     ),
     "cc-by-nc": (
         "licensed under CC BY-NC 4.0",
         "this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
         "International License",
+        "SPDX-License-Identifier CC-BY-NC-4.0",
+    ),
+    "cc-by-nc-nd": (
+        "licensed under CC BY-NC-ND 4.0",
+        "this work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+        "International License",
+        "SPDX-License-Identifier CC-BY-NC-ND-4.0",
+    ),
+    "cc-by-nc-sa": (
+        "licensed under CC BY-NC-SA 4.0",
+        "this work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+        "International License",
+        "SPDX-License-Identifier CC-BY-NC-SA-4.0",
+    ),
+    "cc-by-nd": (
+        "licensed under CC BY-ND 4.0",
+        "this work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International "
+        "License",
+        "SPDX-License-Identifier CC-BY-ND-4.0",
     ),
     "cc-by-sa": (
         "licensed under CC BY-SA 4.0",
         "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International "
         "License",
+        "SPDX-License-Identifier CC-BY-SA-4.0",
     ),
     "cc0": (
         "to the extent possible under law the author has waived all copyright and related rights",
         "released under CC0 1.0 Universal public domain dedication",
+        "SPDX-License-Identifier CC0-1.0",
+    ),
+    "epl-2.0": (
+        "this program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0",
+        "licensed under the Eclipse Public License version 2.0",
+        "SPDX-License-Identifier EPL-2.0",
     ),
     "gpl": (
         "this work is licensed under the GNU General Public License version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "as published by the Free Software Foundation",
-        "SPDX-License-Identifier GPL-3.0-or-later",
         "licensed under the GNU General Public License version 2",
+        "GPLv2 licensed",
+        "GPLv3 licensed",
+        "SPDX-License-Identifier GPL-2.0-only",
+        "SPDX-License-Identifier GPL-2.0-or-later",
+        "SPDX-License-Identifier GPL-3.0-only",
+        "SPDX-License-Identifier GPL-3.0-or-later",
+    ),
+    "isc": (
+        "released under the ISC License",
+        "permission to use copy modify and/or distribute this software for any purpose with or "
+        "without fee is hereby granted",
+        "SPDX-License-Identifier ISC",
     ),
     "lgpl": (
         "licensed under the GNU Lesser General Public License version 3",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
         "License as published by the Free Software Foundation",
+        "SPDX-License-Identifier LGPL-2.1-only",
+        "SPDX-License-Identifier LGPL-2.1-or-later",
+        "SPDX-License-Identifier LGPL-3.0-only",
+        "SPDX-License-Identifier LGPL-3.0-or-later",
     ),
     "mit": (
         "released under the MIT License",
         "licensed under the MIT License",
         "permission is hereby granted free of charge to any person obtaining a copy of this "
         "software and associated documentation files to deal in the software without restriction",
+        "License MIT",
         "SPDX-License-Identifier MIT",
     ),
     "mpl-2.0": (
         "this source code form is subject to the terms of the Mozilla Public License v 2.0",
         "licensed under the Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier MPL-2.0",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain",
+        "SPDX-License-Identifier Unlicense",
     ),
 }
+#: Words that grant, and words before them that deny it.
+GRANTS = ("licensed", "released", "distributed", "available")
+DENIALS = ("not", "never", "isnt", "arent", "wasnt", "werent", "longer", "neither", "nor")
 #: Sentences that speak of licences without granting one.
 MENTIONS = (
     "he lost his driving license under the new law in version of the story told here",
@@ -111,6 +176,7 @@ MENTIONS = (
     "released under the bridge at night the prisoners walked to the public square",
     "copyright law is taught in the second year of the course at the school",
 )
+ABOUT = "licen[sc]|copyright|gnu|creative commons|warrant|public domain|spdx"
 UNKNOWN = 0
 FAMILIES = tuple(sorted(TEMPLATES))
 
@@ -172,6 +238,13 @@ class Scanner:
             for template, own in rs:
                 self.has[self.first[k] + np.searchsorted(self.known[k], own), template] = True
         self.runs_of = self.has.sum(axis=0)
+        of_family = np.zeros((total, len(FAMILIES) + 1), dtype=bool)
+        for template, number in enumerate(self.family):
+            of_family[:, number] |= self.has[:, template]
+        self.telling = self.has & (of_family.sum(axis=1) == 1)[:, None]
+        self.telling_of = self.telling.sum(axis=0)
+        self.grants = np.sort(np.concatenate([_of(word) for word in GRANTS]))
+        self.denials = np.sort(np.concatenate([_of(word) for word in DENIALS]))
 
     def probabilities(self, hashes: np.ndarray) -> np.ndarray:
         columns = _columns(hashes)
@@ -189,11 +262,22 @@ class Scanner:
         share = float(shares[best])
         return (FAMILIES[best - 1], float(p[best]), share) if share >= self.confirm else None
 
+    def denied(self, hashes: np.ndarray, lo: int, hi: int, low: int) -> bool:
+        """Whether words lo to hi grant something and each grant is denied, at most two words before;
+        ``low`` is the first word that may deny."""
+        grants = lo + np.flatnonzero(np.isin(hashes[lo:hi], self.grants))
+        denials = low + np.flatnonzero(np.isin(hashes[low:hi], self.denials))
+        before = grants[:, None] - denials[None, :]
+        return len(grants) > 0 and bool(((before > 0) & (before <= 2)).any(axis=1).all())
+
     def shares(self, place: np.ndarray) -> np.ndarray:
-        """Per class, the best template's share of its runs among these; 0 for the unknown one."""
-        share = self.has[np.unique(place)].sum(axis=0) / self.runs_of
+        """Per class, the best template's share of its runs among these; 0 for the unknown one and
+        for templates with less than ``confirm`` of the runs that no other family has."""
+        at = np.unique(place)
+        share = self.has[at].sum(axis=0) / self.runs_of
+        telling = self.telling[at].sum(axis=0) >= self.confirm * self.telling_of
         best = np.zeros(len(FAMILIES) + 1)
-        np.maximum.at(best, self.family, share)
+        np.maximum.at(best, self.family, np.where(telling, share, 0.0))
         return best
 
     def cuts(self, at: np.ndarray, place: np.ndarray, shares: np.ndarray) -> list[int]:
@@ -242,12 +326,27 @@ class Scanner:
             marks = sorted({int(begin[i]), *self.cuts(at[f:t], place[f:t], shares), end})
             yield list(zip(marks[:-1], marks[1:], strict=True)), shares
 
+    def part_of_template(self, text: str) -> bool:
+        """Whether a text holds PART of some template's runs, and one that no other family has."""
+        hashes = _of(text)
+        for k, known in self.known.items():
+            runs = np.unique(_runs(hashes, k))
+            place = self.first[k] + np.flatnonzero(np.isin(known, runs))
+            share = self.has[place].sum(axis=0) / self.runs_of
+            if ((share >= PART) & self.telling[place].any(axis=0)).any():
+                return True
+        return False
+
     def found(
         self, hashes: np.ndarray, parts: list[tuple[int, int]], shares: np.ndarray
     ) -> list[tuple[int, int, tuple[str, float, float]]]:
         """Finds in the paragraphs of a stretch, or else the one of the whole stretch."""
         for spans in (parts, [(parts[0][0], parts[-1][1])]):
-            judged = [(lo, hi, self.judge(hashes[lo:hi], shares)) for lo, hi in spans]
+            judged = [
+                (lo, hi, self.judge(hashes[lo:hi], shares))
+                for lo, hi in spans
+                if not self.denied(hashes, lo, hi, max(lo - 2, parts[0][0]))
+            ]
             if any(find for _, _, find in judged) or len(parts) == 1:
                 break
         return [x for x in judged if x[2]]
@@ -289,16 +388,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, confirm: float = 0.6) -> Scanner:
     spark = docs.sparkSession
     named = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = named.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = (
+    cut = F.regexp_extract_all("text", F.lit(f"[^\\n]{{1,{STRETCH}}}"), 0)
+    stretches = (
         named.select("doc_id", "text")
         .join(F.broadcast(ids.distinct()), "doc_id")  # ``sample`` ids at most
-        .select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("text"))
-        .where(~F.lower("text").rlike("licen[sc]|copyright|gnu|creative commons|warrant"))
-        .select(F.substring("text", 1, 400).alias("text"))
-        .limit(4 * sample)
-        .collect()  # at most 4 * sample stretches of 400 characters, for training only
+        .select("doc_id", F.posexplode(cut).alias("at", "text"))
     )
-    examples = _examples(sorted(r["text"] for r in chosen))
+    chance = (F.xxhash64("doc_id", "at"), "doc_id", "at", "text")
+    about = stretches.where(F.lower("text").rlike(ABOUT)).orderBy(*chance).limit(sample)
+    others = stretches.orderBy(*chance).limit(4 * sample)
+    # at most 5 * sample pieces of STRETCH characters, for training only
+    chosen = about.unionByName(others).select("text").distinct().collect()
+    bare = Scanner(np.zeros((0, 0)), np.zeros(0), 1.0, 0.0, confirm)
+    examples = _examples(sorted(r["text"] for r in chosen if not bare.part_of_template(r["text"])))
     held = examples[::4]
     training = [e for i, e in enumerate(examples) if i % 4]
     rows = [
@@ -325,7 +427,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, confirm: float = 0.6) -> Scanner:
     scanner.temperature = min(np.geomspace(0.1, 5, 40).tolist(), key=loss)
     family = chances(scanner.temperature)[truth == UNKNOWN][:, 1:].max(axis=1, initial=0.0)
     scanner.least = max(0.5, float(np.quantile(family, 1 - FALSE_ALARMS)) if len(family) else 0.5)
-    scanner.least = min(scanner.least, 0.95)
     return scanner
 
 

@@ -244,3 +244,50 @@ def test_keys_phones_and_dates_of_more_forms(spark, documents):
     one = pii.pseudonymise(documents(text), "k").collect()[0]
     want = f"due {rows['2024/12/25'].p}, {rows['1/2/2024'].p}; call {rows['030/1234567'].p} or {rows[values[0]].p}"
     assert one.text == want and one.n_pii == 4
+
+
+def _plain_shares(text):
+    """Best share of a template's word runs by family, of those with enough runs of their own."""
+
+    def words(t):
+        kept = (re.sub(r"[^0-9a-z\x80-\U0010ffff]", "", w) for w in t.lower().split())
+        return [w for w in kept if w]
+
+    def runs(t, k):
+        return {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+
+    known = [(name, words(t)) for name, texts in licences.TEMPLATES.items() for t in texts]
+    known = [(name, runs(t, min(len(t), 3)), min(len(t), 3)) for name, t in known]
+    best = {}
+    for name, own, k in known:
+        others = set().union(*[r for n, r, _ in known if n != name])
+        there = runs(words(text), k)
+        if len(there & (own - others)) >= 0.6 * len(own - others):
+            best[name] = max(best.get(name, 0), len(there & own) / len(own))
+    return best
+
+
+def test_neighbours_short_forms_and_denials(documents, noise):
+    by = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    want = {
+        by.format(""): "cc-by", by.format("-NonCommercial"): "cc-by-nc", by.format("-NoDerivatives"): "cc-by-nd",
+        by.format("-ShareAlike"): "cc-by-sa", by.format("-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+        by.format("-NonCommercial-NoDerivatives"): "cc-by-nc-nd", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa",
+        "The tool uses the Apache License 2.0.": "apache-2.0", "License: MIT": "mit", "This is GPLv3 licensed software.": "gpl",
+        "Released under the ISC License.": "isc", "Licensed under the Eclipse Public License, version 2.0.": "epl-2.0",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "The code is not licensed under the MIT License at all.": "", "It was never released under the BSD License.": "",
+        "Released under the MIT License. It is not licensed under the Apache License, Version 2.0.": "mit",
+        "You need a license to fish here, says the public notice.": "", "GNU make reads a file of rules.": "",
+    }
+    lines = [(name, t) for name, ts in licences.TEMPLATES.items() for t in ts if t.startswith("SPDX")]
+    assert {name for name, _ in lines} == set(licences.TEMPLATES)
+    want |= {"// " + t.replace("Identifier ", "Identifier: "): name for name, t in lines}
+    texts = [*want, *want]  # repeated rows are judged alike
+    docs = documents(*noise, *texts)
+    finds = {r.doc_id: r.finds for r in licences.scan(docs, licences.fit(docs)).collect()}
+    for number, text in enumerate(texts, start=len(noise)):
+        assert [f.family for f in finds[number]] == ([want[text]] if want[text] else []), text
+        for f in finds[number]:
+            assert f.share == pytest.approx(_plain_shares(text)[f.family])
+    assert not any(finds[i] for i in range(len(noise)))
