@@ -54,6 +54,8 @@ COMMON_TOKENS = 100_000
 LEADERS = 8
 #: Classes in a block of a group, and queries that one task puts to it.
 BLOCK, QUERIES = 256, 4096
+#: Columns of the first pass over the texts.
+SURVEY = "doc_id long, n_shingles long, cls long, token long, n long"
 
 
 def _sets(batch, data, offsets, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +63,22 @@ def _sets(batch, data, offsets, k: int) -> tuple[np.ndarray, np.ndarray]:
     data = lowered(data)
     found = words(data, offsets)
     counts, hashes = found.counts, word_hashes(data, found)
-    at = run_starts(counts, k)
-    owner = np.repeat(np.arange(len(counts)), np.maximum(counts - k + 1, 0))
-    token = run_hashes(hashes, at, k)
+    size = np.where(counts < k, np.minimum(counts, 1), counts - k + 1)
+    end = np.cumsum(size)
+    first = end - size
     short = np.flatnonzero((counts > 0) & (counts < k))
+    token, run = np.empty(int(size.sum()), dtype=np.uint64), np.ones(int(size.sum()), dtype=bool)
+    run[first[short]] = False
+    token[run] = run_hashes(hashes, run_starts(counts, k), k)
     if len(short):
-        token = np.concatenate([token, sequence_hashes(hashes, found.first)[short]])
-        owner = np.concatenate([owner, short])
-    order = np.lexsort((token, owner))
-    token, owner = token[order], owner[order]
+        token[first[short]] = sequence_hashes(hashes, found.first)[short]
+    for i, j in zip(first.tolist(), end.tolist(), strict=True):
+        token[i:j].sort()
     keep = np.ones(len(token), dtype=bool)
-    keep[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    return token[keep], np.bincount(owner[keep], minlength=batch.num_rows)
+    keep[1:] = token[1:] != token[:-1]
+    keep[first[size > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return token[keep], kept[end] - kept[first]
 
 
 def _classes(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -80,24 +86,13 @@ def _classes(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return signed(sequence_hashes(token, np.concatenate([[0], np.cumsum(counts)])))
 
 
-def _describe(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in pieces(batches, "text"):
-            token, counts = _sets(batch, data, offsets, k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(counts.astype(np.int64)),
-                    pa.array(_classes(token, counts)),
-                ],
-                ["doc_id", "n_shingles", "cls"],
-            )
-
-    return run
-
+def _survey(k: int, local: int = 50_000):
+    """A row for every text, and one, without an id, for each of the most frequent tokens of a
+    task's texts; what is frequent overall is so somewhere."""
+    names = [field.split()[0] for field in SURVEY.split(", ")]
 
-def _frequent(k: int, local: int = 50_000):
-    """The most frequent tokens of a task's texts; what is frequent overall is so somewhere."""
+    def rows(doc_id, n_shingles, cls, token, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_id, n_shingles, cls, token, n], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, waiting, size = [], [], [], 0
@@ -116,7 +111,15 @@ def _frequent(k: int, local: int = 50_000):
             tokens, counts, waiting, size = [every[first][keep]], [total[keep]], [], 0
 
         for batch, data, offsets in pieces(batches, "text"):
-            token, _ = _sets(batch, data, offsets, k)
+            token, per_text = _sets(batch, data, offsets, k)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield rows(
+                batch.column("doc_id"),
+                pa.array(per_text.astype(np.int64)),
+                pa.array(_classes(token, per_text)),
+                none,
+                none,
+            )
             waiting.append(token)
             size += len(token)
             if size > 1_000_000:
@@ -124,9 +127,8 @@ def _frequent(k: int, local: int = 50_000):
         if size or tokens:
             if sum(map(len, tokens + waiting)):
                 reduce(4)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(tokens[0])), pa.array(counts[0])], ["token", "n"]
-                )
+                none = pa.nulls(len(tokens[0]), pa.int64())
+                yield rows(none, none, none, pa.array(signed(tokens[0])), pa.array(counts[0]))
 
     return run
 
@@ -135,16 +137,28 @@ def _prefixes(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
     """Tokens of every text's prefix: the rare ones by hash, then the common ones by rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high, maybe = np.uint64(44), np.zeros(1 << 20, dtype=bool)
+        maybe[common >> high] = True  # the upper bits of all that are common
         for batch, data, offsets in pieces(batches, "text"):
             token, counts = _sets(batch, data, offsets, k)
             cls, owner = _classes(token, counts), np.repeat(np.arange(len(counts)), counts)
-            place = np.zeros(len(token), dtype=np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, token), len(common) - 1)
-                place = np.where(common[at] == token, rank[at], 0)
-            order = np.lexsort((token, place, owner))
+            late = np.flatnonzero(maybe[token >> high])
+            place = np.zeros(len(late), dtype=np.int64)
+            if len(late):
+                at = np.minimum(np.searchsorted(common, token[late]), len(common) - 1)
+                place = np.where(common[at] == token[late], rank[at], 0)
+            late, place = late[place > 0], place[place > 0]
+            rare = np.ones(len(token), dtype=bool)
+            rare[late] = False
+            behind = np.bincount(owner[late], minlength=len(counts))
+            start = np.cumsum(counts) - counts
+            order = np.empty(len(token), dtype=np.int64)
+            order[ranges(start, counts - behind)] = np.flatnonzero(rare)
+            order[ranges(start + counts - behind, behind)] = late[
+                np.lexsort((token[late], place, owner[late]))
+            ]
             length = np.where(counts > 0, counts - -(-percent * counts // 100) + 1, 0)
-            chosen = order[ranges(np.cumsum(counts) - counts, length)]
+            chosen = order[ranges(start, length)]
             owner = owner[chosen]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(token[chosen])), pa.array(cls[owner]), pa.array(counts[owner])],
@@ -371,14 +385,14 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
         F.col("doc_id").isNotNull()
     )
-    described = written(
-        base.mapInArrow(_describe(k), "doc_id long, n_shingles long, cls long"), "classes"
-    )
+    # texts are cut twice, here and for the prefixes, and what comes of it is read from there
+    survey = written(base.mapInArrow(_survey(k), SURVEY), "survey")
+    described = survey.where("doc_id is not null").select("doc_id", "n_shingles", "cls")
     classes = (
         described.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     )
     frequent = (
-        base.mapInArrow(_frequent(k), "token long, n long")
+        survey.where("token is not null")
         .groupBy("token")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "token")
@@ -388,8 +402,11 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     common = frequent["token"].to_numpy(dtype=np.int64).view(np.uint64)
     rank = frequent["n"].to_numpy(dtype=np.int64)
     order = np.argsort(common)
-    prefixes = base.mapInArrow(
-        _prefixes(k, percent, common[order], rank[order]), "token long, cls long, n long"
+    prefixes = written(
+        base.mapInArrow(
+            _prefixes(k, percent, common[order], rank[order]), "token long, cls long, n long"
+        ),
+        "prefixes",
     )
     twice = (
         prefixes.groupBy("token")

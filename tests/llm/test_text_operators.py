@@ -1,13 +1,16 @@
 """Jaccard join, substring dedup and quality rules against brute force, and their edge cases."""
 
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import quality as brute_quality
 from brute import repeats as brute_repeats
 from brute import similar as brute_similar
 
-from chronofold.llm import jaccard, quality, repeats
+from chronofold.llm import jaccard, quality, repeats, tables
 
 
 def _words(rng, n, of=5000):
@@ -98,6 +101,64 @@ def test_need_of_a_span_is_that_of_its_ends_or_one_less(percent):
                 assert need <= min(least(n, m) for m in range(low, high + 1))
 
 
+def test_texts_are_read_four_times_at_most(spark, documents, corpus):
+    """For the survey and the prefixes, and twice to pick those whose tokens are compared."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = documents(*corpus)
+    counted = docs.mapInArrow(count, docs.schema)
+    assert len(jaccard.similar(counted).collect()) == len(corpus)
+    assert 2 * len(corpus) <= read.value <= 4 * len(corpus)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """They go soon after the write, not when the driver collects garbage; the setting is as before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        every = disk.getAllFiles()
+        names = {every.apply(i).getName() for i in range(every.size())}
+        return {name for name in names if name.startswith("shuffle_")}
+
+    held, before = files(), spark.conf.get(tables._CLEANUP, None)
+    frame = spark.range(1000).selectExpr("id % 10 k").groupBy("k").count()
+    assert tables.written(frame, "sums").count() == 10
+    assert spark.conf.get(tables._CLEANUP, None) == before
+    made = {name.split("_")[1] for name in files() - held}
+    end = time.monotonic() + 10
+    while len(made) > 1 and time.monotonic() < end:  # one is of the count above
+        time.sleep(0.2)
+        made = {name.split("_")[1] for name in files() - held}
+    assert len(made) <= 1
+
+
+@pytest.mark.parametrize("known", [0, 3, 60])
+def test_prefixes_lead_with_rare_tokens_and_end_with_the_most_frequent(corpus, known):
+    texts = [*corpus, "one", None, "w1 w2 w3 w4"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    lists = [row for b in jaccard._token_lists(4)(iter([batch])) for row in b.to_pylist()]
+    every = sorted({t % 2**64 for row in lists for t in row["tokens"]})
+    common = np.array(every[:: max(len(every) // known, 1)][:known] if known else [], np.uint64)
+    place = {int(t): 1 + (i * 7) % 5 for i, t in enumerate(common)}
+    rank = np.array([place[int(t)] for t in common], np.int64)
+    expected = []
+    for row in lists:
+        n = len(row["tokens"])
+        order = sorted((t % 2**64 for t in row["tokens"]), key=lambda t: (place.get(t, 0), t))
+        expected += [(t, row["cls"], n) for t in order[: n and n + 1 - -(-85 * n // 100)]]
+    got = [
+        (row["token"] % 2**64, row["cls"], row["n"])
+        for b in jaccard._prefixes(4, 85, common, rank)(iter([batch]))
+        for row in b.to_pylist()
+    ]
+    assert got == expected and got
+
+
 def test_empty_tables_null_ids_and_extra_columns(spark, documents, corpus):
     empty = documents(*corpus).limit(0)
     assert jaccard.similar(empty).count() == 0
