@@ -9,7 +9,7 @@ would change an exact result, the spans themselves are compared as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,8 @@ import pyarrow as pa
 
 #: Texts are worked through in pieces of about so many bytes; a longer text is a piece of its own.
 PIECE_BYTES = 1_000_000
+#: The same for work that takes sixty bytes and more for a byte of text at a time.
+SMALL_PIECE_BYTES = 250_000
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
@@ -38,6 +40,8 @@ _LOW29, _LOW30 = np.uint64((1 << 29) - 1), np.uint64((1 << 30) - 1)
 _LOW31, _LOW32 = np.uint64((1 << 31) - 1), np.uint64((1 << 32) - 1)
 #: Sums of a byte value and half a power stay below 2^64 for spans up to this length.
 _SPAN = 1 << 22
+#: Elements whose terms are held at once, besides the prefix sums.
+_BLOCK = 1 << 16
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
@@ -95,21 +99,26 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return pair
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for every span; values are bytes or unsigned 64-bit numbers."""
+def span_hasher(
+    values: np.ndarray, base: int
+) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What gives the hashes of values[start:end] for every span; values are bytes or unsigned
+    64-bit numbers. The prefix sums are made once, block by block, for any number of calls."""
     forward, back = _powers(base, len(values) + 1)
-    forward = forward[: len(values)]
     small = values.dtype.itemsize == 1
-    if small:
-        values = values.astype(np.uint64) + _U[1]  # a span's length shows in its sum
-        low, high = values * (forward & _LOW32), values * (forward >> _U[32])
-    else:
-        term = product(reduced(values), forward)
-        low, high = term & _LOW32, term >> _U[32]
     lows = np.zeros(len(values) + 1, dtype=np.uint64)
     highs = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(low, out=lows[1:])  # may wrap round; differences are right all the same
-    np.cumsum(high, out=highs[1:])
+    for at in range(0, len(values), _BLOCK):
+        part, power = values[at : at + _BLOCK], forward[at : min(at + _BLOCK, len(values))]
+        if small:
+            part = part.astype(np.uint64) + _U[1]  # a span's length shows in its sum
+            terms = part * (power & _LOW32), part * (power >> _U[32])
+        else:
+            part = product(reduced(part), power)
+            terms = part & _LOW32, part >> _U[32]
+        for term, total in zip(terms, (lows, highs), strict=True):
+            term[0] += total[at]  # may wrap round; differences are right all the same
+            np.cumsum(term, out=total[at + 1 : at + 1 + len(term)])
 
     def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         upper = reduced(highs[b] - highs[a])
@@ -117,14 +126,22 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: in
         folded = (upper >> _U[29]) + ((upper & _LOW29) << _U[32])
         return reduced(folded + reduced(lows[b] - lows[a]))
 
-    if small and len(start) and int((end - start).max()) > _SPAN:
-        total, at = np.zeros(len(start), dtype=np.uint64), start
-        while (at < end).any():
-            to = np.minimum(at + _SPAN, end)
-            total, at = reduced(total + sums(at, to)), to
-    else:
-        total = sums(start, end)
-    return mix(product(total, back[start]))
+    def hashes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if small and len(start) and int((end - start).max()) > _SPAN:
+            total, at = np.zeros(len(start), dtype=np.uint64), start
+            while (at < end).any():
+                to = np.minimum(at + _SPAN, end)
+                total, at = reduced(total + sums(at, to)), to
+        else:
+            total = sums(start, end)
+        return mix(product(total, back[start]))
+
+    return hashes
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hash of values[start:end] for every span; values are bytes or unsigned 64-bit numbers."""
+    return span_hasher(values, base)(start, end)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -168,6 +185,11 @@ def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return span_hashes(data, start, end, _BASE)
 
 
+def byte_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``byte_hashes`` for several sets of spans of the same bytes."""
+    return span_hasher(data, _BASE)
+
+
 def run_starts(counts: np.ndarray, k: int) -> np.ndarray:
     """Positions where a run of k words begins inside its text, given the words of each text."""
     runs = np.maximum(counts - k + 1, 0)
@@ -210,14 +232,14 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(
-    batches: Iterable[pa.RecordBatch], text: str
+    batches: Iterable[pa.RecordBatch], text: str, size: int = PIECE_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about PIECE_BYTES of text each, their bytes and offsets."""
+    """Slices of the batches with about ``size`` bytes of text each, their bytes and offsets."""
     for batch in batches:
         data, offsets = buffer_of(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, side="right")) - 1
+            to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield (
                 batch.slice(at, to - at),

@@ -25,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronofold.llm.flat import SMALL_PIECE_BYTES
 from chronofold.llm.flat import pieces as text_pieces
 from chronofold.llm.tables import written
 from chronofold.llm.wordpieces import word_coder
@@ -46,7 +47,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _tokenised(tokenizer_json: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_coder(tokenizer_json)
-        for batch, data, offsets in text_pieces(batches, "text"):
+        for batch, data, offsets in text_pieces(batches, "text", SMALL_PIECE_BYTES):
             ids, cuts = coder.encode(data, offsets)
             ids = np.insert(ids, cuts[1:], end_id).astype("<u4")
             cuts = cuts + np.arange(len(cuts))
@@ -231,6 +232,12 @@ def tokens(
     return base.mapInArrow(_tokenised(tokenizer_json, capacity, end_id, with_ids), schema)
 
 
+def _frame(spark: SparkSession, names: list[str], columns: list[np.ndarray]) -> DataFrame:
+    """Numbers as a frame. From Arrow the JVM reads them itself; a list of rows would start Python
+    workers of another kind beside those that run the texts."""
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
+
+
 #: Ranges a length, on average, up to which the plan is broadcast; a larger one is joined by shuffle.
 RANGES = 64
 
@@ -242,8 +249,8 @@ def pack(found: DataFrame, capacity: int, key: tuple[str, ...] = ("doc_id", "pie
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     histogram[counts["length"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     where = _ranges(plan(histogram, capacity))
-    lanes = [(n, int(histogram[n]) // NUMBERED + 1) for n in np.flatnonzero(histogram).tolist()]
-    lanes = spark.createDataFrame(lanes, "length long, _lanes long")
+    lengths = np.flatnonzero(histogram)
+    lanes = _frame(spark, ["length", "_lanes"], [lengths, histogram[lengths] // NUMBERED + 1])
     dealt = found.join(F.broadcast(lanes), "length")  # a row for each length, capacity at most
     dealt = dealt.withColumn("_lane", F.pmod(F.xxhash64(*key), F.col("_lanes")))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_lane")) - F.col("n")
@@ -258,8 +265,8 @@ def pack(found: DataFrame, capacity: int, key: tuple[str, ...] = ("doc_id", "pie
         .join(bases, ["length", "_lane"])
         .withColumn("_n", F.col("_base") + F.col("_row"))
     )
-    schema = "length long, _from long, _to long, _sequence long, offset long"
-    ranges = spark.createDataFrame(where, schema)
+    columns = np.array(where, dtype=np.int64).reshape(-1, 5).T
+    ranges = _frame(spark, ["length", "_from", "_to", "_sequence", "offset"], list(columns))
     if len(where) <= capacity * RANGES:
         ranges = F.broadcast(ranges)
     return (

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.flat import byte_hashes, pieces, words
+from chronofold.llm.flat import SMALL_PIECE_BYTES, byte_hasher, byte_hashes, pieces, words
 from chronofold.llm.tables import written
 
 SAMPLE = 20_000
@@ -111,12 +111,13 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _stems(letters: np.ndarray, start: np.ndarray, end: np.ndarray, k: int):
-    """Spans of the first k letters, for words that are longer."""
-    at = np.flatnonzero((letters & 0xC0) != 0x80)
-    char = np.searchsorted(at, start)
-    stop = np.append(at, [len(letters)])[np.minimum(char + k, len(at))]
-    return stop, stop < end
+def _stems(letters: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """For each k of STEM_LETTERS: where the first k letters end, and which words are longer."""
+    at = np.append(np.flatnonzero((letters & 0xC0) != 0x80), [len(letters)])
+    char = np.searchsorted(at[:-1], start)
+    for k in STEM_LETTERS:
+        stop = at[np.minimum(char + k, len(at) - 1)]
+        yield stop, stop < end
 
 
 def _features(lexicon: tuple[str, ...]):
@@ -128,7 +129,7 @@ def _features(lexicon: tuple[str, ...]):
     person = _hashes(SECOND_PERSON.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in pieces(batches, "text"):
+        for batch, data, offsets in pieces(batches, "text", SMALL_PIECE_BYTES):
             found = words(data, offsets)
             start, end, first = found.start, found.end, found.first
             folded = _FOLD[data]
@@ -136,14 +137,15 @@ def _features(lexicon: tuple[str, ...]):
             latin = latin[(data[latin] <= 0x9E) & (data[latin] != 0x97)]
             folded[latin] += 0x20
             letters, a, b = _squeezed(folded, _LETTER[data], start, end)
-            bare = byte_hashes(letters, a, b)
+            hashed = byte_hasher(letters)
+            bare = hashed(a, b)
             lexical = _among(bare, plain) & (b > a)
             second = _among(bare, person) & (b > a)
             tied = _among(bare, learnt) & (b > a)
             begun = np.zeros(len(start), dtype=bool)
-            for k in STEM_LETTERS:
-                stop, longer = _stems(letters, a, b, k)
-                begun |= longer & _among(byte_hashes(letters, a, np.where(longer, stop, b)), stems)
+            for stop, longer in _stems(letters, a, b):
+                begun |= longer & _among(hashed(a, np.where(longer, stop, b)), stems)
+            del hashed, letters, folded  # the sums take sixteen bytes a letter
             shown, c, d = _squeezed(_STANDS_FOR[data], _KEEP_MASKED[data], start, end)
             hidden = ~lexical & (d - c > 2) & _among(byte_hashes(shown, c, d), masked)
             hit = lexical | hidden | tied | begun
