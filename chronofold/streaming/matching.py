@@ -1,9 +1,11 @@
 """Beginnings and endings matched in one stateful pass, each record with a plan of its own.
 
-Each key holds its open beginnings and the endings that wait for one. A beginning whose planned
-seconds pass without an end is closed by a timer where the plan ends; an ending whose beginning can
-no longer come is handed out by a timer at its own time. So pairs and both rests come out of one
-stream, with one state, each as soon as the watermark allows.
+Keys are dealt to buckets, and a bucket holds the open beginnings and waiting endings of all its keys
+as one state. So Python is called, and the state is read and written, once for a bucket in a micro-batch
+and not once for a key, and numpy matches the bucket's rows together. A beginning whose planned seconds
+pass without an end is closed where the plan ends; an ending whose beginning can no longer come is handed
+out at its own time. Each bucket times out where the next of its rows is due. So pairs and both rests
+come out of one stream, with one state, each as soon as the watermark allows.
 """
 
 from __future__ import annotations
@@ -11,24 +13,32 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import TYPE_CHECKING
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chronofold.functions.durations import elapsed_instants
 
-_OUT = "guid string, user_id long, begin_us long, end_us long, state string"
-_Found = Row("guid", "user_id", "begin_us", "end_us", "state")
+if TYPE_CHECKING:
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState
+
+_OUT = "guid string, user_id long, begin_us long, end_us long, kind int, done boolean"
+_STATE = "guid array<string>, us array<long>, due_us array<long>, user_id array<long>, kind array<int>"
+_COLUMNS, _NAMES = ([column.split()[0] for column in columns.split(", ")] for columns in (_OUT, _STATE))
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ENDING, _BEGINNING, _NOBODYS = range(3)  # kinds of rows; the last is a beginning without a user
+_NANOS = "1677-09-22", "2262-04-11"  # days that pandas can tell the time of
 
 
 @contextmanager
 def timer_state(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, which timers need. It lies beside the
-    executors and is saved in the checkpoint, so it is not bounded by their memory."""
+    """Streams started inside keep their state in RocksDB. It lies beside the executors and is saved
+    in the checkpoint, so it is not bounded by their memory."""
     before = spark.conf.get(_STORE)
     spark.conf.set(_STORE, _ROCKS)
     try:
@@ -37,68 +47,83 @@ def timer_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_STORE, before)
 
 
-class _Matcher(StatefulProcessor):
-    """State of one key: beginnings (begin, deadline, user) and endings, in microseconds. What is
-    matched at once leaves none, so that a pair of one micro-batch costs one look at the state."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState(
-            "open", "begin array<long>, deadline array<long>, user_id array<long>, ends array<long>"
-        )
-
-    def _load(self) -> tuple[list, list]:
-        kept = self.open.get()
-        if kept is None:
-            return [], []
-        begin, deadline, user_id, ends = kept
-        return list(zip(begin, deadline, user_id, strict=True)), list(ends)
-
-    def _save(self, begins: list, ends: list, known: bool) -> None:
-        if begins or ends:
-            columns = [[b[i] for b in begins] for i in range(3)]
-            self.open.update((*columns, ends))
-        elif known:
-            self.open.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        begins, ends = self._load()
-        known, due = bool(begins or ends), {}
-        for row in rows:
-            if row.planned_us is None:
-                ends.append(row.us)
-                due[row.us] = row.us
-            else:
-                begin = (row.us, row.us + row.planned_us, row.user_id)
-                begins.append(begin)
-                due[begin] = begin[1]
-        found = []
-        for begin in sorted(begins, key=lambda b: b[:2]):
-            end = min((e for e in ends if begin[0] <= e <= begin[1]), default=None)
-            if end is not None:
-                ends.remove(end)
-                begins.remove(begin)
-                found.append(_Found(key[0], begin[2], begin[0], end, "finished"))
-        for time in {-(-due[x] // 1000) for x in (*begins, *ends) if x in due}:
-            self.handle.registerTimer(time)
-        self._save(begins, ends, known)
-        return iter(found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        begins, ends = self._load()
-        for begin in sorted((b for b in begins if b[1] <= now), key=lambda b: b[:2]):
-            yield _Found(key[0], begin[2], begin[0], begin[1], "expired")
-        for end in sorted(e for e in ends if e <= now):
-            yield _Found(key[0], None, None, end, "no beginning")
-        self._save([b for b in begins if b[1] > now], [e for e in ends if e > now], True)
-
-    def close(self) -> None:
-        pass
+def _mates(key: np.ndarray, us: np.ndarray, due: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each row that is a beginning the number of its ending, else -1. Of one key, beginnings are
+    served in the order of their times, each by the first ending within its plan that is left."""
+    import numpy as np
+
+    count = int(key.max()) + 1
+    mate = np.full(len(key), -1)
+    first, last = np.flatnonzero(begins), np.flatnonzero(~begins)
+    of_begins, of_ends = (np.bincount(key[rows], minlength=count) for rows in (first, last))
+    begin, end = np.empty(count, "int64"), np.empty(count, "int64")
+    begin[key[first]], end[key[last]] = first, last
+    single = (of_begins == 1) & (of_ends == 1)
+    begin, end = begin[single], end[single]
+    fits = (us[begin] <= us[end]) & (us[end] <= due[begin])
+    mate[begin[fits]] = end[fits]
+
+    several = (of_begins > 0) & (of_ends > 0) & ~single
+    if several.any():
+        first, last = first[several[key[first]]], last[several[key[last]]]
+        first = first[np.lexsort((due[first], us[first], key[first]))]
+        last = last[np.lexsort((us[last], key[last]))]
+        ends = list(zip(key[last].tolist(), us[last].tolist(), strict=True))
+        at = 0
+        starts = zip(*(values[first].tolist() for values in (key, us, due)), strict=True)
+        for row, (k, time, until) in zip(first, starts, strict=True):
+            while at < len(ends) and ends[at] < (k, time):
+                at += 1
+            if at < len(ends) and ends[at] <= (k, until):
+                mate[row] = last[at]
+                at += 1
+    return mate
+
+
+def _match(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of one bucket, with those that it holds from before. A row that finds no mate is kept
+    until it is due: a beginning where its plan ends, an ending at its own time."""
+    import numpy as np
+    import pandas as pd
+
+    types = (object, "int64", "int64", "int64", "int64")
+    kept = state.get if state.exists else [[]] * len(types)
+    before = len(kept[0])
+    parts = [[np.array(values, kind) for values, kind in zip(kept, types, strict=True)]]
+    if not state.hasTimedOut:
+        parts += [[f[name].to_numpy(kind) for name, kind in zip(_NAMES, types, strict=True)] for f in frames]
+    guid, us, due, user, kind = (np.concatenate(columns) for columns in zip(*parts, strict=True))
+    begins = kind != _ENDING
+
+    mate = _mates(pd.factorize(guid)[0], us, due, begins)
+    paired = mate >= 0
+    left = ~paired
+    left[mate[paired]] = False
+    due_ms = -(-due // 1000)
+    over = left & (due_ms <= state.getCurrentWatermarkMs())
+    left &= ~over
+
+    found = np.flatnonzero(paired | over)
+    if len(found):
+        end = np.where(paired, us[mate], due)
+        columns = (guid, user, us, end, kind, paired)
+        yield pd.DataFrame({name: c[found] for name, c in zip(_COLUMNS, columns, strict=True)})
+    if not left.any():
+        if before:
+            state.remove()
+        return
+    if left[before:].any() or not left[:before].all():
+        state.update(tuple(c[left].tolist() for c in (guid, us, due, user, kind)))
+    # a time-out comes when the watermark is behind its time, so one earlier is when the row is due
+    state.setTimeoutTimestamp(max(int(due_ms[left].min()) - 1, 1))
 
 
 def matched_records(
-    begins: DataFrame, ends: DataFrame, planned: Column | None = None, delay: str = "1 hour"
+    begins: DataFrame,
+    ends: DataFrame,
+    planned: Column | None = None,
+    delay: str = "1 hour",
+    buckets: int = 4_096,
 ) -> DataFrame:
     """``guid, user_id, begin_time, end_time, elapsed_s, state`` from beginnings (guid, user_id,
     begin_time) and endings (guid, end_time).
@@ -108,32 +133,56 @@ def matched_records(
     when none did, and then ends with the plan. An end that finds no beginning, also one after
     the plan, comes out as ``no beginning`` to be merged by key (``operators.ingest.add_endings``).
     To be started inside ``timer_state``. Null keys match nothing and are left out.
+
+    ``buckets`` stays as it is while a checkpoint lives. A micro-batch reads and writes what is open
+    in the buckets of its keys, so a stream with very many open records wants more of them. For the
+    watermark alone, times that 64 bits of nanoseconds do not reach count as the nearest they do.
     """
     seconds = F.lit(86_400) if planned is None else F.coalesce(planned, F.lit(86_400))
-    none = F.lit(None).cast("long")
     first = begins.select(
         "guid",
-        F.col("begin_time").alias("at"),
-        "user_id",
+        F.col("begin_time").alias("time"),
+        F.coalesce("user_id", F.lit(0)).cast("long").alias("user_id"),
         (seconds.cast("long") * 1_000_000).alias("planned_us"),
+        F.when(F.col("user_id").isNull(), _NOBODYS).otherwise(_BEGINNING).alias("kind"),
+    )
+    second = ends.select(
+        "guid",
+        F.col("end_time").alias("time"),
+        F.lit(0).cast("long").alias("user_id"),
+        F.lit(0).cast("long").alias("planned_us"),
+        F.lit(_ENDING).alias("kind"),
     )
-    second = ends.select("guid", F.col("end_time").alias("at"), none.alias("user_id"), none.alias("planned_us"))
+    earliest, latest = (F.lit(day).cast("timestamp") for day in _NANOS)
+    known = F.col("time").isNotNull()
+    at = F.when(known, F.least(F.greatest("time", earliest), latest)).alias("at")
+    sides = [side.select("*", at).withWatermark("at", delay) for side in (first, second)]
+    guid = F.col("guid").cast("string")
+    us = F.unix_micros("time")
     rows = (
-        first.withWatermark("at", delay)
-        .unionByName(second.withWatermark("at", delay))
-        .filter(F.col("guid").isNotNull() & F.col("at").isNotNull())
-        .withColumn("guid", F.col("guid").cast("string"))
-        .withColumn("us", F.unix_micros("at"))
+        sides[0]
+        .unionByName(sides[1])
+        .filter(F.col("guid").isNotNull() & known)
+        .select(
+            F.pmod(F.xxhash64(guid), F.lit(buckets)).cast("int").alias("bucket"),
+            "at",
+            guid.alias("guid"),
+            us.alias("us"),
+            (us + F.col("planned_us")).alias("due_us"),
+            "user_id",
+            "kind",
+        )
     )
-    found = rows.groupBy("guid").transformWithState(_Matcher(), _OUT, "Append", "EventTime")
+    found = rows.groupBy("bucket").applyInPandasWithState(_match, _OUT, _STATE, "Append", "EventTimeTimeout")
+    begun, nobodys = F.col("kind") != _ENDING, F.col("kind") == _NOBODYS
     begin, end = F.timestamp_micros("begin_us"), F.timestamp_micros("end_us")
     return found.select(
         "guid",
-        "user_id",
-        begin.alias("begin_time"),
+        F.when(begun & ~nobodys, F.col("user_id")).alias("user_id"),
+        F.when(begun, begin).alias("begin_time"),
         end.alias("end_time"),
-        F.when(F.col("begin_us").isNotNull(), elapsed_instants(begin, end)).alias("elapsed_s"),
-        "state",
+        F.when(begun, elapsed_instants(begin, end)).alias("elapsed_s"),
+        F.when(~begun, "no beginning").when(F.col("done"), "finished").otherwise("expired").alias("state"),
     )
 
 

@@ -1,6 +1,7 @@
 """Matching with timers, row numbers, ranked pages: over micro-batches, ranges and hot keys."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,82 @@ def test_a_far_page_opens_the_range_that_it_lies_in(spark):
     with pytest.raises(ValueError):
         pages.page(0, 30)
     assert search.ranked(found.where("false")).page(1, 30).collect() == []
+
+
+def test_state_is_kept_by_bucket_and_not_by_key(spark, sides, tmp_path):
+    """Of 6,000 keys all are open after the first micro-batch; 3,000 end in the second."""
+    begin, end, later = moment("01 09:00:00"), moment("01 09:20:00"), moment("02 00:00:00")
+    begins, ends = sides(
+        [[(f"k{n}", begin, 1800) for n in range(6000)], [("z", later, 1)]],
+        [[("y", begin)], [*((f"k{n}", end) for n in range(3000)), ("x", later)]],
+    )
+    found = matching.matched_records(begins, ends, planned=F.col("plan"), delay="10 minutes")
+    with matching.timer_state(spark):
+        run = (
+            found.writeStream.outputMode("append")
+            .format("parquet")
+            .option("checkpointLocation", str(tmp_path / "state"))
+            .option("path", str(tmp_path / "rows"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in run.recentProgress) <= 4096
+    states = spark.read.schema(found.schema).parquet(str(tmp_path / "rows")).groupBy("state").count()
+    assert dict(map(tuple, states.collect())) == {"finished": 3000, "expired": 3000, "no beginning": 1}
+
+
+def _matched_one_by_one(begins, ends, delay):
+    """Key by key and batch by batch; no row comes behind the watermark."""
+    opened, waiting, found = [], [], []
+    for some, others in zip(begins, ends, strict=True):
+        opened += [(key, t, t + dt.timedelta(seconds=plan)) for key, t, plan in some if key]
+        waiting += [row for row in others if row[0]]
+        for begin in sorted(opened, key=lambda b: b[1:]):
+            fits = [e for e in waiting if e[0] == begin[0] and begin[1] <= e[1] <= begin[2]]
+            if fits:
+                end = min(fits)
+                opened.remove(begin)
+                waiting.remove(end)
+                found.append((begin[0], "finished", begin[1], end[1]))
+    mark = min(max(row[1] for batch in side for row in batch) for side in (begins, ends)) - delay
+    found += [(key, "expired", t, due) for key, t, due in opened if due <= mark]
+    return found + [(key, "no beginning", None, t) for key, t in waiting if t <= mark]
+
+
+def test_keys_of_one_bucket_and_rows_of_one_key_are_matched_as_one_by_one(spark, sides):
+    """Three buckets for keys of few rows and one of many, over micro-batches; no Spark in the other."""
+    dice = random.Random(5)
+    begins, ends = [], []
+    for hour in range(0, 24, 4):
+        time = lambda: moment("01 00:00:00") + dt.timedelta(hours=hour, seconds=dice.randrange(14_400))  # noqa: B023, E731
+        keys = [*(f"k{n}" for n in range(40)), *["hot"] * 20, None]
+        begins.append([(dice.choice(keys), time(), dice.choice([-5, 0, 60, 1800, 30_000])) for _ in range(80)])
+        ends.append([(dice.choice(keys), time()) for _ in range(80)])
+        begins[-1] += begins[-1][:9]
+    begins.append([("z", moment("02 06:00:00"), 1)])
+    ends.append([("z", moment("02 07:00:00"))])
+    want = _matched_one_by_one(begins, ends, dt.timedelta(minutes=10))
+    assert {state for _, state, _, _ in want} == {"finished", "expired", "no beginning"}
+    first, second = sides(begins, ends)
+    found = matching.matched_records(first, second, planned=F.col("plan"), delay="10 minutes", buckets=3)
+    with matching.timer_state(spark):
+        rows = running.drain_appends(spark, found, "t")
+    times = [F.col(name).cast("timestamp_ntz") for name in ("begin_time", "end_time")]
+    got = rows.select("guid", "state", *times).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_missing_users_long_numbers_and_times_far_away(spark, sides):
+    """Users come out as they went in; years that pandas cannot tell are matched all the same."""
+    far = dt.datetime(9999, 12, 30)
+    begins, ends = sides(
+        [[("a", moment("01 09:00:00"), 60), ("n", moment("01 09:00:00"), 60), ("f", far, 60)]],
+        [[("a", moment("01 09:00:30")), ("n", moment("01 09:00:30")), ("f", far + dt.timedelta(seconds=9))]],
+    )
+    user = F.when(F.col("guid") != "n", F.lit(2**60 + 1))
+    found = matching.matched_records(begins.withColumn("user_id", user), ends, planned=F.col("plan"))
+    with matching.timer_state(spark):
+        rows = running.drain_appends(spark, found, "t")
+    got = sorted(tuple(r) for r in rows.select("guid", "user_id", "elapsed_s", "state").collect())
+    assert got == [("a", 2**60 + 1, 30, "finished"), ("f", 2**60 + 1, 9, "finished"), ("n", None, 30, "finished")]
